@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terrasift.llm.encode import encode, tokenizer_path
 from terrasift.llm.packing import pack
+from terrasift.llm.spans import shared_share, shared_spans
 from terrasift.sources.tables import table
 
 CAPACITY = 4096
@@ -35,5 +36,16 @@ def p8_use(spark: SparkSession, folder: str) -> DataFrame:
     return boxes.agg(F.count("*").alias("containers"), F.sum("n").alias("tokens"), F.max("n").alias("fullest"), (F.sum("n") / (F.count("*") * CAPACITY)).alias("used"))
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p8_found, p8_packed, p8_use)}
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return shared_spans(docs, F.col("doc_id"), F.col("text")).withColumnRenamed("id", "doc_id")
+
+
+def p9_shared(spark: SparkSession, folder: str) -> DataFrame:
+    """How much of each mail also stands in another."""
+    docs = table(spark, folder, "documents")
+    return shared_share(shared_spans(docs, F.col("doc_id"), F.col("text")), docs, F.col("doc_id"), F.col("text")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p7_ids, p8_found, p8_packed, p8_use, p9_found, p9_shared)}
 SQL: dict[str, str] = {}
