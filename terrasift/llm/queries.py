@@ -5,14 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrasift.llm.address import place_pairs, places
 from terrasift.llm.encode import encode, tokenizer_path
 from terrasift.llm.packing import pack
 from terrasift.llm.spans import shared_share, shared_spans
+from terrasift.plans.dealt import snapshot_fields
 from terrasift.sources.tables import table
 
 CAPACITY = 4096
 
 
+def address_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Address records: both addresses of every case and that of every facility."""
+    cases = snapshot_fields(table(spark, folder, "cases"), ["id"], "body", ("subject_address", "comparable_address"))
+    facilities = table(spark, folder, "facilities")
+    record = lambda side: F.concat(F.lit("case:"), F.col("id"), F.lit(f":{side}")).alias("record")
+    return (
+        cases.select(record("subject"), F.col("subject_address").alias("address"))
+        .unionByName(cases.select(record("comparable"), F.col("comparable_address").alias("address")))
+        .unionByName(facilities.select(F.concat(F.lit("facility:"), F.col("facility_id").cast("string")).alias("record"), "address"))
+    )
+
+
+def p3_places(spark: SparkSession, folder: str) -> DataFrame:
+    """Every address record with the place it denotes."""
+    return places(address_records(spark, folder), F.col("record"), F.col("address"), table(spark, folder, "place_names"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return place_pairs(p3_places(spark, folder))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return encode(docs, F.col("doc_id"), F.col("text"), tokenizer_path("byte_bpe_50k.tiktoken")).withColumnRenamed("key", "doc_id")
@@ -47,5 +70,5 @@ def p9_shared(spark: SparkSession, folder: str) -> DataFrame:
     return shared_share(shared_spans(docs, F.col("doc_id"), F.col("text")), docs, F.col("doc_id"), F.col("text")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p8_found, p8_packed, p8_use, p9_found, p9_shared)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_places, p7_ids, p8_found, p8_packed, p8_use, p9_found, p9_shared)}
 SQL: dict[str, str] = {}
