@@ -9,6 +9,7 @@ from terrasift.llm.address import place_pairs, places
 from terrasift.llm.encode import encode, tokenizer_path
 from terrasift.llm.packing import pack
 from terrasift.llm.spans import shared_share, shared_spans
+from terrasift.llm.visual import letter_bigrams, normalize_text, quotes_in_form
 from terrasift.plans.dealt import snapshot_fields
 from terrasift.sources.tables import table
 
@@ -36,6 +37,27 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return place_pairs(p3_places(spark, folder))
 
 
+def source_pages(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "source_documents")
+    return docs.select(F.col("id").alias("document_id"), F.explode("pages").alias("p")).select("document_id", "p.page", "p.text")
+
+
+def _quotes(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "pdf_drafts").select(F.col("draft_id").alias("quote_id"), "document_id", F.col("evidence.page").alias("page"), F.col("evidence.quote").alias("quote"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    pages, quotes = source_pages(spark, folder), _quotes(spark, folder)
+    scores = letter_bigrams([pages.select("text"), quotes.select("quote")])
+    return quotes_in_form(quotes, pages, scores).withColumnRenamed("quote_id", "draft_id")
+
+
+def p4_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The text of every page in the common form."""
+    pages = source_pages(spark, folder).distinct()
+    return normalize_text(pages, F.col("text"), letter_bigrams([pages.select("text")])).drop("text")
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return encode(docs, F.col("doc_id"), F.col("text"), tokenizer_path("byte_bpe_50k.tiktoken")).withColumnRenamed("key", "doc_id")
@@ -70,5 +92,5 @@ def p9_shared(spark: SparkSession, folder: str) -> DataFrame:
     return shared_share(shared_spans(docs, F.col("doc_id"), F.col("text")), docs, F.col("doc_id"), F.col("text")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_places, p7_ids, p8_found, p8_packed, p8_use, p9_found, p9_shared)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_places, p4_found, p4_pages, p7_ids, p8_found, p8_packed, p8_use, p9_found, p9_shared)}
 SQL: dict[str, str] = {}
