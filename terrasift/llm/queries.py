@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrasift.llm.address import place_pairs, places
+from terrasift.llm.address import Gazetteer, place_pairs, places
 from terrasift.llm.encode import encode, tokenizer_path
 from terrasift.llm.packing import pack
+from terrasift.llm.personal import personal_items, redacted
 from terrasift.llm.spans import shared_share, shared_spans
 from terrasift.llm.visual import letter_bigrams, normalize_text, quotes_in_form
 from terrasift.plans.dealt import snapshot_fields
@@ -16,6 +17,31 @@ from terrasift.sources.tables import table
 CAPACITY = 4096
 
 
+def personal_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts that may hold personal items: pages and subject addresses."""
+    pages = source_pages(spark, folder).select(F.lit("pages").alias("field"), F.col("document_id").alias("record_id"), "page", "text")
+    cases = snapshot_fields(table(spark, folder, "cases"), ["id"], "body", ("subject_address",))
+    both = pages.unionByName(cases.select(F.lit("subject_address").alias("field"), F.col("id").alias("record_id"), F.lit(0).alias("page"), F.col("subject_address").alias("text")))
+    return both.where("text is not null").distinct().select(F.struct("field", "record_id", "page", F.xxhash64("text").alias("h")).alias("unit"), "text")
+
+
+def _personal(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    texts = personal_texts(spark, folder)
+    items = personal_items(texts, Gazetteer.collect(table(spark, folder, "place_names")))
+    return texts, items.where("not (unit.field = 'subject_address' and kind = 'street_address')")
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    _, items = _personal(spark, folder)
+    return items.select("unit.field", "unit.record_id", "unit.page", "kind", "found").distinct()
+
+
+def p2_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts with typed placeholders."""
+    texts, items = _personal(spark, folder)
+    return redacted(texts, items).select("unit.field", "unit.record_id", "unit.page", "text")
+
+
 def address_records(spark: SparkSession, folder: str) -> DataFrame:
     """Address records: both addresses of every case and that of every facility."""
     cases = snapshot_fields(table(spark, folder, "cases"), ["id"], "body", ("subject_address", "comparable_address"))
@@ -92,5 +118,5 @@ def p9_shared(spark: SparkSession, folder: str) -> DataFrame:
     return shared_share(shared_spans(docs, F.col("doc_id"), F.col("text")), docs, F.col("doc_id"), F.col("text")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_places, p4_found, p4_pages, p7_ids, p8_found, p8_packed, p8_use, p9_found, p9_shared)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p3_found, p3_places, p4_found, p4_pages, p7_ids, p8_found, p8_packed, p8_use, p9_found, p9_shared)}
 SQL: dict[str, str] = {}
