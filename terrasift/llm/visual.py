@@ -50,9 +50,11 @@ LOOK_ALIKES = {k: v for k, v in LOOK_ALIKES.items() if v.isalpha()}
 
 _SEEN_WIDTHS = ("<wide>", "<narrow>", "<noBreak>", "<font>", "<compat>")
 _FOLD = str.maketrans(LOOK_ALIKES)
-_FOREIGN = "".join(LOOK_ALIKES)
 _WORD = re.compile(r"[^\W\d_]+")
-_HAS_FOREIGN = re.compile(f"[{_FOREIGN}]")
+_HAS_FOREIGN = re.compile("[Ͱ-ϿЀ-ԯԱ-֏Ꭰ-Ᏽ]")
+_TWINS: dict[str, list[str]] = {}
+for _k, _v in LOOK_ALIKES.items():
+    _TWINS.setdefault(_v, []).append(_k)
 
 
 def _ignorable(ch: str) -> bool:
@@ -113,13 +115,15 @@ class Scores:
 def word_path(word: str, scores: Scores) -> str:
     """The best path through the look-alikes of a word; of equal paths the more Latin one."""
     letters = unicodedata.normalize("NFD", word)
+    scripts = {script(c) for c in letters if not unicodedata.combining(c)}
     best: dict[str, tuple[float, str]] = {"^": (0.0, "")}
     for ch in letters:
         if unicodedata.combining(ch):
             best = {k: (s, p + ch) for k, (s, p) in best.items()}
             continue
         nxt = {}
-        for way in dict.fromkeys((LOOK_ALIKES.get(ch, ch), ch)):
+        latin = LOOK_ALIKES.get(ch, ch)
+        for way in dict.fromkeys((latin, ch, *(t for t in _TWINS.get(latin, ()) if script(t) in scripts))):
             nxt[way] = max(((s + scores(k, way), p + way) for k, (s, p) in best.items()), key=lambda x: x[0])
         best = nxt
     end = [(s + scores(k, "$"), p) for k, (s, p) in best.items()]
