@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from terrasift.llm.address import _TAIL, ROAD_KINDS, Gazetteer
 from terrasift.llm.visual import _PLAIN, LOOK_ALIKES
+from terrasift.session import cut_lineage
 
 DISCLOSURE = 0.25
 SMOOTHING = 0.5
@@ -188,6 +189,7 @@ def disclosure(texts: DataFrame, names: Gazetteer) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array([n[0] for n in seen.values()], pa.int64()), pa.array([n[1] for n in seen.values()], pa.int64())], ["term", "n", "k"])
 
     counts = texts.select("text").where("text is not null").mapInArrow(run, "term string, n long, k long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    counts = cut_lineage(counts)  # the vocabulary; used twice below
     base = counts.where("term = ''").agg(F.first(F.col("k") / F.col("n")).alias("base"))
     given = (F.col("k") + SMOOTHING) / (F.col("n") + 2 * SMOOTHING)
     score = F.when((F.col("base") <= 0) | (F.col("base") > 0.95), F.lit(1.0)).otherwise(F.log(given / F.col("base")) / F.log(1 / F.col("base")))
@@ -196,14 +198,12 @@ def disclosure(texts: DataFrame, names: Gazetteer) -> DataFrame:
 
 def personal_items(texts: DataFrame, names: Gazetteer, threshold: float = DISCLOSURE) -> DataFrame:
     """``unit, kind, start, stop, found``: identifiers and the names whose terms exceed the threshold."""
-    items = find_items(texts, names)
     keys = ["unit", "kind", "start", "stop", "found"]
-    plain_items = items.where("kind <> 'person_name'").select(*keys)
-    scored = (
-        items.where("kind = 'person_name'").select(*keys, F.explode("terms").alias("term")).join(disclosure(texts, names), "term")
-        .groupBy(*keys).agg(F.avg("score").alias("score")).where(F.col("score") >= threshold).select(*keys)
-    )
-    return plain_items.unionByName(scored)
+    # identifiers have no terms; a key of their own each keeps them spread in the join
+    spread = F.coalesce("term", F.concat(F.lit("\x00"), F.xxhash64("unit", "start").cast("string")))
+    items = find_items(texts, names).select(*keys, F.explode_outer("terms").alias("term")).withColumn("term", spread)
+    scored = items.join(disclosure(texts, names), "term", "left").groupBy(*keys).agg(F.avg("score").alias("score"))
+    return scored.where((F.col("kind") != "person_name") | (F.col("score") >= threshold)).select(*keys)
 
 
 def redact(text: str, items: list[tuple[int, int, str]]) -> str:
