@@ -46,10 +46,9 @@ def address_records(spark: SparkSession, folder: str) -> DataFrame:
     """Address records: both addresses of every case and that of every facility."""
     cases = snapshot_fields(table(spark, folder, "cases"), ["id"], "body", ("subject_address", "comparable_address"))
     facilities = table(spark, folder, "facilities")
-    record = lambda side: F.concat(F.lit("case:"), F.col("id"), F.lit(f":{side}")).alias("record")
+    side = lambda name: F.struct(F.concat(F.lit("case:"), F.col("id"), F.lit(f":{name}")).alias("record"), F.col(f"{name}_address").alias("address"))
     return (
-        cases.select(record("subject"), F.col("subject_address").alias("address"))
-        .unionByName(cases.select(record("comparable"), F.col("comparable_address").alias("address")))
+        cases.select(F.inline(F.array(side("subject"), side("comparable"))))
         .unionByName(facilities.select(F.concat(F.lit("facility:"), F.col("facility_id").cast("string")).alias("record"), "address"))
     )
 
