@@ -130,9 +130,19 @@ def merge_runs(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return start[i], end[np.append(i[1:], len(start)) - 1]
 
 
+def _place(border: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Border and the distances of the first and last window from it, in one number."""
+    return (border * REACH + (border - first)) * REACH + (border - last)
+
+
+def _unplace(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    border = place // (REACH * REACH)
+    return border, border - place // REACH % REACH, border - place % REACH
+
+
 def _scan(limit: int):
     """Step 1 on batches (id, text)."""
-    names = ["key", "own", "id", "border", "first", "last", "runs"]
+    names = ["key", "own", "id", "place", "runs"]
 
     def block(ids: pa.Array, number: np.ndarray, texts: list[str], offsets: np.ndarray) -> pa.RecordBatch:
         lengths = np.array([len(t) for t in texts], np.int64)
@@ -170,7 +180,7 @@ def _scan(limit: int):
                 pa.array(np.concatenate([got["key"][keep].view(np.int64), spread.view(np.int64)]), pa.int64()),
                 col(got["own"][keep].view(np.int64), pa.int64()),
                 ids.take(pa.array(np.concatenate([doc[keep], run_doc]), pa.int64())),
-                col(border[keep], pa.int64()), col(first[keep], pa.int64()), col(last[keep], pa.int64()),
+                col(_place(border[keep], first[keep], last[keep]), pa.int64()),
                 pa.concat_arrays([pa.nulls(n, pa.list_(pa.int64())), pa.array(runs_of, pa.list_(pa.int64()))]),
             ],
             names,
@@ -208,15 +218,15 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         items, texts = batch.column(1), batch.column(2)
         flat = items.flatten()
-        f = {n: flat.field(k).to_numpy(zero_copy_only=False) for k, n in enumerate(("key", "border", "first", "last", "covered", "open", "many", "hot"))}
-        old = flat.field(8)
+        keys, flags, old = flat.field(0).to_numpy(zero_copy_only=False), flat.field(2).to_numpy(zero_copy_only=False), flat.field(3)
+        borders, firsts, lasts = _unplace(flat.field(1).fill_null(0).to_numpy(zero_copy_only=False))
         hot: dict[tuple, list] = {}
         bounds = items.offsets.to_numpy() - items.offsets[0].as_py()
         out: list[list] = [[] for _ in names]
         for i in range(batch.num_rows):
             a, b = bounds[i], bounds[i + 1]
-            text, key, many, border, first, last = None, f["key"][a:b], f["many"][a:b], f["border"][a:b], f["first"][a:b], f["last"][a:b]
-            covered, is_open = f["covered"][a:b].astype(bool), f["open"][a:b].astype(bool)
+            text, key, border, first, last = None, keys[a:b], borders[a:b], firsts[a:b], lasts[a:b]
+            covered, is_open, many, is_hot = (flags[a:b] & bit != 0 for bit in (1, 2, 4, 8))
             starts, ends = [first[covered]], [last[covered] + SPAN]
             for r in old.slice(a, b - a).drop_null().to_pylist():
                 starts.append(np.array(r[0::2]))
@@ -230,7 +240,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 lo, hi = int(first[j]), int(last[j])
                 if hi + SPAN > len(text):
                     continue
-                if f["hot"][a + j]:
+                if is_hot[j]:
                     for w in range(lo, hi + 1):
                         digest = blake2b(text[w : w + SPAN].encode(), digest_size=16).hexdigest()
                         hot.setdefault((int(key[j]), int(border[j]) - w, digest), []).append((i, w, bool(many[j])))
@@ -321,7 +331,7 @@ def shared_spans(df: DataFrame, key: Column, text: Column, hot: int = HOT, block
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow = to_arrow_type(kind)
-    found = docs.mapInArrow(_scan(block), f"key long, own long, id {ddl}, border long, first long, last long, runs array<bigint>")
+    found = docs.mapInArrow(_scan(block), f"key long, own long, id {ddl}, place long, runs array<bigint>")
     by_key = Window.partitionBy("key", "settled")
     by_chunk = Window.partitionBy("key", "settled", "own")
     single, covered = ~F.col("many"), ~F.col("settled") & F.col("many")
@@ -335,11 +345,15 @@ def shared_spans(df: DataFrame, key: Column, text: Column, hot: int = HOT, block
         })
         .where("settled or shared")
         .select(
-            "id", "key", "border", "first", "last", covered.alias("covered"),
-            (~F.col("settled") & (single | (F.col("some_single") & (F.col("copy") == 1)))).alias("open"), "many", (F.col("size") > hot).alias("hot"), "runs",
+            "id", "key", "place",
+            (
+                F.when(covered, 1).otherwise(0) + F.when(~F.col("settled") & (single | (F.col("some_single") & (F.col("copy") == 1))), 2).otherwise(0)
+                + F.when(F.col("many"), 4).otherwise(0) + F.when(F.col("size") > hot, 8).otherwise(0)
+            ).alias("flags"),
+            "runs",
         )
     )
-    per_doc = judged.groupBy("id").agg(F.collect_list(F.struct("key", "border", "first", "last", "covered", "open", "many", "hot", "runs")).alias("items"))
+    per_doc = judged.groupBy("id").agg(F.collect_list(F.struct("key", "place", "flags", "runs")).alias("items"))
     opened = per_doc.hint("shuffle_hash").join(docs, "id").select("id", "items", "text").mapInArrow(
         _contexts, f"key long, id {ddl}, many boolean, border long, first long, last long, windows string, runs array<bigint>"
     )
