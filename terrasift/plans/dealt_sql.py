@@ -38,13 +38,43 @@ h AS (
   FROM f
 ),
 v AS (
-  SELECT id, case_id, at_utc, fields IS DISTINCT FROM lag(fields) OVER (PARTITION BY case_id ORDER BY at_utc, revision NULLS FIRST, id) AS opens
+  SELECT id, case_id, at_utc, revision, fields IS DISTINCT FROM lag(fields) OVER (PARTITION BY case_id ORDER BY at_utc, revision NULLS FIRST, id) AS opens
   FROM h
 )"""
 
+_OPEN = "CASE WHEN json_type({x}) = 'VARCHAR' AND json_valid({x} ->> '$') THEN CAST({x} ->> '$' AS JSON) ELSE {x} END"
+
+
+def _list(source: str, keep: str, child: str, expression: str, prefix: str) -> str:
+    """Elements of one list below ``source``: an object stands at position 0, nulls are no case."""
+    x = _OPEN.format(x=f"({expression})")
+    return (
+        f"SELECT {keep}, '{child}' AS child, {prefix}u.key AS child_key, u.value AS v FROM (SELECT {keep}, v AS pv, child_key AS pk, {x} AS x FROM {source}) s, json_each(CASE WHEN json_type(x) = 'ARRAY' THEN x WHEN json_type(x) = 'OBJECT' THEN json_array(x) ELSE '[]'::JSON END) u"
+        " WHERE json_type(u.value) <> 'NULL'"
+    )
+
+
+_RULE_LIST = _list("top", "src_table, record_id", "rules", "v -> '$.rules'", "'' || ")
+_CHILDREN = f"""
+raw AS (SELECT DISTINCT 'cases' AS src_table, id AS record_id, body AS t FROM cases UNION SELECT 'audit', CAST(id AS VARCHAR), snapshot FROM audit UNION SELECT 'rulesets', id, body FROM rulesets),
+top AS (SELECT src_table, record_id, {_OPEN.format(x='CAST(t AS JSON)')} AS v, '' AS child_key FROM raw WHERE json_valid(t)),
+ru AS (SELECT src_table, record_id, child, child_key, {_OPEN.format(x='v')} AS v FROM ({_RULE_LIST})),
+bd AS (SELECT src_table, record_id, child, child_key, {_OPEN.format(x='v')} AS v FROM ({_list('ru', 'src_table, record_id', 'bands', "v -> '$.bands'", "pk || '/' || ")})),
+al AS (
+  {_list('top', 'src_table, record_id', 'factors', "v -> '$.factors'", "'' || ")}
+  UNION ALL {_list('top', 'src_table, record_id', 'field_sources', "v -> '$.field_sources'", "'' || ")}
+  UNION ALL {_list('top', 'src_table, record_id', 'extraction_warnings', "v -> '$.extraction_warnings'", "'' || ")}
+  UNION ALL SELECT src_table, record_id, child, child_key, v FROM ru
+  UNION ALL SELECT src_table, record_id, child, child_key, v FROM bd
+  UNION ALL {_list('bd', 'src_table, record_id', 'band_values', "v -> '$.values'", "pk || '/' || ")}
+  UNION ALL {_list('bd', 'src_table, record_id', 'band_ranges', "v -> '$.ranges'", "pk || '/' || ")}
+  UNION ALL SELECT src_table, record_id, 'total_evidence', u.key, u.value FROM (SELECT src_table, record_id, {_OPEN.format(x="(v -> '$.total_evidence')")} AS x FROM top) s, json_each(CASE WHEN json_type(x) = 'OBJECT' THEN x ELSE '{{}}'::JSON END) u WHERE json_type(u.value) <> 'NULL'
+)"""
+
 SQL = {
+    "p6_found": f"WITH {_CHILDREN} SELECT DISTINCT src_table, record_id, child, CAST(child_key AS VARCHAR) AS child_key FROM al",
     "p1_found": f"WITH {_REFERENCES} SELECT DISTINCT child_table, ref_field, child_key, reason FROM judged WHERE reason IS NOT NULL",
     "p1_counts": f"WITH {_REFERENCES} SELECT child_table, ref_field, date_trunc('month', t) AS period, reason, count(*) AS n_references FROM judged WHERE reason IS NOT NULL GROUP BY ALL",
     "p5_found": f"WITH {_SNAPSHOTS} SELECT case_id, id AS audit_id FROM v WHERE opens",
-    "p5_history": f"WITH {_SNAPSHOTS} SELECT case_id, id AS audit_id, at_utc AS valid_from, lead(at_utc) OVER (PARTITION BY case_id ORDER BY at_utc, id) AS valid_to FROM v WHERE opens",
+    "p5_history": f"WITH {_SNAPSHOTS} SELECT case_id, id AS audit_id, at_utc AS valid_from, lead(at_utc) OVER (PARTITION BY case_id ORDER BY at_utc, revision NULLS FIRST, id) AS valid_to FROM v WHERE opens",
 }

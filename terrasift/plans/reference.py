@@ -561,9 +561,9 @@ def page_boxes(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def line_statistics(spark: SparkSession, folder: str) -> DataFrame:
-    """Confidence, rounded to 4 digits, and median glyph width per document; blank lines are left out."""
+    """Confidence in ten-thousandths and median glyph width per document; blank lines are left out."""
     l = _lines(spark, folder).where("trim(text) <> ''")
-    return l.groupBy("document_id").agg(F.count("*").alias("n"), F.round(F.avg(F.round("confidence", 4)), 6).alias("confidence"), F.round(F.percentile(((F.col("x2") - F.col("x1")) / F.length("text")), 0.5), 6).alias("glyph"))
+    return l.groupBy("document_id").agg(F.count("*").alias("n"), F.sum(F.round(F.col("confidence") * 10_000).cast("long")).alias("confidence"), F.round(F.percentile(((F.col("x2") - F.col("x1")) / F.length("text")), 0.5), 6).alias("glyph"))
 
 
 @query

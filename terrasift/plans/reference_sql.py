@@ -201,7 +201,7 @@ SQL = {
       SELECT event_id, max(m - i * 1100000) OVER (PARTITION BY event_type ORDER BY i ROWS UNBOUNDED PRECEDING) + i * 1100000 - m AS wait_us FROM e""",
     "repeated_mails": "SELECT source, doc_id, first_page FROM (SELECT source, doc_id, min(doc_id) OVER (PARTITION BY source, text) AS first_page FROM documents WHERE text IS NOT NULL) WHERE doc_id > first_page",
     "page_boxes": f"WITH {_LINES} SELECT document_id, page, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM ln GROUP BY 1, 2",
-    "line_statistics": f"WITH {_LINES} SELECT document_id, count(*) AS n, round(avg(round(confidence, 4)), 6) AS confidence, round(quantile_cont((x2 - x1) / length(text), 0.5), 6) AS glyph FROM ln WHERE trim(text) <> '' GROUP BY 1",
+    "line_statistics": f"WITH {_LINES} SELECT document_id, count(*) AS n, sum(CAST(round(confidence * 10000) AS BIGINT)) AS confidence, round(quantile_cont((x2 - x1) / length(text), 0.5), 6) AS glyph FROM ln WHERE trim(text) <> '' GROUP BY 1",
     "cell_accuracy": f"""WITH {_LINES}, c AS (SELECT document_id, page, ix AS cell_id, text AS expected, regexp_matches(text, '[0-9]') AS num, x1 AS c1, y1 AS c2, CASE WHEN ix % 5 = 0 THEN x1 + 1 ELSE x2 END AS c3, y2 AS c4 FROM ln),
       j AS (SELECT c.document_id, c.page, cell_id, expected, num, string_agg(l.text, '' ORDER BY l.x1, l.text) AS actual FROM c LEFT JOIN ln l ON c.document_id = l.document_id AND c.page = l.page AND (l.x1 + l.x2) / 2 >= c1 AND (l.x1 + l.x2) / 2 < c3 AND (l.y1 + l.y2) / 2 >= c2 AND (l.y1 + l.y2) / 2 < c4 GROUP BY 1, 2, 3, 4, 5)
       SELECT document_id, page, count(*) AS cells, count(*) FILTER (WHERE coalesce(actual, '') = expected) AS exact, count(*) FILTER (WHERE coalesce(actual, '') = expected AND num) AS numeric_exact FROM j GROUP BY 1, 2""",
