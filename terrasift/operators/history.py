@@ -36,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,45 +62,45 @@ def _nearest_smaller_left(rec: np.ndarray, seg: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sweep(pdf: pd.DataFrame) -> pd.DataFrame:
+def _changes(column: pa.ChunkedArray) -> np.ndarray:
+    """Whether each value differs from the one before; the first one does. Nulls equal nulls."""
+    ids = column.combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    out = np.ones(len(ids), bool)
+    out[1:] = ids[1:] != ids[:-1]
+    return out
+
+
+def _sweep(rows: pa.Table) -> pa.Table:
     """Neighbours and changes as far as one sorted partition tells them."""
-    pdf = pdf.drop_duplicates(KEY).reset_index(drop=True)
-    n = len(pdf)
-    ent = pdf["entity"].to_numpy()
-    new = np.ones(n, bool)
-    new[1:] = ent[1:] != ent[:-1]
+    new = _changes(rows["entity"])
+    same = ~(new | _changes(rows["valid"]) | _changes(rows["ord"]) | _changes(rows["rec"]))
+    if same.any():
+        rows = rows.filter(pa.array(~same))
+        new = _changes(rows["entity"])
+    n = len(rows)
     seg = np.cumsum(new)
-    rec = pdf["rec"].to_numpy(np.int64)
+    rec = rows["rec"].to_numpy()
     left = _nearest_smaller_left(rec, seg)
     right = _nearest_smaller_left(rec[::-1], seg[::-1])[::-1]
     right = np.where(right >= 0, n - 1 - right, -1)
-    valid = pdf["valid"].to_numpy()
-    fp = pdf["fp"].to_numpy(np.int64)
-    opens = new.copy()
-    opens[1:] |= fp[1:] != fp[:-1]
-    nxt = np.full(n, -1)
-    nxt[:-1] = np.where(new[1:], -1, np.arange(1, n))
-    out = pdf.assign(
-        pid=TaskContext.get().partitionId(),
-        pos=np.arange(n),
-        opens=opens,
-        pred=pd.array(np.where(left >= 0, rec[left], 0), dtype="Int64"),
-        succ_valid=pd.Series(valid[right]).where(right >= 0),
-        has_succ=right >= 0,
-        first_seg=seg == 1,
-        last_seg=seg == (seg[-1] if n else 0),
-    )
-    out.loc[left < 0, "pred"] = pd.NA
-    return out
+    take = lambda name, at: rows[name].combine_chunks().take(pa.array(at, pa.int64(), mask=at < 0))
+    more = {
+        "pid": pa.array(np.full(n, TaskContext.get().partitionId()), pa.int32()), "pos": pa.array(np.arange(n), pa.int64()), "opens": pa.array(new | _changes(rows["fp"])),
+        "pred": take("rec", left), "succ_valid": take("valid", right), "has_succ": pa.array(right >= 0), "first_seg": pa.array(seg == 1), "last_seg": pa.array(seg == (seg[-1] if n else 0)),
+    }
+    for name, column in more.items():
+        rows = rows.append_column(name, column)
+    return rows
 
 
 def ledger(df: DataFrame, entity: Column, valid: Column, recorded: Column, attributes: dict[str, Column], order: Column | None = None) -> DataFrame:
     """The bitemporal ledger of ``df``.
 
-    Columns: ``entity, observation, valid_from, valid_to, recorded_from,
+    Columns: ``entity, observation, valid_from, in_moment, valid_to, recorded_from,
     recorded_to, opens`` and the attributes. ``observation`` is the recorded number
-    of the observation that gave the attributes. ``opens`` says that they differ
-    from those valid before, as believed at last.
+    of the observation that gave the attributes; ``in_moment`` orders observations of
+    one moment. ``opens`` says that the attributes differ from those valid before, as
+    believed at last.
     """
     names = list(attributes)
     rows = df.select(
@@ -107,15 +108,16 @@ def ledger(df: DataFrame, entity: Column, valid: Column, recorded: Column, attri
         recorded.cast("long").alias("rec"), *[c.cast("string").alias(f"a_{k}") for k, c in attributes.items()],
     ).where("entity is not null and rec is not null")
     rows = rows.withColumn("fp", F.xxhash64(F.to_json(F.struct(*[f"a_{k}" for k in names]))))
+    rows = cut_lineage(rows)  # ranges are found by sampling, so the rows are read twice
     sorted_rows = rows.repartitionByRange(*KEY).sortWithinPartitions(*KEY)
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema.fields)}, pid int, pos long, opens boolean, pred long, succ_valid timestamp_ntz, has_succ boolean, first_seg boolean, last_seg boolean"
 
-    def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = list(batches)
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
         if held:
-            yield _sweep(pd.concat(held, ignore_index=True))
+            yield from _sweep(pa.Table.from_batches(held)).to_batches(max_chunksize=20_000)
 
-    swept = cut_lineage(sorted_rows.mapInPandas(sweep, schema))
+    swept = cut_lineage(sorted_rows.mapInArrow(sweep, schema))
     edge = (
         swept.where("first_seg or last_seg").groupBy("pid", "entity")
         .agg(F.min("rec").alias("least"), F.max_by("fp", "pos").alias("last_fp"), F.max_by("rec", "pos").alias("last_rec"))
@@ -134,24 +136,32 @@ def ledger(df: DataFrame, entity: Column, valid: Column, recorded: Column, attri
 
 
 def _across(by_entity: dict[str, list]):
-    """Looks up, for rows at a partition's border, the partition their neighbour is in."""
+    """Looks up, for rows at a partition's border, the partition their neighbour is in.
+
+    A row looks beyond the border only if some partition there has an earlier-recorded
+    row, which one comparison with the least number there tells for all rows at once.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             left_pid, right_pid, opens = [None] * len(pdf), [None] * len(pdf), pdf["opens"].to_numpy().copy()
-            hit = pdf["entity"].isin(by_entity.keys()).to_numpy()
-            before: dict = {}
-            for i in np.flatnonzero(hit):
-                row = pdf.iloc[i]
-                near, pid, rec = by_entity[row["entity"]], row["pid"], row["rec"]
-                if row["first_seg"] and (pd.isna(row["pred"]) or row["pos"] == 0):
-                    earlier = before.setdefault((row["entity"], pid), [x for x in reversed(near) if x[0] < pid])
-                    if row["pos"] == 0 and earlier:
-                        opens[i] = earlier[0][2] != row["fp"]
-                    if pd.isna(row["pred"]):
-                        left_pid[i] = next((p for p, least, _ in earlier if least < rec), None)
-                if row["last_seg"] and not row["has_succ"]:
-                    right_pid[i] = next((p for p, least, _ in near if p > pid and least < rec), None)
+            rec, pos, fp = pdf["rec"].to_numpy(), pdf["pos"].to_numpy(), pdf["fp"].to_numpy()
+            asks_left = (pdf["first_seg"] & pdf["pred"].isna()).to_numpy()
+            asks_right = (pdf["last_seg"] & ~pdf["has_succ"]).to_numpy()
+            begins = pdf["first_seg"].to_numpy() & (pos == 0)
+            edge = np.flatnonzero((asks_left | asks_right | begins) & pdf["entity"].isin(by_entity.keys()).to_numpy())
+            for (entity, pid), at in pdf.iloc[edge].groupby(["entity", "pid"]).indices.items():
+                at = edge[at]
+                near = by_entity[entity]
+                earlier, later = [x for x in reversed(near) if x[0] < pid], [x for x in near if x[0] > pid]
+                if earlier:
+                    for i in at[begins[at]]:
+                        opens[i] = earlier[0][2] != fp[i]
+                    for i in at[asks_left[at] & (rec[at] > min(x[1] for x in earlier))]:
+                        left_pid[i] = next(p for p, least, _ in earlier if least < rec[i])
+                if later:
+                    for i in at[asks_right[at] & (rec[at] > min(x[1] for x in later))]:
+                        right_pid[i] = next(p for p, least, _ in later if least < rec[i])
             yield pdf.assign(opens=opens, left_pid=pd.array(left_pid, dtype="Int32"), right_pid=pd.array(right_pid, dtype="Int32"))
 
     return run
@@ -176,14 +186,14 @@ def _settle(done: DataFrame, schema: str) -> DataFrame:
 
 
 def _intervals(done: DataFrame, names: list[str]) -> DataFrame:
-    attrs = F.struct(F.col("valid").alias("valid_from"), "opens", *[F.col(f"a_{k}").alias(k) for k in names])
+    attrs = F.struct(F.col("valid").alias("valid_from"), F.col("ord").alias("in_moment"), "opens", *[F.col(f"a_{k}").alias(k) for k in names])
     first = done.select("entity", F.col("rec").alias("observation"), F.col("rec").alias("recorded_from"), F.col("succ_valid").alias("valid_to"), attrs.alias("own"))
     later = done.where("pred is not null").select("entity", F.col("pred").alias("observation"), F.col("rec").alias("recorded_from"), F.col("valid").alias("valid_to"), F.lit(None).cast(first.schema["own"].dataType).alias("own"))
     w = Window.partitionBy("entity", "observation").orderBy("recorded_from")
     rows = first.unionByName(later).select(
         "entity", "observation", "valid_to", "recorded_from", F.lead("recorded_from").over(w).alias("recorded_to"), F.first("own", ignorenulls=True).over(w).alias("own")
     )
-    return rows.select("entity", "observation", "own.valid_from", "valid_to", "recorded_from", "recorded_to", "own.opens", *[f"own.{k}" for k in names])
+    return rows.select("entity", "observation", "own.valid_from", "own.in_moment", "valid_to", "recorded_from", "recorded_to", "own.opens", *[f"own.{k}" for k in names])
 
 
 def as_recorded(led: DataFrame, recorded: int | None = None) -> DataFrame:
@@ -200,6 +210,6 @@ def versions(led: DataFrame) -> DataFrame:
     opens the version. Only opening rows are windowed, so an entity's group holds
     its changes, not its observations.
     """
-    opening = as_recorded(led).where("opens").select("entity", "observation", "valid_from")
-    w = Window.partitionBy("entity").orderBy("valid_from", "observation")
-    return opening.withColumn("valid_to", F.lead("valid_from").over(w))
+    opening = as_recorded(led).where("opens").select("entity", "observation", "valid_from", "in_moment")
+    w = Window.partitionBy("entity").orderBy("valid_from", "in_moment", "observation")
+    return opening.withColumn("valid_to", F.lead("valid_from").over(w)).drop("in_moment")
