@@ -14,9 +14,10 @@ ROW = "map<string,string>"
 
 
 def json_arrays(spark: SparkSession, path: str) -> DataFrame:
-    """``source, ix, row``: the objects of JSON array files. Anything that is no object has a null row."""
+    """``source, ix, row``: the objects of JSON array files. What is no object, or a file that is no array, has a null row."""
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("source"), F.regexp_replace("value", "^﻿", "").alias("value"))
-    return files.select("source", F.posexplode(F.from_json("value", f"array<{ROW}>")).alias("ix", "row"))
+    items = files.select("source", F.posexplode_outer(F.from_json("value", "array<string>")).alias("ix", "item"))
+    return items.select("source", "ix", F.from_json("item", ROW).alias("row"))
 
 
 def csv_rows(spark: SparkSession, path: str) -> DataFrame:
