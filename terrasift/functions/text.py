@@ -6,7 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 PUNCTUATION = "、，,（）()／/"
-TOKEN = "[㐀-鿿]+|[a-z0-9]+"
+_HAN = "[㐀-鿿]"
+# one capture at every place where a token begins: a pair of ideographs, a lone one, or a whole word
+TOKEN = f"(?=({_HAN}{{2}}|(?<!{_HAN}){_HAN}|(?<![a-z0-9])[a-z0-9]+))"
 
 
 def compact(text: Column) -> Column:
@@ -16,9 +18,7 @@ def compact(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-case words of letters and digits, and character pairs of ideograph runs (a lone one stays)."""
-    runs = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
-    pairs = lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.substr(r, i, F.lit(2)))
-    return F.flatten(F.transform(runs, lambda r: F.when(r.rlike("^[㐀-鿿]"), pairs(r)).otherwise(F.array(r))))
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(1))
 
 
 def chunk_starts(text: Column, step: int) -> Column:

@@ -41,6 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrasift.operators.ordered import with_next
 from terrasift.session import cut_lineage
 
 KEY = ["entity", "valid", "ord", "rec"]
@@ -207,9 +208,8 @@ def versions(led: DataFrame) -> DataFrame:
     """Current versions: neighbouring intervals with equal attributes become one.
 
     ``entity, observation, valid_from, valid_to``; the observation is the one that
-    opens the version. Only opening rows are windowed, so an entity's group holds
-    its changes, not its observations.
+    opens the version.
     """
     opening = as_recorded(led).where("opens").select("entity", "observation", "valid_from", "in_moment")
-    w = Window.partitionBy("entity").orderBy("valid_from", "in_moment", "observation")
-    return opening.withColumn("valid_to", F.lead("valid_from").over(w)).drop("in_moment")
+    out = with_next(opening, ["entity"], ["valid_from", "in_moment", "observation"], ["valid_from"], F.unix_date(F.to_date("valid_from")), "_n")
+    return out.select("entity", "observation", "valid_from", F.col("_n.valid_from").alias("valid_to"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrasift.operators.ordered import with_previous, with_rank, with_running_max
+
 
 def latest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The last row of each key. A ``max_by`` aggregate: combined before the shuffle, no sort of a key's rows."""
@@ -13,23 +15,23 @@ def latest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return rows.groupBy(*key).agg(top).select(*key, *[F.col("_top")[c].alias(c) for c in rest]).select(*rows.columns)
 
 
-def accepted_writes(rows: DataFrame, key: list[str], order: list[str], revision: str) -> DataFrame:
+def accepted_writes(rows: DataFrame, key: list[str], order: list[str], revision: str, bucket: Column) -> DataFrame:
     """Replays compare-and-set: a write with revision r is accepted when r is one more than the last seen before it.
 
     ``expected`` is what the writer had to hold. Only the previous row matters, as a
-    rejected write is answered by a reload of the stored revision.
+    rejected write is answered by a reload of the stored revision. ``bucket``: see
+    ``ordered``.
     """
-    w = Window.partitionBy(*key).orderBy(*order)
-    prev = F.coalesce(F.lag(revision).over(w), F.lit(0))
-    return rows.withColumns({"expected": prev + 1, "accepted": F.coalesce(F.col(revision) == prev + 1, F.lit(False))})
+    prev = F.coalesce(F.col("_p")[revision], F.lit(0))
+    out = with_previous(rows, key, order, [revision], bucket, "_p")
+    return out.withColumns({"expected": prev + 1, "accepted": F.coalesce(F.col(revision) == prev + 1, F.lit(False))}).drop("_p")
 
 
-def changed_fields(rows: DataFrame, key: list[str], order: list[str], fields: list[str]) -> DataFrame:
+def changed_fields(rows: DataFrame, key: list[str], order: list[str], fields: list[str], bucket: Column) -> DataFrame:
     """Fields that differ from the row before, one row each: ``key, order, field, old, new``."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    pairs = [F.struct(F.lit(f).alias("field"), F.lag(f).over(w).cast("string").alias("old"), F.col(f).cast("string").alias("new")) for f in fields]
-    first = F.row_number().over(w) == 1
-    return rows.select(*key, *order, first.alias("_first"), F.array(*pairs).alias("_p")).where("not _first").select(*key, *order, F.inline("_p")).where("not (old <=> new)")
+    out = with_previous(rows, key, order, fields, bucket, "_p").where("_p is not null")
+    pairs = [F.struct(F.lit(f).alias("field"), F.col("_p")[f].cast("string").alias("old"), F.col(f).cast("string").alias("new")) for f in fields]
+    return out.select(*key, *order, F.inline(F.array(*pairs))).where("not (old <=> new)")
 
 
 def fifo_cache(entries: DataFrame, at: str, rows: str, budget: int, key: list[str]) -> DataFrame:
@@ -63,15 +65,14 @@ def spaced(rows: DataFrame, key: list[str], at: str, tie: str, seconds: float) -
     """When each call of a key may run at the earliest, if calls are at least ``seconds`` apart.
 
     With calls in order, start_i = max(at_i, start_{i-1} + gap), which is a running
-    maximum of at_i - i*gap, plus i*gap: one window, no loop.
+    maximum of at_i - i*gap, plus i*gap: no loop.
     """
-    w = Window.partitionBy(*key).orderBy(at, tie)
     gap = int(seconds * 1_000_000)
-    i = F.row_number().over(w).cast("long")
+    day = F.unix_date(F.to_date(at))
     micros = F.unix_micros(F.col(at).cast("timestamp"))
-    base = rows.withColumns({"_i": i, "_m": micros}).withColumn("_s", F.col("_m") - F.col("_i") * gap)
-    run = F.max("_s").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_i") * gap
-    return base.withColumn("wait_us", run - F.col("_m")).drop("_i", "_m", "_s")
+    base = with_rank(rows, key, [at, tie], day, "_i").withColumn("_m", micros).withColumn("_s", F.col("_m") - F.col("_i") * gap)
+    run = with_running_max(base, key, [at, tie], "_s", day, "_run")
+    return run.withColumn("wait_us", F.col("_run") + F.col("_i") * gap - F.col("_m")).drop("_i", "_m", "_s", "_run")
 
 
 def repeated_pages(pages: DataFrame, key: list[str], page: str, content: Column) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrasift.functions.text import chunk_starts, tokens
+from terrasift.session import cut_lineage
 
 STEP, LENGTH = 680, 800
 K1, B = 1.2, 0.75
@@ -42,10 +43,11 @@ def bm25(pieces: DataFrame, key: list[str], chunk: str, questions: DataFrame, k:
     held = [r["term"] for r in terms.select("term").distinct().limit(MOST_QUERY_TERMS + 1).collect()]
     if len(held) > MOST_QUERY_TERMS:
         raise ValueError(f"more than {MOST_QUERY_TERMS} query terms")
-    toks = pieces.select(*key, tokens(F.col(chunk)).alias("toks")).select(*key, F.size("toks").alias("len"), "toks").where("len > 0")
+    toks = pieces.select(*key, tokens(F.col(chunk)).alias("toks"))
     wanted = F.array(*[F.lit(t) for t in held]) if held else F.array().cast("array<string>")
     hits = F.filter("toks", lambda t: F.array_contains(wanted, t))
-    slim = toks.select(*key, "len", hits.alias("hits"))
+    # lengths and hits are small next to the texts and used three times: texts are tokenised once
+    slim = cut_lineage(toks.select(*key, F.size("toks").alias("len"), hits.alias("hits"))).where("len > 0")
     stats = slim.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
     tf = slim.withColumn("term", F.explode("hits")).groupBy(*key, "len", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))

@@ -72,7 +72,8 @@ def audit_ledger(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return versions(audit_ledger(spark, folder)).select(F.col("entity").alias("case_id"), F.col("observation").alias("audit_id"))
+    current = as_recorded(audit_ledger(spark, folder)).where("opens")
+    return current.select(F.col("entity").alias("case_id"), F.col("observation").alias("audit_id"))
 
 
 def p5_history(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrasift.functions import numbers as N
@@ -16,6 +16,7 @@ from terrasift.operators import layout as L
 from terrasift.operators import logs as G
 from terrasift.operators import retrieval as R
 from terrasift.operators.nested import shred
+from terrasift.operators.ordered import with_previous
 from terrasift.plans.dealt import snapshot_fields
 from terrasift.sources import sinks
 from terrasift.sources.records import keyword_filter
@@ -498,13 +499,13 @@ def _revisions(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def accepted_writes(spark: SparkSession, folder: str) -> DataFrame:
-    w = G.accepted_writes(_revisions(spark, folder).where("case_id is not null"), ["case_id"], ["id"], "revision")
+    w = G.accepted_writes(_revisions(spark, folder).where("case_id is not null"), ["case_id"], ["id"], "revision", F.floor(F.col("id") / 10_000))
     return w.groupBy("case_id").agg(F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("rejected"))
 
 
 @query
 def changed_fields(spark: SparkSession, folder: str) -> DataFrame:
-    c = G.changed_fields(_revisions(spark, folder).where("case_id is not null"), ["case_id"], ["id"], ["locality", "land_use", "ruleset_id"])
+    c = G.changed_fields(_revisions(spark, folder).where("case_id is not null"), ["case_id"], ["id"], ["locality", "land_use", "ruleset_id"], F.floor(F.col("id") / 10_000))
     return c.select("case_id", "id", "field", "old", "new")
 
 
@@ -637,6 +638,6 @@ def stream_without_repeats(spark: SparkSession, folder: str) -> DataFrame:
 def session_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Sessions of each user that end after a day without an event (the batch form)."""
     e = table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.coalesce(F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w)) >= 86_400_000_000, F.lit(True))
-    return e.withColumn("new", gap.cast("int")).groupBy("user_id").agg(F.sum("new").alias("sessions"), F.count("*").alias("n"))
+    p = with_previous(e, ["user_id"], ["ts", "event_id"], ["ts"], F.unix_date(F.to_date("ts")))
+    gap = F.coalesce(F.unix_micros("ts") - F.unix_micros("previous.ts") >= 86_400_000_000, F.lit(True))
+    return p.withColumn("new", gap.cast("int")).groupBy("user_id").agg(F.sum("new").alias("sessions"), F.count("*").alias("n"))

@@ -100,8 +100,8 @@ def test_logs(spark):
     wait = {(r.k, r.i): r.wait_us for r in G.spaced(rows, ["k"], "at", "i", 1.1).collect()}
     assert wait == {("a", 1): 0, ("a", 2): 0, ("a", 3): 600_000, ("b", 1): 0}
     writes = spark.createDataFrame([("c", 1, 1), ("c", 2, 2), ("c", 3, 2), ("c", 4, 3), ("c", 5, None)], "k string, id int, rev int")
-    assert {r.id: r.accepted for r in G.accepted_writes(writes, ["k"], ["id"], "rev").collect()} == {1: True, 2: True, 3: False, 4: True, 5: False}
-    ch = G.changed_fields(writes, ["k"], ["id"], ["rev"]).collect()
+    assert {r.id: r.accepted for r in G.accepted_writes(writes, ["k"], ["id"], "rev", F.floor(F.col("id") / 2)).collect()} == {1: True, 2: True, 3: False, 4: True, 5: False}
+    ch = G.changed_fields(writes, ["k"], ["id"], ["rev"], F.floor(F.col("id") / 2)).collect()
     assert [(r.id, r.old, r.new) for r in sorted(ch, key=lambda r: r.id)] == [(2, "1", "2"), (4, "2", "3"), (5, "3", None)]
     pages = spark.createDataFrame([("s", 0, "x"), ("s", 1, "y"), ("s", 3, "x"), ("t", 4, "x")], "k string, page int, body string")
     assert [tuple(r) for r in G.repeated_pages(pages, ["k"], "page", F.col("body")).collect()] == [("s", 3, 0)]
@@ -134,3 +134,24 @@ def test_layout(spark):
     lines = spark.createDataFrame([("p", "a b", 0.0, 0.0, 10.0, 10.0), ("p", "c", 12.0, 0.0, 14.0, 10.0)], "k string, text string, x1 double, y1 double, x2 double, y2 double")
     cells = spark.createDataFrame([("p", 1, "abc", True, 0.0, 0.0, 20.0, 10.0), ("p", 2, "", False, 50.0, 0.0, 60.0, 10.0)], "k string, cell_id int, expected string, numeric boolean, c_x1 double, c_y1 double, c_x2 double, c_y2 double")
     assert [(r.cell_id, r.actual, r.exact) for r in L.cell_scores(lines, cells, ["k"]).orderBy("cell_id").collect()] == [(1, "a bc", True), (2, "", True)]
+
+
+def test_ordered(spark):
+    import random
+
+    from terrasift.operators import ordered as P
+
+    rnd = random.Random(1)
+    data = [(rnd.choice(["hot", "hot", "a", None]), i, rnd.randint(0, 9) if i % 7 else None) for i in range(60)]
+    df = spark.createDataFrame(data, "k string, i int, v int").withColumns({"_near_": F.lit(1)})
+    b = F.floor(F.col("i") / 5)
+    out = P.with_running_max(P.with_rank(P.with_next(P.with_previous(df, ["k"], ["i"], ["v", "i"], b), ["k"], ["i"], ["i"], b), ["k"], ["i"], b), ["k"], ["i"], "v", b)
+    got = {r.i: (r.previous and (r.previous.v, r.previous.i), r.next and r.next.i, r["rank"], r.running) for r in out.collect()}
+    by: dict = {}
+    for k, i, v in data:
+        by.setdefault(k, []).append((i, v))
+    for line in by.values():
+        for n, (i, v) in enumerate(line):
+            seen = [x for _, x in line[: n + 1] if x is not None]
+            assert got[i] == ((line[n - 1][1], line[n - 1][0]) if n else None, line[n + 1][0] if n + 1 < len(line) else None, n + 1, max(seen) if seen else None)
+    assert P.with_previous(df.limit(0), ["k"], ["i"], ["v"], b).count() == 0
