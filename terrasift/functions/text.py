@@ -91,3 +91,13 @@ def intervals(text: Column) -> Column:
         return out
 
     return F.filter(F.transform(F.split(text, "或"), one), lambda x: x.isNotNull())
+
+
+def short_digest(*parts: Column) -> Column:
+    """16 hex digits that identify content."""
+    return F.substring(F.sha2(F.concat_ws("\x1f", *parts), 256), 1, 16)
+
+
+def allowed_url(url: Column, hosts: list[str]) -> Column:
+    """Whether a URL is https and its host is on the list."""
+    return F.coalesce((F.try_parse_url(url, F.lit("PROTOCOL")) == "https") & F.try_parse_url(url, F.lit("HOST")).isin(*hosts), F.lit(False))

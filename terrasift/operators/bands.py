@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrasift.functions.text import intervals
+
 
 def inside(value: Column, lo: Column, lo_incl: Column, hi: Column, hi_incl: Column) -> Column:
     """Membership in an interval; a null bound is open."""
@@ -108,3 +110,19 @@ def matrix_faults(cells: DataFrame, sizes: DataFrame, rule: list[str], most: flo
         F.when(F.col("diagonal") != 0, "diagonal"), F.when(F.col("largest") > most, "magnitude"), F.when(F.col("odd"), "antisymmetry"),
     )
     return j.select(*rule, F.explode(F.filter(codes, lambda x: x.isNotNull())).alias("code"))
+
+
+def criterion_kind(bodies: Column) -> Column:
+    """What the criteria of a rule's grades describe: manual, facility, count, numeric or categorical.
+
+    The first that fits: an empty body or a reference to a note is manual; a state
+    inside the section together with a state of absence is a facility; absence alone
+    is manual; numbers of items are a count; intervals in every body are numeric.
+    """
+    has = lambda word: F.exists(bodies, lambda b: b.contains(word))
+    empty = F.coalesce(F.size(bodies) == 0, F.lit(True)) | F.exists(bodies, lambda b: F.coalesce(F.trim(b) == "", F.lit(True)))
+    counts = F.forall(bodies, lambda b: b.rlike(r"^\s*(無|(?:[零一二兩三四五六七八九十]|[0-9]+)\s*項(以上)?)\s*$"))
+    return (
+        F.when(empty | has("詳備註") | has("人工判定"), "manual").when(has("區段內") & has("無"), "facility").when(has("或無"), "manual")
+        .when(has("項") & counts, "count").when(F.forall(bodies, lambda b: F.size(intervals(b)) > 0), "numeric").otherwise("categorical")
+    )

@@ -75,3 +75,44 @@ def extract_fields(lines: DataFrame, key: list[str], text: str, patterns: DataFr
     table = [(r["field"], r["pattern"]) for r in patterns.select("field", "pattern").orderBy("field").limit(1000).collect()]
     found = F.array(*[F.struct(F.lit(f).alias("field"), F.nullif(F.regexp_extract(F.col(text), p, 1), F.lit("")).alias("value")) for f, p in table])
     return lines.select(*key, F.inline(found)).where("value is not null")
+
+
+def labelled_values(pages: DataFrame, key: list[str], labels: DataFrame) -> DataFrame:
+    """Values printed on the lines after a label: ``key, label, line, subject, comparable, rate``.
+
+    ``labels``: label, words (array of words that count as values). A label line holds
+    the label alone, perhaps with a number before it. Of the up to four lines after it
+    the first that is neither a number nor a word ends the run; exactly two values are
+    taken, or three if the third is a percentage. Lines never cross a page.
+    """
+    lines = pages.select(*key, F.split("text", "\r\n|\n|\r").alias("_l")).select(
+        *key, F.posexplode(F.transform("_l", lambda x, i: F.struct(x.alias("line"), F.slice(F.col("_l"), i + 2, F.lit(4)).alias("next")))).alias("line", "_s")
+    )
+    lines = lines.withColumn("_label", F.regexp_replace(squeezed(F.col("_s.line")), "^[0-9]*", ""))
+    tags = labels.select(squeezed(F.col("label")).alias("_label"), "label", F.transform("words", squeezed).alias("words"))
+    value = lambda v: v.rlike(r"^[-+]?[0-9][0-9,]*(\.[0-9]+)?[%％]?$") | F.array_contains("words", v)
+    run = F.aggregate(
+        F.transform("_s.next", squeezed), F.struct(F.array().cast("array<string>").alias("v"), F.lit(True).alias("go")),
+        lambda acc, x: F.when(acc["go"] & value(x), F.struct(F.array_append(acc["v"], x).alias("v"), F.lit(True).alias("go"))).otherwise(F.struct(acc["v"].alias("v"), F.lit(False).alias("go"))),
+        lambda acc: acc["v"],
+    )
+    j = lines.join(tags, "_label").withColumn("_v", run)
+    third = F.try_element_at("_v", F.lit(3))
+    good = (F.size("_v") == 2) | ((F.size("_v") == 3) & third.rlike("[%％]$"))
+    return j.where(good).select(*key, "label", "line", F.element_at("_v", 1).alias("subject"), F.element_at("_v", 2).alias("comparable"), third.alias("rate"))
+
+
+def ticked(text: Column, option: str) -> Column:
+    """Whether an option stands after a ticked box."""
+    return F.coalesce(text.rlike(rf"[☑■●]\s*\Q{option}\E"), F.lit(False))
+
+
+def single_match(text: Column, pattern: str) -> Column:
+    """The one distinct match of a pattern, or null when there is none or several."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    return F.when(F.size(found) == 1, F.element_at(found, 1))
+
+
+def expired_sources(sources: DataFrame, values: DataFrame, key: list[str]) -> DataFrame:
+    """Provenance rows (key, value, ...) whose value is not, or no longer, the one in ``values`` (key, value)."""
+    return sources.join(values.select(*key, "value"), [*key, "value"], "left_anti")

@@ -7,6 +7,7 @@ boxes and has no relational form; it runs per page on Arrow batches of whole pag
 
 from __future__ import annotations
 
+import re
 import statistics
 import unicodedata
 from collections.abc import Iterator
@@ -117,3 +118,36 @@ def bounding_box(boxes: Column) -> Column:
     """``struct<x1,y1,x2,y2>`` around an array of boxes."""
     at = lambda i: F.transform(boxes, lambda b: F.element_at(b, i))
     return F.struct(F.array_min(at(1)).alias("x1"), F.array_min(at(2)).alias("y1"), F.array_max(at(3)).alias("x2"), F.array_max(at(4)).alias("y2"))
+
+
+_NUMBER = re.compile(r"(?<![\d.])[-+]?\d+(?:\.\d+)?(?![\d.])")
+_SIGNS = str.maketrans("＋－−﹣％", "+---%")
+
+
+def printed_matrices(pages: DataFrame, key: list[str]) -> DataFrame:
+    """``key, block, size, top, cells``: square number blocks printed on pages (columns lines, height).
+
+    Boxes of one row are read from left to right; a row counts if it holds numbers only.
+    """
+    ddl = ", ".join(f"`{k}` {pages.schema[k].dataType.simpleString()}" for k in key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, out = [], [[], [], [], []]
+            for p, (lines, height) in enumerate(zip(batch.column(len(key)).to_pylist(), batch.column(len(key) + 1).to_pylist())):
+                good = [x for x in lines or [] if x and x["text"] is not None and x["bbox"] and len(x["bbox"]) == 4 and None not in x["bbox"]]
+                boxes = [tuple(x["bbox"]) for x in good]
+                rows = []
+                for row in rows_of(boxes):
+                    text = " ".join(good[i]["text"] for i in sorted(row, key=lambda i: boxes[i][0])).translate(_SIGNS)
+                    if not _NUMBER.sub("", text).strip():
+                        rows.append((sum((boxes[i][1] + boxes[i][3]) / 2 for i in row) / len(row), [float(x) for x in _NUMBER.findall(text)]))
+                for b, (first, n) in enumerate(matrix_blocks(rows, height or 1400.0)):
+                    at.append(p)
+                    for col, x in zip(out, (b, n, rows[first][0], [v for _, r in rows[first : first + n] for v in r])):
+                        col.append(x)
+            kinds = (pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.float64()))
+            keys = [batch.column(i).take(pa.array(at, pa.int64())) for i in range(len(key))]
+            yield pa.RecordBatch.from_arrays([*keys, *[pa.array(c, k) for c, k in zip(out, kinds)]], [*key, "block", "size", "top", "cells"])
+
+    return pages.select(*key, "lines", "height").mapInArrow(run, f"{ddl}, block int, size int, top double, cells array<double>")

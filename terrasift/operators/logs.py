@@ -80,3 +80,17 @@ def repeated_pages(pages: DataFrame, key: list[str], page: str, content: Column)
     d = pages.select(*key, page, F.sha2(content, 256).alias("digest"))
     first = d.groupBy(*key, "digest").agg(F.min(page).alias("first_page"), F.count("*").alias("n")).where("n > 1")
     return d.join(first, [*key, "digest"]).where(F.col(page) > F.col("first_page")).select(*key, page, "first_page")
+
+
+def member_changes(old: DataFrame, new: DataFrame, key: list[str], fields: list[str]) -> DataFrame:
+    """Members added, removed or changed between two states: ``key, change``; equal members are left out."""
+    o = old.select(*key, F.struct(*fields).alias("_o"), F.lit(True).alias("_in_old"))
+    n = new.select(*key, F.struct(*fields).alias("_n"), F.lit(True).alias("_in_new"))
+    j = o.join(n, key, "full")
+    change = F.when(F.col("_in_old").isNull(), "added").when(F.col("_in_new").isNull(), "removed").when(~F.col("_o").eqNullSafe(F.col("_n")), "changed")
+    return j.select(*key, change.alias("change")).where("change is not null")
+
+
+def ready(rows: DataFrame, group: list[str], good: Column) -> DataFrame:
+    """Whether all rows of a group are good; a null is not."""
+    return rows.groupBy(*group).agg(F.bool_and(F.coalesce(good, F.lit(False))).alias("ready"), F.count("*").alias("n"))

@@ -641,3 +641,86 @@ def session_counts(spark: SparkSession, folder: str) -> DataFrame:
     p = with_previous(e, ["user_id"], ["ts", "event_id"], ["ts"], F.unix_date(F.to_date("ts")))
     gap = F.coalesce(F.unix_micros("ts") - F.unix_micros("previous.ts") >= 86_400_000_000, F.lit(True))
     return p.withColumn("new", gap.cast("int")).groupBy("user_id").agg(F.sum("new").alias("sessions"), F.count("*").alias("n"))
+
+
+# ---- further extraction and comparison ---------------------------------------------------------------
+
+
+def _factors(spark: SparkSession, folder: str) -> DataFrame:
+    """Factors of current cases: case_id, ix, factor_id, subject, comparable."""
+    nodes = shred(table(spark, folder, "cases"), F.col("id"), F.col("body"), ["factors/*/id", "factors/*/subject", "factors/*/comparable"], ["factors"]).where("kind = 'scalar'").distinct()
+    wide = nodes.select(F.col("record_id").alias("case_id"), F.split("label", "/")[1].cast("int").alias("ix"), F.split("label", "/")[2].alias("f"), "value")
+    return wide.groupBy("case_id", "ix").pivot("f", ["id", "subject", "comparable"]).agg(F.first("value")).withColumnRenamed("id", "factor_id").where("factor_id is not null")
+
+
+def _field_sources(spark: SparkSession, folder: str) -> DataFrame:
+    fields = ["factor_id", "field", "kind", "value"]
+    nodes = shred(table(spark, folder, "cases"), F.col("id"), F.col("body"), [f"field_sources/*/{f}" for f in fields], ["field_sources"]).where("kind = 'scalar'").distinct()
+    wide = nodes.select(F.col("record_id").alias("case_id"), F.split("label", "/")[1].cast("int").alias("ix"), F.split("label", "/")[2].alias("f"), "value")
+    return wide.groupBy("case_id", "ix").pivot("f", fields).agg(F.first("value"))
+
+
+@query
+def sources_expired(spark: SparkSession, folder: str) -> DataFrame:
+    """Provenance rows of current cases whose value does not stand in the factor."""
+    f = _factors(spark, folder)
+    values = f.select("case_id", "factor_id", F.inline(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in ("subject", "comparable")]))).distinct()
+    return E.expired_sources(_field_sources(spark, folder), values, ["case_id", "factor_id", "field"]).select("case_id", "ix", "factor_id", "field", "value").distinct()
+
+
+@query
+def draft_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """Document factors whose first and last draft differ, appear or disappear between two halves of the drafts."""
+    d = table(spark, folder, "pdf_drafts").select("draft_id", "document_id", "factor_id", "subject", "comparable").distinct()
+    state = lambda x: G.latest(x, ["document_id", "factor_id"], ["draft_id"])
+    return G.member_changes(state(d.where("draft_id % 2 = 0")), state(d.where("draft_id % 2 = 1")), ["document_id", "factor_id"], ["subject", "comparable"])
+
+
+@query
+def documents_ready(spark: SparkSession, folder: str) -> DataFrame:
+    d = table(spark, folder, "pdf_drafts").distinct()
+    return G.ready(d, ["document_id"], (F.col("evidence.quote") != "") & F.col("entered_rate").isNotNull())
+
+
+@query
+def single_localities(spark: SparkSession, folder: str) -> DataFrame:
+    """The locality of a page, if it names exactly one."""
+    p = _pages(spark, folder).select("document_id", "page", "text").distinct()
+    return p.select("document_id", "page", E.single_match(F.col("text"), "[一-鿿]{2}市[一-鿿]{2}區").alias("locality")).where("locality is not null")
+
+
+@query
+def pages_of_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages that the rules of a document's rule set cite."""
+    nodes = shred(table(spark, folder, "rulesets"), F.col("id"), F.col("body"), ["rules/*/source_page"], ["rules"]).where("kind = 'scalar'")
+    cited = nodes.select(F.col("record_id").alias("ruleset_id"), F.col("value").cast("int").alias("page")).distinct()
+    e = table(spark, folder, "evidence_documents").select("document_id", "ruleset_id").distinct()
+    p = _pages(spark, folder).select("document_id", "page").distinct().join(e, "document_id")
+    return p.join(cited, ["ruleset_id", "page"], "left_semi").select("document_id", "ruleset_id", "page")
+
+
+@query
+def content_versions(spark: SparkSession, folder: str) -> DataFrame:
+    r = table(spark, folder, "rulesets")
+    return r.select("id", X.short_digest(F.col("id"), F.col("body")).alias("version"), X.allowed_url(F.concat(F.lit("https://data.example/"), F.col("id")), ["data.example"]).alias("allowed"))
+
+
+@query
+def label_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Values on the lines after a label, from order lines printed one value a line."""
+    li = table(spark, folder, "lineitem")
+    q = F.col("l_quantity").cast("int").cast("string")
+    third = F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.col("l_linenumber").cast("string"), F.lit("%"))).when(F.col("l_linenumber") % 3 == 1, F.lit("note"))
+    text = F.concat_ws("\n", F.lit("head"), F.concat(F.lit("7 "), F.col("l_returnflag")), q, F.when(F.col("l_linenumber") == 7, F.lit("none")).otherwise(F.lit("12")), third)
+    pages = li.select("l_returnflag", "l_linenumber", text.alias("text")).distinct()
+    labels = spark.createDataFrame([("A", ["none"]), ("N", []), ("R", ["none"])], "label string, words array<string>")
+    return E.labelled_values(pages, ["l_returnflag", "l_linenumber"], labels).groupBy("label", "l_linenumber").agg(F.count("*").alias("n"), F.count("rate").alias("rates"), F.sum(F.col("subject").cast("long")).alias("total"))
+
+
+@query
+def printed_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Matrices of the rule sets printed as boxes and found again."""
+    cells = rule_parts(spark, folder, "cells")
+    row = lambda i: F.struct(F.col("rate").cast("double").cast("string").alias("text"), F.array((F.col("comparable_ix") * 60).cast("double"), (F.col("subject_ix") * 20).cast("double"), (F.col("comparable_ix") * 60 + 40).cast("double"), (F.col("subject_ix") * 20 + 15).cast("double")).alias("bbox"))
+    pages = cells.groupBy(*RULE).agg(F.sort_array(F.collect_list(row(0))).alias("lines")).withColumn("height", F.lit(1400.0))
+    return L.printed_matrices(pages, RULE).select(*RULE, "size", F.aggregate("cells", F.lit(0.0), lambda a, x: a + F.abs(x)).alias("weight"))

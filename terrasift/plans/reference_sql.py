@@ -215,4 +215,24 @@ SQL = {
     "stream_windows": "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
     "stream_without_repeats": "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY 1",
     "session_counts": "SELECT user_id, count(*) FILTER (WHERE coalesce(g >= 86400000000, true)) AS sessions, count(*) AS n FROM (SELECT user_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM events) GROUP BY 1",
+    "sources_expired": f"""WITH {_CASES}, fx AS (SELECT id, {_TEXT_JSON.format(x="(b -> '$.factors')")} AS fs, {_TEXT_JSON.format(x="(b -> '$.field_sources')")} AS ss FROM cs),
+      fc AS (SELECT fx.id AS case_id, u.value AS v FROM fx, json_each(CASE WHEN json_type(fs) = 'ARRAY' THEN fs WHEN json_type(fs) = 'OBJECT' THEN json_array(fs) ELSE '[]'::JSON END) u),
+      sc AS (SELECT fx.id AS case_id, CAST(u.key AS INT) AS ix, u.value AS v FROM fx, json_each(CASE WHEN json_type(ss) = 'ARRAY' THEN ss WHEN json_type(ss) = 'OBJECT' THEN json_array(ss) ELSE '[]'::JSON END) u),
+      cur AS (SELECT DISTINCT case_id, v ->> '$.id' AS factor_id, 'subject' AS field, v ->> '$.subject' AS current FROM fc UNION SELECT case_id, v ->> '$.id', 'comparable', v ->> '$.comparable' FROM fc)
+      SELECT DISTINCT s.case_id, s.ix, s.v ->> '$.factor_id' AS factor_id, s.v ->> '$.field' AS field, s.v ->> '$.value' AS value FROM sc s
+      WHERE json_type(s.v) = 'OBJECT' AND NOT EXISTS (SELECT 1 FROM cur c WHERE s.case_id = c.case_id AND s.v ->> '$.factor_id' = c.factor_id AND s.v ->> '$.field' = c.field AND s.v ->> '$.value' = c.current)""",
+    "draft_changes": """WITH d AS (SELECT DISTINCT draft_id, document_id, factor_id, subject, comparable FROM pdf_drafts),
+      o AS (SELECT * FROM d WHERE draft_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY document_id, factor_id ORDER BY draft_id DESC) = 1), n AS (SELECT * FROM d WHERE draft_id % 2 = 1 QUALIFY row_number() OVER (PARTITION BY document_id, factor_id ORDER BY draft_id DESC) = 1)
+      SELECT document_id, factor_id, CASE WHEN o.draft_id IS NULL THEN 'added' WHEN n.draft_id IS NULL THEN 'removed' ELSE 'changed' END AS change FROM o FULL JOIN n USING (document_id, factor_id)
+      WHERE o.draft_id IS NULL OR n.draft_id IS NULL OR o.subject IS DISTINCT FROM n.subject OR o.comparable IS DISTINCT FROM n.comparable""",
+    "documents_ready": "SELECT document_id, bool_and(coalesce(evidence.quote <> '' AND entered_rate IS NOT NULL, false)) AS ready, count(*) AS n FROM (SELECT DISTINCT * FROM pdf_drafts) GROUP BY 1",
+    "single_localities": f"""WITH {_PAGES}, pp AS (SELECT DISTINCT document_id, page, text FROM pg), m AS (SELECT document_id, page, list_distinct(regexp_extract_all(text, '[\\x{{4e00}}-\\x{{9fff}}]{{2}}市[\\x{{4e00}}-\\x{{9fff}}]{{2}}區')) AS f FROM pp)
+      SELECT document_id, page, f[1] AS locality FROM m WHERE len(f) = 1""",
+    "pages_of_rules": f"""WITH {_RULES}, {_PAGES}, c AS (SELECT DISTINCT ruleset_id, CAST(rule ->> '$.source_page' AS INT) AS page FROM rl)
+      SELECT DISTINCT p.document_id, e.ruleset_id, p.page FROM pg p JOIN evidence_documents e USING (document_id) JOIN c ON c.ruleset_id = e.ruleset_id AND c.page = p.page""",
+    "content_versions": "SELECT id, substr(sha256(id || chr(31) || body), 1, 16) AS version, true AS allowed FROM rulesets",
+    "label_rows": """SELECT l_returnflag AS label, l_linenumber, count(*) AS n, count(*) FILTER (WHERE l_linenumber % 3 = 0) AS rates, CAST(sum(q) AS BIGINT) AS total
+      FROM (SELECT DISTINCT l_returnflag, l_linenumber, CAST(l_quantity AS INT) AS q FROM lineitem WHERE l_linenumber <> 7 OR l_returnflag <> 'N') GROUP BY 1, 2""",
+    "printed_blocks": f"""WITH {_RULES}, m AS (SELECT ruleset_id, rule_ix, max(subject_ix) AS size, sum(abs(rate)) AS weight, count(*) AS n, max(abs(rate)) FILTER (WHERE subject_ix = comparable_ix) AS dg FROM cl GROUP BY 1, 2)
+      SELECT ruleset_id, rule_ix, CAST(size AS INT) AS size, CAST(weight AS DOUBLE) AS weight FROM m WHERE size > 1 AND n = size * size AND dg = 0""",
 }

@@ -155,3 +155,28 @@ def test_ordered(spark):
             seen = [x for _, x in line[: n + 1] if x is not None]
             assert got[i] == ((line[n - 1][1], line[n - 1][0]) if n else None, line[n + 1][0] if n + 1 < len(line) else None, n + 1, max(seen) if seen else None)
     assert P.with_previous(df.limit(0), ["k"], ["i"], ["v"], b).count() == 0
+
+
+def test_extraction(spark):
+    pages = spark.createDataFrame([(1, "1 面積\n12\n7\n3%\nx"), (2, "面積\n12\n7\n3"), (3, "面積\n12"), (4, "面積 12\n1\n2"), (5, "面積\n無\n1,200\nnote"), (6, None), (7, "面積\n1\n2\n3%\n4")], "k int, text string")
+    labels = spark.createDataFrame([("面積", ["無"])], "label string, words array<string>")
+    got = sorted((r.k, r.subject, r.comparable, r.rate) for r in E.labelled_values(pages, ["k"], labels).collect())
+    assert got == [(1, "12", "7", "3%"), (5, "無", "1,200", None)]
+    t = spark.createDataFrame([("☑ 有 □ 無",), ("□有 ■無",), (None,)], "t string")
+    assert [tuple(r) for r in t.select(E.ticked(F.col("t"), "有"), E.ticked(F.col("t"), "無")).collect()] == [(True, False), (False, True), (False, False)]
+    m = spark.createDataFrame([("ab1 ab1",), ("ab1 ab2",), ("x",), (None,)], "t string")
+    assert [r.m for r in m.select(E.single_match(F.col("t"), "ab[0-9]").alias("m")).collect()] == ["ab1", None, None, None]
+
+
+def test_changes(spark):
+    old = spark.createDataFrame([("a", 1), ("b", None), ("c", 3)], "k string, v int")
+    new = spark.createDataFrame([("a", 1), ("b", 2), ("d", None)], "k string, v int")
+    assert sorted(tuple(r) for r in G.member_changes(old, new, ["k"], ["v"]).collect()) == [("b", "changed"), ("c", "removed"), ("d", "added")]
+    r = spark.createDataFrame([("a", True), ("a", None), ("b", True)], "k string, g boolean")
+    assert sorted(tuple(x) for x in G.ready(r, ["k"], F.col("g")).collect()) == [("a", False, 2), ("b", True, 1)]
+
+
+def test_criteria(spark):
+    rows = [(["10以上", "未滿10"], "numeric"), (["無", "一項", "2項以上"], "count"), (["區段內", "無", "未滿5m"], "facility"), (["未滿5m或無", "5m以上"], "manual"), (["甲", "乙"], "categorical"), (["x", ""], "manual"), ([], "manual"), (["詳備註"], "manual"), (None, "manual")]
+    df = spark.createDataFrame([(i, b) for i, (b, _) in enumerate(rows)], "i int, b array<string>")
+    assert [r.k for r in df.select("i", B.criterion_kind(F.col("b")).alias("k")).orderBy("i").collect()] == [k for _, k in rows]
