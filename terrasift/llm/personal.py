@@ -55,8 +55,9 @@ STREET_WORDS = ("Lane", "Road", "Street", "Avenue", "Drive", "Way", "Close", "Cr
 
 _H = "㐀-鿿"
 _ANY = lambda words: "|".join(sorted(map(re.escape, words), key=len, reverse=True))
+# begins only where a run of its characters begins, so that long runs are read once
 _EMAIL = re.compile(
-    r"[A-Za-z0-9][A-Za-z0-9._%+-]*(?: ?@ ?| ?[(\[{] ?at ?[)\]}] ?)[A-Za-z0-9-]+(?:(?:\.| ?[(\[{] ?dot ?[)\]}] ?)[A-Za-z0-9-]+)+", re.I
+    r"(?<![A-Za-z0-9._%+-])[._%+-]*+(?P<e>[A-Za-z0-9][A-Za-z0-9._%+-]*+(?: ?@ ?| ?[(\[{] ?at ?[)\]}] ?)[A-Za-z0-9-]++(?:(?:\.| ?[(\[{] ?dot ?[)\]}] ?)[A-Za-z0-9-]++)+)", re.I
 )
 _ID = re.compile(r"(?<![A-Za-z0-9])[A-Za-z] ?[12][0-9]{8}(?![0-9A-Za-z])")
 _PHONE = re.compile(
@@ -95,7 +96,7 @@ class Finder:
         cities, districts = _ANY(short(names.cities, "市")) or "(?!)", _ANY(short(names.districts, "區")) or "(?!)"
         roads = _ANY({r.name for r in names.roads}) or "(?!)"
         tail = re.sub(r"\?P<\w+>", "?:", _TAIL)
-        village = rf"(?:[{_H}]{{2,3}}里)?(?:[0-9]+鄰)?"
+        village = rf"(?:[{_H}]{{2,3}}里)?(?:[0-9]{{1,4}}鄰)?"
         kinds = "|".join(ROAD_KINDS)
         self._street = re.compile(
             rf"(?:(?:{cities})市?(?:(?:{districts})區?)?{village}|(?:{districts})區?{village})(?:(?:{roads})|[{_H}]{{1,6}}?(?:{kinds})){tail}|(?:{roads}){tail}"
@@ -103,7 +104,8 @@ class Finder:
 
     def identifiers(self, plain: str) -> list[tuple[int, int, str]]:
         """(start, end, kind) in the shadow, without overlaps."""
-        found = [(m.start(), m.end(), kind) for kind, p in (("email", _EMAIL), ("national_id", _ID), ("phone", _PHONE)) for m in p.finditer(plain)]
+        found = [(*m.span("e"), "email") for m in _EMAIL.finditer(plain)]
+        found += [(m.start(), m.end(), kind) for kind, p in (("national_id", _ID), ("phone", _PHONE)) for m in p.finditer(plain)]
         dense = [i for i, c in enumerate(plain) if not c.isspace()]
         text = "".join(plain[i] for i in dense).replace("臺", "台").replace("号", "號").lower()
         if len(text) == len(dense):
@@ -120,13 +122,17 @@ class Finder:
     @staticmethod
     def names(plain: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
         """(start, end) of name candidates outside identifiers."""
-        out: dict[int, int] = {}
+        used = bytearray(len(plain))
+        for s, e, _ in taken:
+            used[s:e] = b"\x01" * (e - s)
+        out = []
         for p in _NAMES:
             for m in p.finditer(plain):
                 s, e = m.span("n")
-                if all(e <= a or s >= b for a, b, _ in taken) and all(e <= a or s >= b for a, b in out.items()):
-                    out[s] = e
-        return sorted(out.items())
+                if 1 not in used[s:e]:
+                    used[s:e] = b"\x01" * (e - s)
+                    out.append((s, e))
+        return sorted(out)
 
 
 def terms(text: str) -> set[str]:

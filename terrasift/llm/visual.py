@@ -24,6 +24,7 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -88,6 +89,7 @@ def plain(text: str) -> str:
     return unicodedata.normalize("NFC", text.translate(_PLAIN))
 
 
+@lru_cache(maxsize=100_000)
 def script(ch: str) -> str:
     """The alphabet of a letter, by the first word of its name."""
     if ch < "ɐ":
@@ -116,19 +118,36 @@ def word_path(word: str, scores: Scores) -> str:
     """The best path through the look-alikes of a word; of equal paths the more Latin one."""
     letters = unicodedata.normalize("NFD", word)
     scripts = {script(c) for c in letters if not unicodedata.combining(c)}
-    best: dict[str, tuple[float, str]] = {"^": (0.0, "")}
+    ways_at: list[tuple[str, ...]] = []
+    back_at: list[bytes] = []
+    ways, sums = ("^",), [0.0]
     for ch in letters:
         if unicodedata.combining(ch):
-            best = {k: (s, p + ch) for k, (s, p) in best.items()}
+            ways_at.append((ch,))
+            back_at.append(b"")
             continue
-        nxt = {}
         latin = LOOK_ALIKES.get(ch, ch)
-        for way in dict.fromkeys((latin, ch, *(t for t in _TWINS.get(latin, ()) if script(t) in scripts))):
-            nxt[way] = max(((s + scores(k, way), p + way) for k, (s, p) in best.items()), key=lambda x: x[0])
-        best = nxt
-    end = [(s + scores(k, "$"), p) for k, (s, p) in best.items()]
-    top = max(s for s, _ in end)
-    return unicodedata.normalize("NFC", next(p for s, p in end if s >= top - 1e-12))
+        here = tuple(dict.fromkeys((latin, ch, *(t for t in _TWINS.get(latin, ()) if script(t) in scripts))))
+        totals, back = [], bytearray()
+        for way in here:
+            options = [s + scores(k, way) for k, s in zip(ways, sums)]
+            best = max(range(len(options)), key=options.__getitem__)
+            totals.append(options[best])
+            back.append(best)
+        ways_at.append(here)
+        back_at.append(bytes(back))
+        ways, sums = here, totals
+    ends = [s + scores(k, "$") for k, s in zip(ways, sums)]
+    top = max(ends)
+    at = next(i for i, s in enumerate(ends) if s >= top - 1e-9)
+    out = []
+    for here, back in zip(reversed(ways_at), reversed(back_at)):
+        if back:
+            out.append(here[at])
+            at = back[at]
+        else:
+            out.append(here[0])
+    return unicodedata.normalize("NFC", "".join(reversed(out)))
 
 
 def consistent(text: str, scores: Scores) -> str:

@@ -48,3 +48,17 @@ def test_rows(spark):
 
 def test_redact():
     assert redact("a b c", [(0, 1, "email"), (0, 1, "email"), (4, 5, "phone")]) == "[EMAIL] b [PHONE]"
+
+
+def test_long(spark):
+    """Very long runs are read once, not once per character."""
+    import time
+
+    f = Finder(Gazetteer.collect(gaz(spark)))
+    for unit in ("a", "a.", "1", "09", "承辦人：郗笙奕 0949-790976\n", "路", "雲", "A b ", "x@", "x@y.", "(", "菊風智路1", "[at]"):
+        text = unit * (400_000 // len(unit))
+        start = time.time()
+        plain, at = shadow(text)
+        f.names(plain, f.identifiers(plain))
+        assert time.time() - start < 15, unit
+    assert [m for m in f.identifiers(".a@b.co, x")][0] == (1, 7, "email")

@@ -52,3 +52,13 @@ def test_rows(spark):
     out = [r.form for r in normalize_text(pages.orderBy("page"), F.col("text"), scores).collect()]
     assert None in out and "two" in out
     assert letter_bigrams([pages.limit(0).select("text")]).pairs == {}
+
+
+def test_long():
+    import time
+
+    s = Scores({"^П": 3, "Пр": 3, "ри": 3, "^P": 5, "Po": 4})
+    for unit in ("Привет", "о", "Pоrtо ", "é", "​", "路"):
+        start = time.time()
+        out = consistent(unit * (200_000 // len(unit)), s)
+        assert time.time() - start < 30 and (unit == "​" or out), unit
