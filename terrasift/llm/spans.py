@@ -13,9 +13,10 @@ equal windows have the same border at the same distance, however much was insert
 before them. Windows with one border form a variable chunk, and the ``SPAN - REACH
 + 1`` characters after the border lie in all of them; their digest is the key.
 
-1. Per batch of texts: borders, keys, chunk digests (narrow, vectorised). Chunks
-   that two records of the batch share are settled there; of each only two copies
-   go on, so a chunk that a third of all rows hold arrives at most twice per batch.
+1. Per block of texts: borders, keys, chunk digests (narrow, vectorised). Chunks
+   that two records of the block share are settled there; of each only two copies
+   go on, and later blocks of the task settle it without sending any, so a chunk
+   that a third of all rows hold arrives twice per task.
 2. One shuffle by key. Keys of a single record are dropped; chunks whose digest
    occurs in two records are covered whole. What is left are chunks at the ends of
    shared stretches: same key, but not all of their windows are shared.
@@ -51,6 +52,7 @@ GEAR = 16
 REACH = 64
 KEY = SPAN - REACH + 1
 BLOCK = 1_000_000
+MOST_KNOWN = 1_000_000  # memory of a task; beyond it chunks go on twice per block
 HOT = 20_000
 _U64 = np.uint64
 
@@ -144,7 +146,7 @@ def _scan(limit: int):
     """Step 1 on batches (id, text)."""
     names = ["key", "own", "id", "place", "runs"]
 
-    def block(ids: pa.Array, number: np.ndarray, texts: list[str], offsets: np.ndarray) -> pa.RecordBatch:
+    def block(known: set, ids: pa.Array, number: np.ndarray, texts: list[str], offsets: np.ndarray) -> pa.RecordBatch:
         lengths = np.array([len(t) for t in texts], np.int64)
         got = chunks("".join(texts), lengths)
         piece = got["doc"]
@@ -157,10 +159,16 @@ def _scan(limit: int):
         group = np.cumsum(new) - 1
         begin = np.flatnonzero(new)
         stop = np.append(begin[1:], len(order)) - 1
-        shared = d[begin] != d[stop] if len(order) else np.zeros(0, bool)
-        goes_on = ~shared[group] if len(order) else np.zeros(0, bool)
+        shared = d[begin] != d[stop]
+        pairs = list(zip(key[begin].tolist(), own[begin].tolist()))
+        sent = np.fromiter((p in known for p in pairs), bool, len(pairs))
+        if len(known) < MOST_KNOWN:
+            known.update(pairs[i] for i in np.flatnonzero(shared & ~sent))
+        goes_on = ~shared[group]
         goes_on[begin], goes_on[stop] = True, True
-        settled = order[shared[group]] if len(order) else order
+        goes_on &= ~sent[group]
+        shared |= sent
+        settled = order[shared[group]]
         keep = order[goes_on]
         runs_of: list[list[int]] = []
         run_doc = np.unique(doc[settled])
@@ -187,6 +195,7 @@ def _scan(limit: int):
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set = set()  # chunks of two records that this task has sent on
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             same = ids.dictionary_encode()
@@ -200,10 +209,10 @@ def _scan(limit: int):
                     part.append((number[i], piece, at))
                     held += len(piece)
                     if held >= limit:
-                        yield block(ids, *_columns(part))
+                        yield block(known, ids, *_columns(part))
                         part, held = [], 0
             if part:
-                yield block(ids, *_columns(part))
+                yield block(known, ids, *_columns(part))
 
     return run
 
