@@ -52,6 +52,7 @@ GEAR = 16
 REACH = 64
 KEY = SPAN - REACH + 1
 BLOCK = 1_000_000
+SLOT_BITS = 22
 MOST_KNOWN = 1_000_000  # memory of a task; beyond it chunks go on twice per block
 HOT = 20_000
 _U64 = np.uint64
@@ -146,7 +147,7 @@ def _scan(limit: int):
     """Step 1 on batches (id, text)."""
     names = ["key", "own", "id", "place", "runs"]
 
-    def block(known: set, ids: pa.Array, number: np.ndarray, texts: list[str], offsets: np.ndarray) -> pa.RecordBatch:
+    def block(known: set, slots: np.ndarray, ids: pa.Array, number: np.ndarray, texts: list[str], offsets: np.ndarray) -> pa.RecordBatch:
         lengths = np.array([len(t) for t in texts], np.int64)
         got = chunks("".join(texts), lengths)
         piece = got["doc"]
@@ -160,10 +161,15 @@ def _scan(limit: int):
         begin = np.flatnonzero(new)
         stop = np.append(begin[1:], len(order)) - 1
         shared = d[begin] != d[stop]
-        pairs = list(zip(key[begin].tolist(), own[begin].tolist()))
-        sent = np.fromiter((p in known for p in pairs), bool, len(pairs))
+        k, o = key[begin], own[begin]
+        slot = (k >> _U64(64 - SLOT_BITS)).astype(np.int64)
+        sent = np.zeros(len(k), bool)
+        for i in np.flatnonzero(slots[slot]):
+            sent[i] = (k[i], o[i]) in known
         if len(known) < MOST_KNOWN:
-            known.update(pairs[i] for i in np.flatnonzero(shared & ~sent))
+            fresh = shared & ~sent
+            known.update(zip(k[fresh].tolist(), o[fresh].tolist()))
+            slots[slot[fresh]] = True
         goes_on = ~shared[group]
         goes_on[begin], goes_on[stop] = True, True
         goes_on &= ~sent[group]
@@ -196,6 +202,7 @@ def _scan(limit: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set = set()  # chunks of two records that this task has sent on
+        slots = np.zeros(1 << SLOT_BITS, bool)  # where their keys are, to look up few others
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             same = ids.dictionary_encode()
@@ -209,10 +216,10 @@ def _scan(limit: int):
                     part.append((number[i], piece, at))
                     held += len(piece)
                     if held >= limit:
-                        yield block(known, ids, *_columns(part))
+                        yield block(known, slots, ids, *_columns(part))
                         part, held = [], 0
             if part:
-                yield block(known, ids, *_columns(part))
+                yield block(known, slots, ids, *_columns(part))
 
     return run
 
