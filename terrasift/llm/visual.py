@@ -49,6 +49,14 @@ LOOK_ALIKES = {
 }
 LOOK_ALIKES = {k: v for k, v in LOOK_ALIKES.items() if v.isalpha()}
 
+# fixed values: radical code points without a decomposition of their own, and the ideographs they look like
+RADICALS = {
+    "⺃": "乚", "⺅": "亻", "⺉": "刂", "⺒": "巳", "⺓": "幺", "⺖": "忄", "⺘": "扌", "⺙": "攵", "⺛": "旡", "⺞": "歺", "⺠": "民", "⺡": "氵", "⺢": "氺", "⺣": "灬", "⺤": "爫", "⺨": "犭", "⺪": "疋",
+    "⺭": "礻", "⺯": "糹", "⺹": "耂", "⺽": "臼", "⺾": "艹", "⻂": "衤", "⻃": "覀", "⻄": "西", "⻅": "见", "⻆": "角", "⻈": "讠", "⻉": "贝", "⻋": "车", "⻐": "钅", "⻑": "長", "⻒": "镸", "⻓": "长",
+    "⻔": "门", "⻖": "阝", "⻘": "青", "⻙": "韦", "⻚": "页", "⻛": "风", "⻜": "飞", "⻝": "食", "⻟": "飠", "⻠": "饣", "⻢": "马", "⻣": "骨", "⻤": "鬼", "⻥": "鱼", "⻦": "鸟", "⻧": "卤", "⻨": "麦", "⻩": "黄",
+    "⻪": "黾", "⻫": "斉", "⻬": "齐", "⻭": "歯", "⻮": "齿", "⻯": "竜", "⻰": "龙", "⻱": "亀",
+}
+
 _SEEN_WIDTHS = ("<wide>", "<narrow>", "<noBreak>", "<font>", "<compat>")
 _FOLD = str.maketrans(LOOK_ALIKES)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -72,6 +80,8 @@ class _Plain(dict):
             got: str | None = None
         elif ch == "\t" or unicodedata.category(ch) == "Zs":
             got = " "
+        elif ch in RADICALS:
+            got = RADICALS[ch]
         else:
             kind = unicodedata.decomposition(ch).split(" ")[0]
             got = unicodedata.normalize("NFKC" if kind in _SEEN_WIDTHS else "NFC", ch) if kind else ch

@@ -12,7 +12,7 @@ def form(t):
 def test_equal():
     same = [
         ("ＷＩＤＴＨ　１２％", "WIDTH 12%"), ("Señorial", "Señorial"), ("a​b­c﻿", "abc"), ("a b c　d", "a b c d"), ("⾯⽐⽤", "面比用"),
-        ("路樓", "路樓"), ("Кőѕzеg Ноuѕе", "Kőszeg House"), ("ΗοuѕΕ", "HousE"), ("e‍́", "é"), ("ﾊﾝ", "ハン"), ("面︀", "面"), ("ё", "ë"),
+        ("路樓", "路樓"), ("Кőѕzеg Ноuѕе", "Kőszeg House"), ("ΗοuѕΕ", "HousE"), ("e‍́", "é"), ("ﾊﾝ", "ハン"), ("面︀", "面"), ("ё", "ë"), ("⻑⻄⻘", "長西青"),
     ]
     for a, b in same:
         assert form(a) == form(b), (a, b)
