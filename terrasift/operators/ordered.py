@@ -60,3 +60,23 @@ def with_running_max(rows: DataFrame, key: list[str], order: list[str], value: s
     tops = r.groupBy(*key, "_b").agg(F.max(value).alias("_top"))
     far = tops.select(*key, "_b", F.max("_top").over(Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_far"))
     return _join(r.withColumn("_near", near), far, key).withColumn(name, F.greatest("_near", "_far")).drop("_near", "_far", "_b")
+
+
+def asof_join(left: DataFrame, right: DataFrame, key: list[str], at: str, columns: list[str], bucket: Column, name: str = "match") -> DataFrame:
+    """``left`` with a struct of ``columns`` of the latest ``right`` row of its key not after it; null when there is none.
+
+    Both sides are laid on one line per key and bucket and the last right row is
+    carried forward, so no pair is formed that is not the answer. Of right rows of one
+    moment the greatest struct counts. Rows with a null moment match nothing.
+    """
+    rest = [c for c in left.columns if c not in (*key, at)]
+    l = left.select(*key, at, F.struct(*rest, F.lit(True).alias("_is_left")).alias("_row"), F.lit(None).cast(right.select(F.struct(*columns).alias("m")).schema["m"].dataType).alias("_m"), F.lit(1).alias("_side"))
+    r = right.where(F.col(at).isNotNull()).select(*key, at, F.lit(None).cast(l.schema["_row"].dataType).alias("_row"), F.struct(*columns).alias("_m"), F.lit(0).alias("_side"))
+    line = _bucketed(l.unionByName(r), bucket)
+    w = Window.partitionBy(*key, "_b").orderBy(F.col(at).asc_nulls_first(), "_side", "_m").rowsBetween(Window.unboundedPreceding, 0)
+    near = line.withColumn("_near", F.last("_m", ignorenulls=True).over(w))
+    lasts = line.where("_side = 0").groupBy(*key, "_b").agg(F.max_by("_m", F.struct(at, "_m")).alias("_last"))
+    every = line.select(*key, "_b").distinct().join(lasts, [*key, "_b"], "left")
+    far = every.select(*key, "_b", F.last("_last", ignorenulls=True).over(Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_far"))
+    out = _join(near.where("_side = 1"), far, key)
+    return out.select(*key, at, *[F.col("_row")[c].alias(c) for c in rest], F.when(F.col(at).isNotNull(), F.coalesce("_near", "_far")).alias(name)).select(*left.columns, name)

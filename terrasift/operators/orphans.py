@@ -68,7 +68,7 @@ def _targets(ref: Reference) -> DataFrame:
 
 def _groups(references: DataFrame, period: str) -> DataFrame:
     """Partial and final aggregation by key and period."""
-    return references.groupBy("k", F.date_trunc(period, "at").alias("period")).agg(
+    return references.groupBy("k", F.date_trunc(period, "at").cast("timestamp_ntz").alias("period")).agg(
         F.count("*").alias("n"), F.min("at").alias("first_at"), F.max("at").alias("last_at")
     )
 
@@ -123,7 +123,7 @@ def orphan_counts(ref: Reference, period: str = "month", parts: int = HEAVY_PART
     judged = joined.select("k", "period", "n", first.alias("r1"), last.alias("r2"), "there", "born", "gone")
     settled = judged.where(F.col("r1").eqNullSafe(F.col("r2"))).where("r1 is not null").select("period", "n", F.col("r1").alias("reason"))
     cut = judged.where(~F.col("r1").eqNullSafe(F.col("r2"))).select("k", F.col("period").alias("p"), "there", "born", "gone")
-    rows = refs.withColumn("period", F.date_trunc(period, "at")).join(cut, "k").where("period = p")
+    rows = refs.withColumn("period", F.date_trunc(period, "at").cast("timestamp_ntz")).join(cut, "k").where("period = p")
     by_row = rows.withColumn("reason", _reason()).where("reason is not null").groupBy("period", "reason").agg(F.count("*").alias("n")).select("period", "n", "reason")
     return (
         settled.unionByName(by_row)

@@ -16,7 +16,7 @@ from terrasift.operators import layout as L
 from terrasift.operators import logs as G
 from terrasift.operators import retrieval as R
 from terrasift.operators.nested import shred
-from terrasift.operators.ordered import with_previous
+from terrasift.operators.ordered import asof_join, with_previous
 from terrasift.plans.dealt import snapshot_fields
 from terrasift.sources import sinks
 from terrasift.sources.records import keyword_filter
@@ -724,3 +724,28 @@ def printed_blocks(spark: SparkSession, folder: str) -> DataFrame:
     row = lambda i: F.struct(F.col("rate").cast("double").cast("string").alias("text"), F.array((F.col("comparable_ix") * 60).cast("double"), (F.col("subject_ix") * 20).cast("double"), (F.col("comparable_ix") * 60 + 40).cast("double"), (F.col("subject_ix") * 20 + 15).cast("double")).alias("bbox"))
     pages = cells.groupBy(*RULE).agg(F.sort_array(F.collect_list(row(0))).alias("lines")).withColumn("height", F.lit(1400.0))
     return L.printed_matrices(pages, RULE).select(*RULE, "size", F.aggregate("cells", F.lit(0.0), lambda a, x: a + F.abs(x)).alias("weight"))
+
+
+@query
+def asof_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Each purchase with the latest view of the same user before it."""
+    e = table(spark, folder, "events")
+    buys = e.where("event_type = 'purchase'").select("user_id", "ts", "event_id")
+    views = e.where("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("view_id"))
+    out = asof_join(buys, views, ["user_id"], "ts", ["view_id"], F.unix_date(F.to_date("ts")))
+    return out.select("event_id", "user_id", F.col("match.view_id").alias("view_id"))
+
+
+@query
+def rows_per_source(spark: SparkSession, folder: str) -> DataFrame:
+    """Held rows by source with their share, largest first sources only as far as a plan names them."""
+    f = _facilities(spark, folder).where(F.col("source_key").isin("src_00", "src_01", "src_02", "src_04"))
+    g = f.groupBy("source_key").agg(F.count("*").alias("n"), F.count("address").alias("with_address"))
+    return g.crossJoin(F.broadcast(g.agg(F.sum("n").alias("total")))).select("source_key", "n", "with_address", F.round(F.col("n") / F.col("total"), 6).alias("share"))
+
+
+@query
+def required_fields(spark: SparkSession, folder: str) -> DataFrame:
+    """Per source whether every raw row has the keys a source must have."""
+    f = table(spark, folder, "facilities").select("facility_id", "source_key", F.from_json("raw", "map<string,string>").alias("row")).dropDuplicates(["facility_id"])
+    return O.required_keys(f, ["source_key"], "row", ["名稱", "地址"])

@@ -33,6 +33,7 @@ _TOKENS = "flatten([CASE WHEN regexp_matches(r, '^[\\x{{3400}}-\\x{{9fff}}]') TH
 
 
 def _bm25(pieces: str, keys: str) -> str:
+    out = keys.replace("start", "CAST(start AS INT) AS start")
     return f"""
 q AS (SELECT * FROM (VALUES (1, 'parking width of the frontage'), (2, '請再確認使用分區'), (3, 'Grundstück Tabelle 503')) t(query_id, question)),
 qt AS (SELECT DISTINCT query_id, unnest({_TOKENS.format(t='question')}) AS term FROM q),
@@ -45,7 +46,7 @@ df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 sc AS (SELECT query_id, {keys}, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 6) AS score
        FROM tf JOIN df USING (term) JOIN qt USING (term), st GROUP BY query_id, {keys}),
 rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, {keys}) AS rank FROM sc WHERE score > 0)
-SELECT query_id, {keys}, score, CAST(rank AS INT) AS rank FROM rk WHERE rank <= 20"""
+SELECT query_id, {out}, score, CAST(rank AS INT) AS rank FROM rk WHERE rank <= 20"""
 
 
 def _chunks(source: str, keys: str) -> str:
@@ -143,14 +144,14 @@ SQL = {
     "documents_in_scope": f"""WITH {_CASES}, q AS (SELECT *, {_DAY.format(v='vd')} AS day FROM hd), e AS (SELECT DISTINCT * FROM evidence_documents)
       SELECT q.id AS case_id, e.document_id, q.day AS valuation_date FROM q JOIN e USING (ruleset_id, locality, land_use) WHERE valid_from <= day AND (valid_to IS NULL OR day <= valid_to)""",
     "evidence_listing": "SELECT e.document_id, d.name, d.n_pages, e.ruleset_id FROM (SELECT DISTINCT * FROM evidence_documents) e JOIN (SELECT DISTINCT id, name, CAST(len(pages) AS INT) AS n_pages FROM source_documents) d ON e.document_id = d.id",
-    "chunk_windows": f"SELECT doc_id, count(*) AS chunks, sum(length(chunk)) AS chars, max(start + length(chunk)) AS stop FROM ({_chunks('documents', 'doc_id')}) GROUP BY 1",
-    "term_counts": f"""SELECT term, sum(tf) AS tf, count(*) AS df FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKENS.format(t='text')}) AS term FROM documents) GROUP BY 1, 2) GROUP BY 1 HAVING count(*) >= 20""",
+    "chunk_windows": f"SELECT doc_id, count(*) AS chunks, CAST(sum(length(chunk)) AS BIGINT) AS chars, CAST(max(start + length(chunk)) AS INT) AS stop FROM ({_chunks('documents', 'doc_id')}) GROUP BY 1",
+    "term_counts": f"""SELECT term, CAST(sum(tf) AS BIGINT) AS tf, count(*) AS df FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKENS.format(t='text')}) AS term FROM documents) GROUP BY 1, 2) GROUP BY 1 HAVING count(*) >= 20""",
     "bm25_mails": f"WITH {_bm25(_chunks('documents', 'doc_id'), 'doc_id, start')}",
     "bm25_pages": f"WITH {_PAGES}, pp AS (SELECT DISTINCT document_id, page, text FROM pg), {_bm25(_chunks('pp', 'document_id, page'), 'document_id, page, start')}",
     "citation_ids": f"""WITH {_PAGES}, pp AS (SELECT DISTINCT document_id, page, text FROM pg), ch AS ({_chunks('pp', 'document_id, page')})
       SELECT document_id, page, CAST(start AS INT) AS start, sha256(document_id || ':' || sha256 || ':' || page || ':' || start || ':' || (start + length(chunk))) AS citation FROM ch JOIN (SELECT DISTINCT document_id, sha256 FROM evidence_documents) e USING (document_id)""",
     "page_slices": """WITH s AS (SELECT doc_id, o AS "offset", substr(text, o + 1, 2000) AS q, length(text) AS n FROM documents, (VALUES (0), (2000)) t(o) WHERE text IS NOT NULL)
-      SELECT doc_id, "offset", md5(q) AS digest, CASE WHEN "offset" + length(q) < n THEN "offset" + length(q) END AS next_start FROM s""",
+      SELECT doc_id, "offset", md5(q) AS digest, CAST(CASE WHEN "offset" + length(q) < n THEN "offset" + length(q) END AS INT) AS next_start FROM s""",
     "conflicts_dropped": """SELECT arg_max(draft_id, draft_id) AS draft_id, document_id, factor_id, arg_max(subject, draft_id) FILTER (WHERE subject IS NOT NULL) AS subject, arg_max(comparable, draft_id) FILTER (WHERE comparable IS NOT NULL) AS comparable
       FROM (SELECT DISTINCT draft_id, document_id, factor_id, subject, comparable FROM pdf_drafts) GROUP BY document_id, factor_id HAVING count(DISTINCT row(subject, comparable)) = 1""",
     "only_choices": "SELECT document_id, min(evidence.method) AS method FROM pdf_drafts WHERE evidence.method IS NOT NULL GROUP BY 1 HAVING min(evidence.method) = max(evidence.method)",
@@ -186,7 +187,7 @@ SQL = {
         coalesce(rc, 0) = 0 OR gap IS NOT NULL OR coalesce(list_contains(st, 'error') OR list_contains(st, 'skipped_heavy'), false) AS survey_required
       FROM s FULL JOIN r USING (factor, item) FULL JOIN g USING (factor, item)""",
     "category_summary": f"""WITH c AS (SELECT factor, coalesce(category, '-') AS category, count(*) AS n FROM {_FAC} GROUP BY ALL)
-      SELECT factor, sum(n) AS records, string_agg(category || ' ' || n, '; ' ORDER BY n DESC, category) AS summary FROM c GROUP BY 1""",
+      SELECT factor, CAST(sum(n) AS BIGINT) AS records, string_agg(category || ' ' || n, '; ' ORDER BY n DESC, category) AS summary FROM c GROUP BY 1""",
     "names_by_keyword": "SELECT place_id, name_en AS name FROM place_names WHERE contains(lower(concat_ws(' ', name_en, name_zh)), 'xing') AND contains(lower(concat_ws(' ', name_en, name_zh)), 'rd') AND ends_with(name_zh, '路')",
     "latest_state": "SELECT id, case_id, at_utc, action FROM (SELECT DISTINCT id, case_id, at_utc, action FROM audit) QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY at_utc DESC, id DESC) = 1",
     "accepted_writes": f"WITH {_REV}, w AS (SELECT case_id, revision = coalesce(lag(revision) OVER (PARTITION BY case_id ORDER BY id), 0) + 1 AS ok FROM rv) SELECT case_id, count(*) FILTER (WHERE coalesce(ok, false)) AS accepted, count(*) FILTER (WHERE NOT coalesce(ok, false)) AS rejected FROM w GROUP BY 1",
@@ -201,7 +202,7 @@ SQL = {
       SELECT event_id, max(m - i * 1100000) OVER (PARTITION BY event_type ORDER BY i ROWS UNBOUNDED PRECEDING) + i * 1100000 - m AS wait_us FROM e""",
     "repeated_mails": "SELECT source, doc_id, first_page FROM (SELECT source, doc_id, min(doc_id) OVER (PARTITION BY source, text) AS first_page FROM documents WHERE text IS NOT NULL) WHERE doc_id > first_page",
     "page_boxes": f"WITH {_LINES} SELECT document_id, page, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM ln GROUP BY 1, 2",
-    "line_statistics": f"WITH {_LINES} SELECT document_id, count(*) AS n, sum(CAST(round(confidence * 10000) AS BIGINT)) AS confidence, round(quantile_cont((x2 - x1) / length(text), 0.5), 6) AS glyph FROM ln WHERE trim(text) <> '' GROUP BY 1",
+    "line_statistics": f"WITH {_LINES} SELECT document_id, count(*) AS n, CAST(sum(CAST(round(confidence * 10000) AS BIGINT)) AS BIGINT) AS confidence, round(quantile_cont((x2 - x1) / length(text), 0.5), 6) AS glyph FROM ln WHERE trim(text) <> '' GROUP BY 1",
     "cell_accuracy": f"""WITH {_LINES}, c AS (SELECT document_id, page, ix AS cell_id, text AS expected, regexp_matches(text, '[0-9]') AS num, x1 AS c1, y1 AS c2, CASE WHEN ix % 5 = 0 THEN x1 + 1 ELSE x2 END AS c3, y2 AS c4 FROM ln),
       j AS (SELECT c.document_id, c.page, cell_id, expected, num, string_agg(l.text, '' ORDER BY l.x1, l.text) AS actual FROM c LEFT JOIN ln l ON c.document_id = l.document_id AND c.page = l.page AND (l.x1 + l.x2) / 2 >= c1 AND (l.x1 + l.x2) / 2 < c3 AND (l.y1 + l.y2) / 2 >= c2 AND (l.y1 + l.y2) / 2 < c4 GROUP BY 1, 2, 3, 4, 5)
       SELECT document_id, page, count(*) AS cells, count(*) FILTER (WHERE coalesce(actual, '') = expected) AS exact, count(*) FILTER (WHERE coalesce(actual, '') = expected AND num) AS numeric_exact FROM j GROUP BY 1, 2""",
@@ -235,4 +236,9 @@ SQL = {
       FROM (SELECT DISTINCT l_returnflag, l_linenumber, CAST(l_quantity AS INT) AS q FROM lineitem WHERE l_linenumber <> 7 OR l_returnflag <> 'N') GROUP BY 1, 2""",
     "printed_blocks": f"""WITH {_RULES}, m AS (SELECT ruleset_id, rule_ix, max(subject_ix) AS size, sum(abs(rate)) AS weight, count(*) AS n, max(abs(rate)) FILTER (WHERE subject_ix = comparable_ix) AS dg FROM cl GROUP BY 1, 2)
       SELECT ruleset_id, rule_ix, CAST(size AS INT) AS size, CAST(weight AS DOUBLE) AS weight FROM m WHERE size > 1 AND n = size * size AND dg = 0""",
+    "asof_events": """WITH b AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'), v AS (SELECT user_id, ts, max(event_id) AS view_id FROM events WHERE event_type = 'view' GROUP BY 1, 2)
+      SELECT b.event_id, b.user_id, v.view_id FROM b ASOF LEFT JOIN v ON b.user_id = v.user_id AND b.ts >= v.ts""",
+    "rows_per_source": f"""WITH f AS (SELECT * FROM {_FAC} WHERE source_key IN ('src_00', 'src_01', 'src_02', 'src_04'))
+      SELECT source_key, count(*) AS n, count(address) AS with_address, round(count(*) / (SELECT count(*) FROM f), 6) AS share FROM f GROUP BY 1""",
+    "required_fields": "SELECT source_key, count(*) AS n_rows, bool_and(json_exists(raw, '$.名稱') AND json_exists(raw, '$.地址')) AS complete FROM (SELECT DISTINCT facility_id, source_key, raw FROM facilities) GROUP BY 1",
 }

@@ -180,3 +180,20 @@ def test_criteria(spark):
     rows = [(["10以上", "未滿10"], "numeric"), (["無", "一項", "2項以上"], "count"), (["區段內", "無", "未滿5m"], "facility"), (["未滿5m或無", "5m以上"], "manual"), (["甲", "乙"], "categorical"), (["x", ""], "manual"), ([], "manual"), (["詳備註"], "manual"), (None, "manual")]
     df = spark.createDataFrame([(i, b) for i, (b, _) in enumerate(rows)], "i int, b array<string>")
     assert [r.k for r in df.select("i", B.criterion_kind(F.col("b")).alias("k")).orderBy("i").collect()] == [k for _, k in rows]
+
+
+def test_asof(spark):
+    import random
+
+    from terrasift.operators.ordered import asof_join
+
+    rnd = random.Random(2)
+    left = [(rnd.choice("ab"), rnd.randint(0, 40) if i % 9 else None, i) for i in range(50)]
+    right = [(rnd.choice("abc"), rnd.randint(0, 40), i) for i in range(12)] + [("a", None, 99)]
+    l = spark.createDataFrame(left, "k string, at int, i int").withColumn("_m_", F.lit(1))
+    r = spark.createDataFrame(right, "k string, at int, j int")
+    got = {x.i: x.match and x.match.j for x in asof_join(l, r, ["k"], "at", ["j"], F.floor(F.col("at") / 7)).collect()}
+    for k, at, i in left:
+        best = max(((a, j) for kk, a, j in right if at is not None and a is not None and kk == k and a <= at), default=None)
+        assert got[i] == (best and best[1])
+    assert len(got) == 50
