@@ -28,7 +28,7 @@ records count once; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -73,19 +73,42 @@ _NAMES = [
     re.compile(rf"(?:\b(?:{_ANY(WESTERN_ROLES)}):? (?:(?:{_ANY(WESTERN_TITLES)})\.? )?|\b(?:{_ANY(WESTERN_TITLES)})\.? )(?P<n>[A-Z][\w'’-]+(?: [A-Z][\w'’-]+){{1,3}})"),
 ]
 _WEST_STREET = re.compile(rf"(?<![\w/.-])[0-9]{{1,5}}[A-Za-z]?(?:-[0-9]+)? (?:[A-Z][\w'’-]+ ){{1,3}}(?:{_ANY(STREET_WORDS)})\b\.?")
-_BLANKS = re.compile(r"\s")
+_SOLID = re.compile(r"\S+")
+_BACK = 60  # more than the longest way from the first place name to the word for the road
 
 
-def shadow(text: str) -> tuple[str, list[int]]:
+class _Shadow(dict):
+    """Per character what stands for it in the shadow; characters that are left out or become several are kept apart."""
+
+    def __init__(self):
+        super().__init__()
+        self.odd: set[str] = set()
+
+    def __missing__(self, o: int):
+        ch = chr(o)
+        got = "".join(LOOK_ALIKES.get(c, c) for c in _PLAIN[o] or "")
+        if len(got) != 1:
+            self.odd.add(ch)
+        self[o] = got
+        return got
+
+
+_SHADOW = _Shadow()
+
+
+def shadow(text: str) -> tuple[str, Sequence[int]]:
     """A plain twin of ``text`` and, for each of its characters, the place in ``text``."""
-    out, at = [], []
+    plain = text.translate(_SHADOW)
+    if _SHADOW.odd.isdisjoint(text):
+        return plain, range(len(text))
+    at: list[int] = []
     for i, ch in enumerate(text):
-        p = ch if ch < "\x80" and ch != "\t" else _PLAIN[ord(ch)]
-        if p:
-            for c in p:
-                out.append(LOOK_ALIKES.get(c, c))
-                at.append(i)
-    return "".join(out), at
+        n = len(_SHADOW[ord(ch)])
+        if n == 1:
+            at.append(i)
+        else:
+            at += [i] * n
+    return plain, at
 
 
 class Finder:
@@ -98,24 +121,39 @@ class Finder:
         tail = re.sub(r"\?P<\w+>", "?:", _TAIL)
         village = rf"(?:[{_H}]{{2,3}}里)?(?:[0-9]{{1,4}}鄰)?"
         kinds = "|".join(ROAD_KINDS)
-        self._street = re.compile(
-            rf"(?:(?:{cities})市?(?:(?:{districts})區?)?{village}|(?:{districts})區?{village})(?:(?:{roads})|[{_H}]{{1,6}}?(?:{kinds})){tail}|(?:{roads}){tail}"
+        # an address is found by its end (a word for a road and the numbers) and then read back to its first place name
+        self._end = re.compile(rf"(?:{kinds}){tail}")
+        self._begin = re.compile(
+            rf"(?:(?:(?:{cities})市?(?:(?:{districts})區?)?{village}|(?:{districts})區?{village})(?:(?:{roads})|[{_H}]{{1,6}}?(?:{kinds}))|(?:{roads}))$"
         )
 
+    def _streets(self, plain: str) -> list[tuple[int, int]]:
+        dense: list[int] = []
+        for m in _SOLID.finditer(plain):
+            dense.extend(range(m.start(), m.end()))
+        text = "".join(_SOLID.findall(plain)).replace("臺", "台").replace("号", "號").lower()
+        if "號" not in text or len(text) != len(dense):
+            return []
+        out, after = [], 0
+        for m in self._end.finditer(text):
+            kind = m.start() + (2 if text.startswith("大道", m.start()) else 1)
+            low = max(after, kind - _BACK)
+            head = self._begin.search(text[low:kind])
+            if head:
+                out.append((dense[low + head.start()], dense[m.end() - 1] + 1))
+                after = m.end()
+        return out
+
     def identifiers(self, plain: str) -> list[tuple[int, int, str]]:
         """(start, end, kind) in the shadow, without overlaps."""
         found = [(*m.span("e"), "email") for m in _EMAIL.finditer(plain)]
         found += [(m.start(), m.end(), kind) for kind, p in (("national_id", _ID), ("phone", _PHONE)) for m in p.finditer(plain)]
-        dense = [i for i, c in enumerate(plain) if not c.isspace()]
-        text = "".join(plain[i] for i in dense).replace("臺", "台").replace("号", "號").lower()
-        if len(text) == len(dense):
-            for m in self._street.finditer(text):
-                found.append((dense[m.start()], dense[m.end() - 1] + 1, "street_address"))
+        found += [(s, e, "street_address") for s, e in self._streets(plain)]
         found += [(m.start(), m.end(), "street_address") for m in _WEST_STREET.finditer(plain)]
-        taken, out = [False] * (len(plain) + 1), []
+        taken, out = bytearray(len(plain)), []
         for s, e, kind in sorted(found, key=lambda x: (KINDS.index(x[2]), x[0], -x[1])):
-            if not any(taken[s:e]):
-                taken[s:e] = [True] * (e - s)
+            if 1 not in taken[s:e]:
+                taken[s:e] = b"\x01" * (e - s)
                 out.append((s, e, kind))
         return sorted(out)
 
