@@ -22,7 +22,8 @@ and joined to the candidates' terms as a table, never gathered on the driver.
 Defined cases: null and empty texts have no item; an item that occurs twice in one
 text is one found row and is replaced twice; of overlapping items the first kind in
 the order email, national_id, phone, street_address, person_name counts; repeated
-records count once; an empty table gives an empty result.
+records are found once (and counted for the scores as often as they are stored); a
+unit stands for one text; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -270,4 +271,5 @@ def redacted(texts: DataFrame, items: DataFrame) -> DataFrame:
 
         return pd.Series([t if t is None or x is None else redact(t, [(i["start"], i["stop"], i["kind"]) for i in x]) for t, x in zip(text, its)], dtype=object)
 
-    return texts.select("unit", "text").distinct().join(per_unit, "unit", "left").select("unit", put("text", "items").alias("text"))
+    once = texts.groupBy("unit").agg(F.first("text").alias("text"))
+    return once.join(per_unit, "unit", "left").select("unit", put("text", "items").alias("text"))

@@ -22,7 +22,7 @@ def personal_texts(spark: SparkSession, folder: str) -> DataFrame:
     pages = source_pages(spark, folder).select(F.lit("pages").alias("field"), F.col("document_id").alias("record_id"), "page", "text")
     cases = snapshot_fields(table(spark, folder, "cases"), ["id"], "body", ("subject_address",))
     both = pages.unionByName(cases.select(F.lit("subject_address").alias("field"), F.col("id").alias("record_id"), F.lit(0).alias("page"), F.col("subject_address").alias("text")))
-    return both.where("text is not null").distinct().select(F.struct("field", "record_id", "page", F.xxhash64("text").alias("h")).alias("unit"), "text")
+    return both.where("text is not null").select(F.struct("field", "record_id", "page", F.xxhash64("text").alias("h")).alias("unit"), "text")
 
 
 def _personal(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
