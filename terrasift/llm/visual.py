@@ -231,8 +231,9 @@ def quotes_in_form(quotes: DataFrame, pages: DataFrame, scores: Scores) -> DataF
 
     ``quotes``: quote_id, document_id, page, quote. ``pages``: document_id, page, text.
     """
-    q = quotes.where("quote is not null and quote <> '' and quote_id is not null").select("quote_id", "document_id", "page", "quote").distinct()
-    joined = q.join(pages.where("text is not null").select("document_id", "page", "text").distinct(), ["document_id", "page"])
+    q = quotes.where("quote is not null and quote <> '' and quote_id is not null").select("quote_id", "document_id", "page", "quote")
+    # repeated rows fall together in the last aggregate, so no text is shuffled for them here
+    joined = q.join(pages.where("text is not null").select("document_id", "page", "text"), ["document_id", "page"])
     kind = q.schema["quote_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
