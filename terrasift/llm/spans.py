@@ -270,10 +270,10 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if not m:
                         for col, x in zip(out, (k ^ (i + 1) * 0x9E3779B97F4A7C15 % 2**62, i, False, None, None, None, None, [w, w + SPAN])):
                             col.append(x)
-            i, w, _ = held[0]
             own = int.from_bytes(blake2b(f"{k} {away} {digest}".encode(), digest_size=8).digest(), "big", signed=True)
-            for col, x in zip(out, (own, i, two, w + away, w, w, f"{k} {digest}", None)):
-                col.append(x)
+            for i, w, _ in held[:1] if two else held:
+                for col, x in zip(out, (own, i, two, w + away, w, w, f"{k} {digest}", None)):
+                    col.append(x)
         types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())]
         cols = [pa.array(c, t) for c, t in zip(out, types)]
         cols[1] = batch.column(0).take(cols[1])
@@ -370,7 +370,8 @@ def shared_spans(df: DataFrame, key: Column, text: Column, hot: int = HOT, block
         )
     )
     per_doc = judged.groupBy("id").agg(F.collect_list(F.struct("key", "place", "flags", "runs")).alias("items"))
-    opened = per_doc.hint("shuffle_hash").join(docs, "id").select("id", "items", "text").mapInArrow(
+    # a merge join: rows come in the order of their ids, so that a task run again forms the same batches
+    opened = per_doc.hint("merge").join(docs, "id").select("id", "items", "text").mapInArrow(
         _contexts, f"key long, id {ddl}, many boolean, border long, first long, last long, windows string, runs array<bigint>"
     )
     runs = opened.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(arrow), f"id {ddl}, runs array<bigint>")

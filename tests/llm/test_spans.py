@@ -58,6 +58,23 @@ def test_brute(spark, seed, hot, block):
     assert sorted(map(tuple, got)) == sorted(brute(docs))
 
 
+def test_repeats_inside_a_record(spark):
+    """A window that stands twice in one record and once in another, in every split into batches."""
+    rnd = random.Random(9)
+    say = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    x = say(230)
+    docs = [(1, say(50) + x + say(300) + x + say(40)), (2, say(80) + x[:215] + say(70)), (3, say(20) + x[10:] + say(70)), (4, say(400))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        for hot in (0, 20_000):
+            for block in (100, 1_000_000):
+                got = shared_spans(df.repartition(4), F.col("doc_id"), F.col("text"), hot=hot, block=block).collect()
+                assert sorted(map(tuple, got)) == sorted(brute(docs)), (hot, block)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+
+
 def test_share(spark):
     docs = [(1, "q" * 100 + "abcdefghij" * 30), (2, "abcdefghij" * 30), (3, None), (4, "")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
