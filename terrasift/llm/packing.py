@@ -69,7 +69,8 @@ def pack(df: DataFrame, key: Column, size: Column, capacity: int) -> DataFrame:
         held = [b for b in batches if len(b)]
         if not held:
             return
-        pdf = pd.concat(held, ignore_index=True)
+        # in an order of their own, so that a task run again packs alike
+        pdf = pd.concat(held, ignore_index=True).sort_values(["n", "key"], kind="stable", ignore_index=True)
         n = pdf["n"].fillna(0).to_numpy(np.int64)
         empty = n <= 0
         full, rest = np.where(empty, 0, n // capacity), np.where(empty, 0, n % capacity)
