@@ -31,9 +31,13 @@ def query(f):
     return f
 
 
-def _facilities(spark: SparkSession, folder: str) -> DataFrame:
-    """Facilities without stored repeats (a map has no equality, so it is left out)."""
-    return table(spark, folder, "facilities").drop("extra").distinct()
+def _once(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """The wanted columns of a table without stored repeats (its key is among them), so that the scan reads no others."""
+    return table(spark, folder, name).select(*columns).distinct()
+
+
+def _facilities(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    return _once(spark, folder, "facilities", "facility_id", *columns)
 
 
 def _dec(col: str, kind: str = "decimal(18,2)"):
@@ -91,7 +95,7 @@ def distinct_count_grade(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def facility_grade(spark: SparkSession, folder: str) -> DataFrame:
-    f = _facilities(spark, folder)
+    f = _facilities(spark, folder, "factor", "name", "in_value_section", "distance_m")
     args = (F.col("name").isNotNull(), F.coalesce("in_value_section", F.lit(False)), F.col("distance_m"))
     near = B.facility_grade(*args, [500, 1000, 1500, 2000], 5, True)
     far = B.facility_grade(*args, [2000, 1500, 1000, 500], 5, False)
@@ -236,7 +240,7 @@ def set_operations(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def parsed_numbers(spark: SparkSession, folder: str) -> DataFrame:
-    d = table(spark, folder, "pdf_drafts").distinct()
+    d = _once(spark, folder, "pdf_drafts", "draft_id", "subject", "comparable")
     both = d.select("draft_id", F.inline(F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("v")) for c in ("subject", "comparable")])))
     return both.select("draft_id", "side", N.parse_number(F.col("v")).cast("double").alias("number"), N.is_missing(F.col("v")).alias("missing"))
 
@@ -280,19 +284,19 @@ def words_in_order(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def compact_names(spark: SparkSession, folder: str) -> DataFrame:
-    f = _facilities(spark, folder)
+    f = _facilities(spark, folder, "factor", "item", "name")
     return f.select("facility_id", X.compact(F.concat_ws("、", "factor", "item", "name")).alias("name"))
 
 
 @query
 def first_values(spark: SparkSession, folder: str) -> DataFrame:
-    f = _facilities(spark, folder)
+    f = _facilities(spark, folder, "phone", "category", "name", "twd97_x", "longitude")
     return f.select("facility_id", X.first_text(F.col("phone"), F.col("category"), F.col("name")).alias("value"), X.first_number(F.col("category"), F.col("twd97_x"), F.col("longitude")).alias("number"))
 
 
 @query
 def list_parts(spark: SparkSession, folder: str) -> DataFrame:
-    f = _facilities(spark, folder)
+    f = _facilities(spark, folder, "factor", "item", "administrative_district")
     return f.select(F.explode(X.split_list(F.concat_ws("、", "factor", "item", "administrative_district"))).alias("part")).groupBy("part").agg(F.count("*").alias("n"))
 
 
@@ -307,13 +311,13 @@ def _headers(spark: SparkSession, folder: str) -> DataFrame:
 def documents_in_scope(spark: SparkSession, folder: str) -> DataFrame:
     """Evidence documents that are valid for each case on its valuation date."""
     q = _headers(spark, folder).select(F.col("id").alias("query_id"), "ruleset_id", "locality", "land_use", parse_date(F.col("valuation_date")).alias("day"))
-    docs = table(spark, folder, "evidence_documents").distinct()
+    docs = _once(spark, folder, "evidence_documents", "document_id", "ruleset_id", "locality", "land_use", "valid_from", "valid_to")
     return R.in_scope(docs, q).select(F.col("query_id").alias("case_id"), "document_id", F.col("day").alias("valuation_date"))
 
 
 @query
 def evidence_listing(spark: SparkSession, folder: str) -> DataFrame:
-    e = table(spark, folder, "evidence_documents").distinct()
+    e = _once(spark, folder, "evidence_documents", "document_id", "ruleset_id")
     d = table(spark, folder, "source_documents").select(F.col("id").alias("document_id"), "name", F.size("pages").alias("n_pages")).distinct()
     return e.join(d, "document_id").select("document_id", "name", "n_pages", "ruleset_id")
 
@@ -373,7 +377,7 @@ def page_slices(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def quotes_verified(spark: SparkSession, folder: str) -> DataFrame:
     """Draft items by why their quote does or does not bear their values out."""
-    d = table(spark, folder, "pdf_drafts").distinct().select("draft_id", "document_id", "evidence.page", "evidence.quote", "subject", "comparable", F.col("entered_rate").cast("decimal(9,4)"))
+    d = _once(spark, folder, "pdf_drafts", "draft_id", "document_id", "evidence", "subject", "comparable", "entered_rate").select("draft_id", "document_id", "evidence.page", "evidence.quote", "subject", "comparable", F.col("entered_rate").cast("decimal(9,4)"))
     return E.verify(d, _pages(spark, folder)).select("draft_id", "reason")
 
 
@@ -392,7 +396,7 @@ def only_choices(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def blank_patches(spark: SparkSession, folder: str) -> DataFrame:
     """Drafts offer values for places that are blank in the document's first draft of a factor."""
-    d = table(spark, folder, "pdf_drafts").distinct()
+    d = _once(spark, folder, "pdf_drafts", "draft_id", "document_id", "factor_id", "subject", "comparable")
     current = d.groupBy("document_id", "factor_id").agg(F.min_by("subject", "draft_id").alias("value"))
     offers = d.where(~N.is_missing(F.col("comparable"))).select("document_id", "factor_id", F.col("comparable").alias("value"), F.col("draft_id").alias("priority"))
     return E.blank_patches(offers, current, ["document_id", "factor_id"], "value", "priority")
@@ -415,7 +419,7 @@ def quoted_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def district_match(spark: SparkSession, folder: str) -> DataFrame:
-    f = _facilities(spark, folder)
+    f = _facilities(spark, folder, "administrative_district", "address", "name")
     districts = table(spark, folder, "place_names").where("kind = 'district'").select(F.col("name_zh").alias("district")).distinct()
     field = f.withColumn("declared", F.when(F.col("facility_id") % 3 != 0, F.regexp_replace("administrative_district", "^..市", "")))
     out = O.match_district(field, ["facility_id"], "declared", "address", "name", "霧澤區", districts)
@@ -425,7 +429,7 @@ def district_match(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def coordinates_normalised(spark: SparkSession, folder: str) -> DataFrame:
     """Coordinates of each facility, a third of the given ones blanked so that the grid is used."""
-    f = _facilities(spark, folder)
+    f = _facilities(spark, folder, "longitude", "latitude", "twd97_x", "twd97_y")
     blank = F.when(F.col("facility_id") % 3 != 0, F.col("longitude"))
     c = f.select("facility_id", O.coordinates(blank, F.col("latitude"), F.col("twd97_x"), F.col("twd97_y")).alias("c"))
     return c.select("facility_id", F.round("c.lon", 6).alias("lon"), F.round("c.lat", 6).alias("lat"), F.col("c.source").alias("source"))
@@ -434,7 +438,7 @@ def coordinates_normalised(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def grid_errors(spark: SparkSession, folder: str) -> DataFrame:
     """How far the converted grid coordinates are from the given ones, and grid distances to a point."""
-    f = _facilities(spark, folder).where(plausible(F.col("longitude"), F.col("latitude")) & F.col("twd97_x").isNotNull() & F.col("twd97_y").isNotNull())
+    f = _facilities(spark, folder, "longitude", "latitude", "twd97_x", "twd97_y").where(plausible(F.col("longitude"), F.col("latitude")) & F.col("twd97_x").isNotNull() & F.col("twd97_y").isNotNull())
     g = tm2_to_wgs84(F.col("twd97_x"), F.col("twd97_y"))
     return f.select("facility_id", F.round(haversine_m(F.col("longitude"), F.col("latitude"), g["lon"], g["lat"]), 1).alias("error_m"), F.round(planar_m(F.col("twd97_x"), F.col("twd97_y"), F.lit(300000.0), F.lit(2770000.0)), 3).alias("planar_m"))
 
@@ -458,7 +462,7 @@ def loose_verdicts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def slot_report(spark: SparkSession, folder: str) -> DataFrame:
-    f = _facilities(spark, folder)
+    f = _facilities(spark, folder, "factor", "item", "category", "address", "needs_manual_check", "source_key", "school_year")
     records = f.where("address is not null and not needs_manual_check").select("factor", "item")
     status = F.when(F.max("school_year").isNull(), "skipped_heavy").when(F.count("*") > 5, "ok").otherwise("error")
     sources = f.groupBy("factor", "item", "source_key").agg(status.alias("status"))
@@ -469,7 +473,7 @@ def slot_report(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def category_summary(spark: SparkSession, folder: str) -> DataFrame:
     """Records per slot and its categories, most frequent first."""
-    f = _facilities(spark, folder).withColumn("category", F.coalesce("category", F.lit("-")))
+    f = _facilities(spark, folder, "factor", "category").withColumn("category", F.coalesce("category", F.lit("-")))
     c = f.groupBy("factor", "category").agg(F.count("*").alias("n"))
     order = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "category", "n")))
     return c.groupBy("factor").agg(F.sum("n").alias("records"), order.alias("s")).select("factor", "records", F.array_join(F.transform("s", lambda x: F.concat(x["category"], F.lit(" "), x["n"].cast("string"))), "; ").alias("summary"))
@@ -678,7 +682,7 @@ def draft_changes(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def documents_ready(spark: SparkSession, folder: str) -> DataFrame:
-    d = table(spark, folder, "pdf_drafts").distinct()
+    d = _once(spark, folder, "pdf_drafts", "draft_id", "document_id", "evidence", "entered_rate")
     return G.ready(d, ["document_id"], (F.col("evidence.quote") != "") & F.col("entered_rate").isNotNull())
 
 
@@ -739,7 +743,7 @@ def asof_events(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def rows_per_source(spark: SparkSession, folder: str) -> DataFrame:
     """Held rows by source with their share, largest first sources only as far as a plan names them."""
-    f = _facilities(spark, folder).where(F.col("source_key").isin("src_00", "src_01", "src_02", "src_04"))
+    f = _facilities(spark, folder, "source_key", "address").where(F.col("source_key").isin("src_00", "src_01", "src_02", "src_04"))
     g = f.groupBy("source_key").agg(F.count("*").alias("n"), F.count("address").alias("with_address"))
     return g.crossJoin(F.broadcast(g.agg(F.sum("n").alias("total")))).select("source_key", "n", "with_address", F.round(F.col("n") / F.col("total"), 6).alias("share"))
 
