@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed values: mean earth radius, GRS80 ellipsoid, TM2 zone 121
@@ -31,25 +31,35 @@ def plausible(lon: Column, lat: Column) -> Column:
     return F.coalesce(lon.between(*LON_RANGE) & lat.between(*LAT_RANGE), F.lit(False))
 
 
-def tm2_to_wgs84(x: Column, y: Column) -> Column:
-    """``struct<lon, lat>`` of TM2 grid metres, by the inverse transverse Mercator series."""
+def with_wgs84(df: DataFrame, x: Column, y: Column, name: str) -> DataFrame:
+    """``df`` with ``name``: struct<lon, lat> of TM2 grid metres, by the inverse transverse Mercator series.
+
+    The series goes step by step over helper columns, so that no step is written out
+    (and compiled) as often as later steps use it.
+    """
     e2 = 2 * GRS80_F - GRS80_F**2
     second = e2 / (1 - e2)
     n = (1 - math.sqrt(1 - e2)) / (1 + math.sqrt(1 - e2))
     arc = GRS80_A * TM2_SCALE * (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256)
-    mu = y / arc
+    col = F.col
+    mu = col("_mu")
     foot = (
         mu + (1.5 * n - 27 / 32 * n**3) * F.sin(2 * mu) + (21 / 16 * n**2 - 55 / 32 * n**4) * F.sin(4 * mu)
         + 151 / 96 * n**3 * F.sin(6 * mu) + 1097 / 512 * n**4 * F.sin(8 * mu)
     )
-    s, c, t = F.sin(foot), F.cos(foot), F.tan(foot)
-    c1, t1 = second * c * c, t * t
-    root = F.sqrt(1 - e2 * s * s)
-    across, along = GRS80_A / root, GRS80_A * (1 - e2) / (root * root * root)
-    d = (x - TM2_FALSE_EASTING) / (across * TM2_SCALE)
-    d2 = d * d
-    lat = foot - across * t / along * d2 * (
+    s, c, t, root, d = (col(k) for k in ("_sin", "_cos", "_tan", "_root", "_d"))
+    c1, t1, d2 = col("_c1"), col("_t1"), col("_d2")
+    lat = col("_foot") - (1 - e2 * s * s) / (1 - e2) * t * d2 * (
         F.lit(0.5) - (5 + 3 * t1 + 10 * c1 - 4 * c1 * c1 - 9 * second) * d2 / 24 + (61 + 90 * t1 + 298 * c1 + 45 * t1 * t1 - 252 * second - 3 * c1 * c1) * d2 * d2 / 720
     )
     lon = d * (1 - (1 + 2 * t1 + c1) * d2 / 6 + (5 - 2 * c1 + 28 * t1 - 3 * c1 * c1 + 8 * second + 24 * t1 * t1) * d2 * d2 / 120) / c
-    return F.struct((F.degrees(lon) + TM2_MERIDIAN).alias("lon"), F.degrees(lat).alias("lat"))
+    steps = [
+        {"_mu": y / arc}, {"_foot": foot}, {"_sin": F.sin("_foot"), "_cos": F.cos("_foot"), "_tan": F.tan("_foot")},
+        {"_root": F.sqrt(1 - e2 * s * s), "_c1": second * c * c, "_t1": t * t},
+        {"_d": (x - TM2_FALSE_EASTING) * root / (GRS80_A * TM2_SCALE)}, {"_d2": d * d},
+        {name: F.struct((F.degrees(lon) + TM2_MERIDIAN).alias("lon"), F.degrees(lat).alias("lat"))},
+    ]
+    out = df
+    for step in steps:
+        out = out.withColumns(step)
+    return out.drop("_mu", "_foot", "_sin", "_cos", "_tan", "_root", "_c1", "_t1", "_d", "_d2")

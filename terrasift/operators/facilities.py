@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrasift.functions.geo import plausible, tm2_to_wgs84
+from terrasift.functions.geo import plausible, with_wgs84
 from terrasift.functions.text import split_list
 
 MARGIN_DEG, LEAST_POINTS = 0.015, 4
@@ -45,14 +45,15 @@ def _any_prefix(p: Column, forms: list[str]) -> Column:
     return out
 
 
-def coordinates(lon: Column, lat: Column, x: Column, y: Column) -> Column:
-    """``struct<lon, lat, source>``: the given coordinates if plausible, else the grid ones converted if plausible."""
-    grid = tm2_to_wgs84(x, y)
-    return (
+def with_coordinates(df: DataFrame, lon: Column, lat: Column, x: Column, y: Column, name: str) -> DataFrame:
+    """``df`` with ``name``: struct<lon, lat, source>, the given coordinates if plausible, else the grid ones converted if plausible."""
+    grid = F.col("_grid")
+    found = (
         F.when(plausible(lon, lat), F.struct(lon.alias("lon"), lat.alias("lat"), F.lit("dataset_wgs84").alias("source")))
         .when(plausible(grid["lon"], grid["lat"]), F.struct(grid["lon"].alias("lon"), grid["lat"].alias("lat"), F.lit("twd97_converted").alias("source")))
         .otherwise(F.struct(F.lit(None).cast("double").alias("lon"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("string").alias("source")))
     )
+    return with_wgs84(df, x, y, "_grid").withColumn(name, found).drop("_grid")
 
 
 def rank_value(points: DataFrame, group: list[str], value: str, q: float, name: str) -> DataFrame:

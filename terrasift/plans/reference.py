@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from terrasift.functions import numbers as N
 from terrasift.functions import text as X
 from terrasift.functions.dates import parse_date
-from terrasift.functions.geo import haversine_m, plausible, planar_m, tm2_to_wgs84
+from terrasift.functions.geo import haversine_m, plausible, planar_m, with_wgs84
 from terrasift.operators import bands as B
 from terrasift.operators import evidence as E
 from terrasift.operators import facilities as O
@@ -431,7 +431,7 @@ def coordinates_normalised(spark: SparkSession, folder: str) -> DataFrame:
     """Coordinates of each facility, a third of the given ones blanked so that the grid is used."""
     f = _facilities(spark, folder, "longitude", "latitude", "twd97_x", "twd97_y")
     blank = F.when(F.col("facility_id") % 3 != 0, F.col("longitude"))
-    c = f.select("facility_id", O.coordinates(blank, F.col("latitude"), F.col("twd97_x"), F.col("twd97_y")).alias("c"))
+    c = O.with_coordinates(f, blank, F.col("latitude"), F.col("twd97_x"), F.col("twd97_y"), "c")
     return c.select("facility_id", F.round("c.lon", 6).alias("lon"), F.round("c.lat", 6).alias("lat"), F.col("c.source").alias("source"))
 
 
@@ -439,8 +439,9 @@ def coordinates_normalised(spark: SparkSession, folder: str) -> DataFrame:
 def grid_errors(spark: SparkSession, folder: str) -> DataFrame:
     """How far the converted grid coordinates are from the given ones, and grid distances to a point."""
     f = _facilities(spark, folder, "longitude", "latitude", "twd97_x", "twd97_y").where(plausible(F.col("longitude"), F.col("latitude")) & F.col("twd97_x").isNotNull() & F.col("twd97_y").isNotNull())
-    g = tm2_to_wgs84(F.col("twd97_x"), F.col("twd97_y"))
-    return f.select("facility_id", F.round(haversine_m(F.col("longitude"), F.col("latitude"), g["lon"], g["lat"]), 1).alias("error_m"), F.round(planar_m(F.col("twd97_x"), F.col("twd97_y"), F.lit(300000.0), F.lit(2770000.0)), 3).alias("planar_m"))
+    g = with_wgs84(f, F.col("twd97_x"), F.col("twd97_y"), "g")
+    error = haversine_m(F.col("longitude"), F.col("latitude"), F.col("g.lon"), F.col("g.lat"))
+    return g.select("facility_id", F.round(error, 1).alias("error_m"), F.round(planar_m(F.col("twd97_x"), F.col("twd97_y"), F.lit(300000.0), F.lit(2770000.0)), 3).alias("planar_m"))
 
 
 def _boxes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:

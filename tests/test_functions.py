@@ -60,7 +60,7 @@ def test_intervals(spark):
 
 def test_geo(spark):
     df = spark.createDataFrame([(250000.0, 2655023.0), (306686.96, 2773378.81), (None, 1.0)], "x double, y double")
-    rows = df.select(geo.tm2_to_wgs84(F.col("x"), F.col("y")).alias("g")).collect()
+    rows = geo.with_wgs84(df, F.col("x"), F.col("y"), "g").collect()
     assert math.isclose(rows[0].g.lon, 121.0, abs_tol=1e-9) and 23.9 < rows[0].g.lat < 24.1
     assert abs(rows[1].g.lon - 121.562) < 0.01 and rows[2].g.lon is None
     p = spark.createDataFrame([(121.0, 24.0, 122.0, 24.0), (119.0, 21.5, 119.0, 21.5), (None, 24.0, 1.0, 1.0)], "a double, b double, c double, d double")
