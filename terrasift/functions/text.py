@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,18 @@ def compact(text: Column) -> Column:
     return F.regexp_replace(text, rf"(?U)[\s{PUNCTUATION}]", "")
 
 
+def nfkc(text: Column) -> Column:
+    """In Unicode's form NFKC: full-width signs, compatibility ideographs and radicals as the plain ones."""
+
+    @F.pandas_udf("string")
+    def form(s):
+        import pandas as pd
+
+        return pd.Series([t if t is None or t.isascii() else unicodedata.normalize("NFKC", t) for t in s], dtype=object)
+
+    return form(text)
+
+
 def tokens(text: Column) -> Column:
     """Lower-case words of letters and digits, and character pairs of ideograph runs (a lone one stays)."""
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(1))
@@ -61,10 +75,14 @@ def in_order(text: Column, words: list[str]) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
+def without_commas(text: Column) -> Column:
+    """Without the commas of thousands."""
+    return F.regexp_replace(text, r"(?<=\d),(?=\d{3}(?:\D|$))", "")
+
+
 def holds_number(text: Column, number: Column) -> Column:
     """Whether ``number`` stands in ``text`` as a number of its own (thousands' commas dropped, zeros after the point allowed)."""
-    hay = F.regexp_replace(text, r"(?<=\d),(?=\d{3}(?:\D|$))", "")
-    return F.rlike(hay, F.concat(F.lit(r"(?<![\d.])\Q"), number, F.lit(r"\E(?:\.0+)?(?![\d.])")))
+    return F.rlike(without_commas(text), F.concat(F.lit(r"(?<![\d.])\Q"), number, F.lit(r"\E(?:\.0+)?(?![\d.])")))
 
 
 def line_slice(text: Column, first: Column, last: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrasift.functions.numbers import is_missing
-from terrasift.functions.text import holds_number
+from terrasift.functions.text import holds_number, nfkc, without_commas
 
 RATE_MARKS = "%|％|修正率|差異率|修正百分"
 
@@ -21,30 +21,36 @@ def verify(drafts: DataFrame, pages: DataFrame) -> DataFrame:
 
     ``drafts``: draft_id, document_id, page, quote, subject, comparable, entered_rate.
     ``pages``: document_id, page, text. One outer pair of quotation marks may be taken
-    off. Reasons: no_quote, no_page, no_value, not_on_page, value_not_in_quote. A rate
-    without a percent mark in its quote is not a claim.
+    off. Quote, page and values are compared in NFKC without white space. Reasons:
+    no_quote, no_page, no_value, not_on_page, value_not_in_quote. A rate without a
+    percent mark in its quote is not a claim.
     """
-    text = pages.where("text is not null").groupBy("document_id", "page").agg(F.collect_set(squeezed(F.col("text"))).alias("texts"))
-    d = drafts.withColumn("quote", F.trim("quote"))
-    rate = F.when(F.col("quote").rlike(RATE_MARKS), F.col("entered_rate"))
-    j = d.join(text, ["document_id", "page"], "left").withColumn("rate", rate)
-    inner = F.regexp_extract("quote", r'^(?:"(.+)"|「(.+)」|“(.+)”)$', 0)
-    bare = F.trim(F.when(inner != "", F.expr("substring(quote, 2, length(quote) - 2)")))
-    on = lambda q: F.coalesce(F.exists("texts", lambda t: t.contains(squeezed(q))), F.lit(False))
+    forms = pages.where("text is not null").select("document_id", "page", nfkc(F.col("text")).alias("text"))
+    text = forms.groupBy("document_id", "page").agg(F.collect_set(squeezed(F.col("text"))).alias("texts"))
+    stripped = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    d = drafts.withColumn("quote", stripped(F.col("quote")))
+    inner = F.regexp_extract("quote", r'(?s)^(?:"(.+)"|「(.+)」|“(.+)”)$', 0)
+    bare = stripped(F.when(inner != "", F.expr("substring(quote, 2, length(quote) - 2)")))
+    d = d.withColumns({"rate": F.when(F.col("quote").rlike(RATE_MARKS), F.col("entered_rate")), "_quote": nfkc(F.col("quote")), "_bare": nfkc(bare)})
+    d = d.withColumns({"_subject": nfkc(F.col("subject")), "_comparable": nfkc(F.col("comparable"))})
+    j = d.join(text, ["document_id", "page"], "left")
+    on = lambda q: F.coalesce((q != "") & F.exists("texts", lambda t: t.contains(squeezed(q))), F.lit(False))
+    # the words that count: without the marks only where the page has them so alone
+    words = F.when(~on(F.col("_quote")) & on(F.col("_bare")), F.col("_bare")).otherwise(F.col("_quote"))
 
     def claimed(value: Column) -> Column:
         v = F.regexp_replace(F.replace(squeezed(value), F.lit(","), F.lit("")), "%$", "")
         n = F.regexp_replace(v.try_cast("double").cast("string"), r"\.0$", "")
-        held = F.when(v.rlike(r"^[+-]?[0-9]+(\.[0-9]+)?$"), holds_number(F.col("quote"), n)).otherwise((v != "") & squeezed(F.col("quote")).contains(v))
+        held = F.when(v.rlike(r"^[+-]?[0-9]+(\.[0-9]+)?$"), holds_number(words, n)).otherwise((v != "") & squeezed(without_commas(words)).contains(v))
         return value.isNull() | F.coalesce(held, F.lit(False))
 
-    values = claimed(F.col("subject")) & claimed(F.col("comparable")) & claimed(F.col("rate").cast("string"))
+    values = claimed(F.col("_subject")) & claimed(F.col("_comparable")) & claimed(F.col("rate").cast("string"))
     reason = (
         F.when(F.coalesce(F.col("quote"), F.lit("")) == "", "no_quote").when(F.col("texts").isNull(), "no_page")
         .when(F.coalesce("subject", "comparable", F.col("rate").cast("string")).isNull(), "no_value")
-        .when(~(on(F.col("quote")) | F.coalesce(on(bare), F.lit(False))), "not_on_page").when(~values, "value_not_in_quote")
+        .when(~(on(F.col("_quote")) | on(F.col("_bare"))), "not_on_page").when(~values, "value_not_in_quote")
     )
-    return j.withColumn("reason", reason).drop("texts", "rate")
+    return j.withColumn("reason", reason).drop("texts", "rate", "_quote", "_bare", "_subject", "_comparable")
 
 
 def without_conflicts(rows: DataFrame, key: list[str], values: list[str], order: list[str]) -> DataFrame:

@@ -121,6 +121,40 @@ def test_evidence(spark):
     assert [tuple(r) for r in E.blank_patches(patch, now, ["k"], "v", "p").collect()] == [("a", "2", 1)]
 
 
+def test_evidence_forms(spark):
+    """Against brute force: NFKC without white space on quote, page and values."""
+    import re
+    import unicodedata
+
+    page = "寬度 12 公尺，修正率 5%\n面積 1,234 m2\n使用分區 住宅區 ⽤途 樓店"
+    form = lambda t: re.sub(r"\s+", "", unicodedata.normalize("NFKC", t))
+    quotes = ["寬度１２公尺", "寬 度\u300012", "寬度 12", "寬度 13", "用途 ⽤途", "⽤途", "用途", "樓店", "樓店", "「寬度１２\n公尺」", "面積 １，２３４ｍ２", "修正率５％", "\u3000", "\n"]
+    values = ["12", "１２", "13", "用途", "⽤途", "樓店", "1234", "１，２３４ｍ２", "5％", ""]
+    pages = spark.createDataFrame([("d", 1, page)], "document_id string, page int, text string")
+    drafts = [(i, "d", 1, q, v) for i, (q, v) in enumerate((q, v) for q in quotes for v in values)]
+
+    def want(quote, value):
+        quote = quote.strip()
+        if not quote:
+            return "no_quote"
+        if form(quote) not in form(page):
+            if not (quote[0] == "「" and quote[-1] == "」" and form(quote[1:-1]) in form(page)):
+                return "not_on_page"
+            quote = quote[1:-1]
+        v = form(value).replace(",", "").removesuffix("%")
+        hay = re.sub(r"(?<=\d),(?=\d{3}(?:\D|$))", "", unicodedata.normalize("NFKC", quote))
+        if re.fullmatch(r"[+-]?\d+(?:\.\d+)?", v):
+            ok = re.search(r"(?<![\d.])" + re.escape(format(float(v), "g")) + r"(?:\.0+)?(?![\d.])", hay)
+        else:
+            ok = v and v in form(hay)
+        return None if ok else "value_not_in_quote"
+
+    df = spark.createDataFrame(drafts, "draft_id int, document_id string, page int, quote string, subject string").withColumns({"comparable": F.lit(None).cast("string"), "entered_rate": F.lit(None).cast("decimal(9,4)")})
+    got = {r.draft_id: r.reason for r in E.verify(df, pages).collect()}
+    assert got == {i: want(q, v) for i, _, _, q, v in drafts}
+    assert {None, "no_quote", "not_on_page", "value_not_in_quote"} == set(got.values())
+
+
 def test_layout(spark):
     boxes = [(10, 10, 50, 30), (200, 12, 240, 32), (10, 60, 50, 80), (10, 11, 20, 31)]
     assert L.rows_of(boxes) == [[0, 3, 1], [2]]
