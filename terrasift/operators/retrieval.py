@@ -1,22 +1,25 @@
 """Evidence retrieval: scope, chunks, BM25, citations.
 
-Scores need only the query's terms, so chunks are tokenised where they are read and
-only hits of query terms are exploded; document frequencies come from the same
-narrow rows. The query table is a stated set of questions, sent to all tasks up to
-``MOST_QUERY_TERMS`` terms.
+Questions are a table like the pieces they are held against. Both are dealt into
+blocks; a task holds one block of questions against one of pieces and keeps the best
+of each question, so that neither table goes to the driver or to all tasks. The work
+is questions times pieces.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from terrasift.functions.text import chunk_starts, tokens
-from terrasift.session import cut_lineage
 
 STEP, LENGTH = 680, 800
 K1, B = 1.2, 0.75
-MOST_QUERY_TERMS = 100_000
+QUESTIONS_A_BLOCK, PIECES_A_BLOCK, PIECES_A_STEP = 2_000, 16_000, 512
 
 
 def in_scope(documents: DataFrame, queries: DataFrame) -> DataFrame:
@@ -33,30 +36,78 @@ def chunks(docs: DataFrame, key: list[str], text: str) -> DataFrame:
     return starts.select(*key, "start", (F.col("start") + F.length(chunk)).alias("stop"), chunk.alias("chunk"))
 
 
+def best_of_block(asked: pa.Table, held: pa.Table, key: list[str], k: int, n: int, avg_len: float) -> tuple:
+    """(question, piece, score) rows of the ``k`` best pieces of each question; of equal scores the lower key.
+
+    ``asked``: terms, dfs. ``held``: the key and the terms of a piece, joined by blanks.
+    """
+    import numpy as np
+
+    at: dict[str, list[int]] = {}
+    df_of: dict[str, int] = {}
+    for i, (terms, dfs) in enumerate(zip(asked["terms"].to_pylist(), asked["dfs"].to_pylist())):
+        for t, df in zip(terms, dfs):
+            at.setdefault(t, []).append(i)
+            df_of[t] = df
+    posts = {t: np.array(x, dtype=np.intp) for t, x in at.items()}
+    idf = {t: float(np.log(1 + (n - df + 0.5) / (df + 0.5))) for t, df in df_of.items()}
+    ids = [held[c].to_pylist() for c in key]
+    # nulls first and strings by their bytes, as in Spark
+    order = sorted(range(held.num_rows), key=lambda i: [(c[i] is not None, c[i].encode() if isinstance(c[i], str) else c[i]) for c in ids])
+    texts = held["terms"].to_pylist()
+    top = (np.empty(0, np.intp), np.empty(0, np.intp), np.empty(0))
+    least, scores = np.zeros(asked.num_rows), np.zeros((PIECES_A_STEP, asked.num_rows))
+    for low in range(0, len(order), PIECES_A_STEP):
+        step = order[low : low + PIECES_A_STEP]
+        for row, i in enumerate(step):
+            toks = texts[i].split(" ")
+            norm = K1 * (1 - B + B * len(toks) / avg_len)
+            found = [(posts[t], idf[t] * tf * (K1 + 1) / (tf + norm)) for t, tf in Counter(toks).items() if t in posts]
+            if found:
+                sizes = [len(p) for p, _ in found]
+                scores[row] = np.bincount(np.concatenate([p for p, _ in found]), np.repeat([w for _, w in found], sizes), asked.num_rows)
+            else:
+                scores[row] = 0
+        part = np.round(scores[: len(step)], 6)
+        row, q = np.nonzero(part > least)
+        # pieces come in the order of their keys, so a later one of equal score never displaces an earlier one
+        q, piece, score = (np.concatenate(x) for x in zip(top, (q, row + low, part[row, q])))
+        by = np.lexsort((piece, -score, q))
+        q, piece, score = q[by], piece[by], score[by]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        top = (q[rank < k], piece[rank < k], score[rank < k])
+        full = rank == k - 1
+        least[q[full]] = score[full]
+    return top[0], np.array(order, dtype=np.intp)[top[1]], top[2]
+
+
 def bm25(pieces: DataFrame, key: list[str], chunk: str, questions: DataFrame, k: int) -> DataFrame:
     """The ``k`` best pieces of each question: ``query_id, key, score, rank``.
 
-    ``questions``: query_id, question. Scores are rounded to 6 digits before ranking;
-    equal scores rank by key.
+    ``questions``: query_id, question; any number of them and of terms. Scores are
+    rounded to 6 digits before ranking; equal scores rank by key.
     """
-    terms = questions.select("query_id", F.explode(F.array_distinct(tokens(F.col("question")))).alias("term"))
-    held = [r["term"] for r in terms.select("term").distinct().limit(MOST_QUERY_TERMS + 1).collect()]
-    if len(held) > MOST_QUERY_TERMS:
-        raise ValueError(f"more than {MOST_QUERY_TERMS} query terms")
-    toks = pieces.select(*key, tokens(F.col(chunk)).alias("toks"))
-    wanted = F.array(*[F.lit(t) for t in held]) if held else F.array().cast("array<string>")
-    hits = F.filter("toks", lambda t: F.array_contains(wanted, t))
-    # lengths and hits are small next to the texts and used three times: texts are tokenised once
-    slim = cut_lineage(toks.select(*key, F.size("toks").alias("len"), hits.alias("hits"))).where("len > 0")
-    stats = slim.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    tf = slim.withColumn("term", F.explode("hits")).groupBy(*key, "len", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    w = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scored = w.join(F.broadcast(terms), "term").groupBy("query_id", *key).agg(F.round(F.sum(score), 6).alias("score")).where("score > 0")
+    toks = pieces.select(*key, tokens(F.col(chunk)).alias("toks")).where("size(toks) > 0")
+    n, avg_len = toks.agg(F.count("*"), F.avg(F.size("toks"))).first()
+    across, down = -(-questions.count() // QUESTIONS_A_BLOCK) or 1, -(-n // PIECES_A_BLOCK) or 1
+    df = toks.select(F.explode(F.array_distinct("toks")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    terms = questions.select("query_id", F.explode(F.array_distinct(tokens(F.col("question")))).alias("term")).distinct()
+    asked = terms.join(df, "term").groupBy("query_id").agg(F.collect_list("term").alias("terms"), F.collect_list("df").alias("dfs"))
+    part = lambda n, *c: F.pmod(F.xxhash64(*c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select(part(across, "query_id").alias("_across"), every(down).alias("_down"), "query_id", "terms", "dfs")
+    right = toks.select(every(across).alias("_across"), part(down, *key).alias("_down"), *key, F.array_join("toks", " ").alias("terms"))
+    out = StructType([questions.schema["query_id"], *[pieces.schema[c] for c in key], StructField("score", DoubleType())])
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not (a.num_rows and b.num_rows):
+            return pa.table([a["query_id"].slice(0, 0), *[b[c].slice(0, 0) for c in key], pa.array([], pa.float64())], names=out.names)
+        q, piece, score = best_of_block(a, b, key, k, n, avg_len)
+        return pa.table([a["query_id"].take(pa.array(q)), *[b[c].take(pa.array(piece)) for c in key], pa.array(score)], names=out.names)
+
+    best = left.groupBy("_across", "_down").cogroup(right.groupBy("_across", "_down")).applyInArrow(run, out)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), *key))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    return best.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def citation_id(*parts: Column) -> Column:

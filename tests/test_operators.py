@@ -60,6 +60,32 @@ def test_retrieval(spark):
     assert [(r.s.quote, r.s.next_start) for r in s] == [("abcd", 4), ("ef", None), ("", None)]
 
 
+def test_retrieval_whole(spark, monkeypatch):
+    """Any number of questions and terms, in several blocks, against brute force; equal scores rank by key."""
+    import math
+    import random
+    from collections import Counter
+
+    monkeypatch.setattr(R, "QUESTIONS_A_BLOCK", 7)
+    monkeypatch.setattr(R, "PIECES_A_BLOCK", 30)
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(0, 12))) for _ in range(200)]
+    asked = [" ".join(rnd.sample("abcdefghxyz", rnd.randint(0, 5))) for _ in range(20)] + [" ".join(f"w{i}" for i in range(100_001)) + " a"]
+    pieces = spark.createDataFrame([(str(i % 23), i, t) for i, t in enumerate(texts)], "d string, i int, chunk string")
+    got = {(r.query_id, r["rank"]): (r.d, r.i, r.score) for r in R.bm25(pieces, ["d", "i"], "chunk", spark.createDataFrame(list(enumerate(asked)), "query_id int, question string"), 5).collect()}
+    held = [(str(i % 23), i, Counter(t.split())) for i, t in enumerate(texts) if t]
+    df, avg = Counter(t for *_, c in held for t in c), sum(c.total() for *_, c in held) / len(held)
+    want = {}
+    for q, text in enumerate(asked):
+        rows = []
+        for d, i, c in held:
+            score = sum(math.log(1 + (len(held) - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * c.total() / avg)) for t in set(text.split()) & c.keys())
+            rows += [(-round(score, 6), d, i)] if score else []
+        want |= {(q, n): (d, i, -s) for n, (s, d, i) in enumerate(sorted(rows)[:5], 1)}
+    assert got.keys() == want.keys()
+    assert all(got[x][:2] == want[x][:2] and abs(got[x][2] - want[x][2]) < 2e-6 for x in want)
+
+
 def test_scope(spark):
     docs = spark.sql("select 'r' ruleset_id, 'l' locality, 'u' land_use, date'2024-01-01' valid_from, cast(null as date) valid_to, 1 document_id union all select 'r','l','u',date'2024-01-01',date'2024-02-01',2 union all select 'r','x','u',date'2024-01-01',null,3")
     q = spark.sql("select 1 query_id, 'r' ruleset_id, 'l' locality, 'u' land_use, date'2024-02-01' day union all select 2,'r','l','u',date'2024-02-02' union all select 3,'r','l','u',null")
