@@ -365,7 +365,9 @@ def citation_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def page_slices(spark: SparkSession, folder: str) -> DataFrame:
-    d = table(spark, folder, "documents").where("text is not null").select("doc_id", F.explode(F.array(F.lit(0), F.lit(2000))).alias("offset"), "text")
+    """Every mail in slices that cover it; an empty one has one empty slice."""
+    starts = F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(2000))
+    d = table(spark, folder, "documents").where("text is not null").select("doc_id", F.explode(starts).alias("offset"), "text")
     s = d.select("doc_id", "offset", R.page_slice(F.col("text"), F.col("offset")).alias("s"))
     return s.select("doc_id", "offset", F.md5("s.quote").alias("digest"), F.col("s.next_start").cast("int").alias("next_start"))
 

@@ -1,5 +1,6 @@
 """Queries that answer for whole tables, counted on the tables themselves."""
 
+import hashlib
 import os
 
 import pyarrow.parquet as pq
@@ -23,3 +24,12 @@ def test_bm25(spark, name):
     assert {r.query_id for r in rows} == asked
     if name == "bm25_mails":
         assert all(any(r.doc_id == q for r in rows if r.query_id == q) for q in asked)
+
+
+def test_slices(spark):
+    want = {}
+    for d, t in texts().items():
+        for at in range(0, max(len(t), 1), 2000) if t is not None else ():
+            want[d, at] = (hashlib.md5(t[at : at + 2000].encode()).hexdigest(), at + 2000 if at + 2000 < len(t) else None)
+    got = {(r.doc_id, r.offset): (r.digest, r.next_start) for r in reference.QUERIES["page_slices"](spark, DATA).collect()}
+    assert max(at for _, at in want) > 2000 and got == want
