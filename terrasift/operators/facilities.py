@@ -105,6 +105,13 @@ def slot_report(records: DataFrame, sources: DataFrame, survey_only: DataFrame)
     )
 
 
+def source_shares(rows: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """``source_key, n, with_address, share`` of every source, or of those that a plan names (none if it names none)."""
+    held = rows if only is None else rows.where(F.col("source_key").isin(*only) if only else F.lit(False))
+    g = held.groupBy("source_key").agg(F.count("*").alias("n"), F.count("address").alias("with_address"))
+    return g.crossJoin(F.broadcast(g.agg(F.sum("n").alias("total")))).select("source_key", "n", "with_address", F.round(F.col("n") / F.col("total"), 6).alias("share"))
+
+
 def required_keys(rows: DataFrame, group: list[str], row: str, keys: list[str]) -> DataFrame:
     """Per source whether every row (map<string,string>) has all required keys."""
     ok = F.lit(True)

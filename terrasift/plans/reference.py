@@ -332,7 +332,7 @@ def chunk_windows(spark: SparkSession, folder: str) -> DataFrame:
 def term_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Term and document frequencies of the whole archive."""
     t = table(spark, folder, "documents").select("doc_id", F.explode(X.tokens(F.col("text"))).alias("term"))
-    return t.groupBy("doc_id", "term").agg(F.count("*").alias("tf")).groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df")).where("df >= 20")
+    return t.groupBy("doc_id", "term").agg(F.count("*").alias("tf")).groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
 
 
 def _bm25(spark: SparkSession, folder: str, pieces: DataFrame, key: list[str]) -> DataFrame:
@@ -744,10 +744,8 @@ def asof_events(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def rows_per_source(spark: SparkSession, folder: str) -> DataFrame:
-    """Held rows by source with their share, largest first sources only as far as a plan names them."""
-    f = _facilities(spark, folder, "source_key", "address").where(F.col("source_key").isin("src_00", "src_01", "src_02", "src_04"))
-    g = f.groupBy("source_key").agg(F.count("*").alias("n"), F.count("address").alias("with_address"))
-    return g.crossJoin(F.broadcast(g.agg(F.sum("n").alias("total")))).select("source_key", "n", "with_address", F.round(F.col("n") / F.col("total"), 6).alias("share"))
+    """Held rows of every source with their share of all."""
+    return O.source_shares(_facilities(spark, folder, "source_key", "address"))
 
 
 @query

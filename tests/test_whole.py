@@ -2,10 +2,13 @@
 
 import hashlib
 import os
+import re
+from collections import Counter
 
 import pyarrow.parquet as pq
 import pytest
 
+from terrasift.operators.facilities import source_shares
 from terrasift.plans import reference
 
 DATA = "/root/testdata/sf0.001"
@@ -33,3 +36,26 @@ def test_slices(spark):
             want[d, at] = (hashlib.md5(t[at : at + 2000].encode()).hexdigest(), at + 2000 if at + 2000 < len(t) else None)
     got = {(r.doc_id, r.offset): (r.digest, r.next_start) for r in reference.QUERIES["page_slices"](spark, DATA).collect()}
     assert max(at for _, at in want) > 2000 and got == want
+
+
+def test_terms(spark):
+    tf, df = Counter(), Counter()
+    for t in texts().values():
+        found = []
+        for run in re.findall("[㐀-鿿]+|[a-z0-9]+", (t or "").lower()):
+            found += [run] if run[0] < "㐀" or len(run) == 1 else [run[i : i + 2] for i in range(len(run) - 1)]
+        tf.update(found)
+        df.update(set(found))
+    got = {r.term: (r.tf, r.df) for r in reference.QUERIES["term_counts"](spark, DATA).collect()}
+    assert min(df.values()) == 1 and got == {t: (tf[t], df[t]) for t in tf}
+
+
+def test_sources(spark):
+    t = pq.read_table(f"{DATA}/facilities.parquet", columns=["facility_id", "source_key", "address"]).to_pylist()
+    rows = set(map(lambda r: tuple(r.values()), t))
+    n, with_address = Counter(k for _, k, _ in rows), Counter(k for _, k, a in rows if a is not None)
+    got = {r.source_key: (r.n, r.with_address, r.share) for r in reference.QUERIES["rows_per_source"](spark, DATA).collect()}
+    assert got == {k: (n[k], with_address[k], round(n[k] / len(rows), 6)) for k in n} and len(n) > 4
+    fixture = spark.createDataFrame([("a", "x"), ("a", None), ("b", "y"), ("c", "z")], "source_key string, address string")
+    assert sorted(tuple(r) for r in source_shares(fixture, ["a", "c"]).collect()) == [("a", 2, 1, 0.666667), ("c", 1, 1, 0.333333)]
+    assert source_shares(fixture, []).count() == 0
