@@ -59,3 +59,13 @@ def test_sources(spark):
     fixture = spark.createDataFrame([("a", "x"), ("a", None), ("b", "y"), ("c", "z")], "source_key string, address string")
     assert sorted(tuple(r) for r in source_shares(fixture, ["a", "c"]).collect()) == [("a", 2, 1, 0.666667), ("c", 1, 1, 0.333333)]
     assert source_shares(fixture, []).count() == 0
+
+
+def test_cells(spark, tmp_path):
+    blank = spark.createDataFrame([(1, " " * 30 + "=1+1 " + "x" * 50), (4, "=" + "y" * 50), (5, " " * 30 + "z")], "doc_id long, text string")
+    blank.write.parquet(str(tmp_path / "documents.parquet"))
+    cells = {r.doc_id: r.cell for r in reference.QUERIES["guarded_csv"](spark, str(tmp_path)).collect()}
+    assert cells == {1: "'" + " " * 30 + "=1+1 " + "x" * 50, 4: "'==" + "y" * 50, 5: " " * 30 + "z"}
+    got = {r.doc_id: r.cell for r in reference.QUERIES["guarded_csv"](spark, DATA).collect()}
+    held = {d: ("=", "", " @", "-")[d % 4] + t for d, t in texts().items() if t is not None}
+    assert got == {d: ("'" if re.match("[=+@\t\r-]", c.lstrip(" ")) else "") + c for d, c in held.items()}
