@@ -132,8 +132,11 @@ class Finder:
         dense: list[int] = []
         for m in _SOLID.finditer(plain):
             dense.extend(range(m.start(), m.end()))
-        text = "".join(_SOLID.findall(plain)).replace("臺", "台").replace("号", "號").lower()
-        if "號" not in text or len(text) != len(dense):
+        solid = "".join(_SOLID.findall(plain)).replace("臺", "台").replace("号", "號")
+        text = solid.lower()
+        if len(text) != len(solid):  # a letter whose lower form is longer stays, so that places agree
+            text = "".join(c if len(c.lower()) != 1 else c.lower() for c in solid)
+        if "號" not in text:
             return []
         out, after = [], 0
         for m in self._end.finditer(text):

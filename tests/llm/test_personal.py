@@ -46,6 +46,15 @@ def test_rows(spark):
     assert personal_items(df.limit(0), names).count() == 0
 
 
+def test_longer_lower_form(spark):
+    """A letter that lower() makes two does not hide the addresses of its text."""
+    text = "İstanbul İpek 設籍 霧港市青嵐區\n菊風智路二段205-3號。"
+    df = spark.createDataFrame([(1, text)], "unit int, text string")
+    items = personal_items(df, Gazetteer.collect(gaz(spark)))
+    assert [(r.kind, r.found) for r in items.collect()] == [("street_address", "霧港市青嵐區\n菊風智路二段205-3號")]
+    assert redacted(df, items).collect()[0].text == "İstanbul İpek 設籍 [STREET_ADDRESS]。"
+
+
 def test_redact():
     assert redact("a b c", [(0, 1, "email"), (0, 1, "email"), (4, 5, "phone")]) == "[EMAIL] b [PHONE]"
 
