@@ -37,6 +37,21 @@ def test_lattice():
     assert consistent("", s) == ""
 
 
+def test_fold_decides():
+    """The scores choose the stored form; the form for comparison is the same whatever they are."""
+    import random
+
+    rnd = random.Random(5)
+    some = "Paуeѕ оΟo寬ёéñᎪաԼ1 -"
+    kept = set()
+    for s in (Scores({}), Scores({"^Р": 50, "Ро": 50, "оо": 50, "о$": 50}), Scores({"^P": 50, "Po": 50, "oo": 50})):
+        for _ in range(500):
+            t = "".join(rnd.choice(some) for _ in range(rnd.randint(0, 12)))
+            assert comparable(consistent(t, s)) == form(t)
+        kept.add(consistent("Роо", s))
+    assert len(kept) > 1
+
+
 def test_rows(spark):
     pages = spark.createDataFrame(
         [("d", 1, "Señorial Plaza, 12% \n路樓"), ("d", 2, None), ("d", 3, "one"), ("d", 3, "ｔｗo"), ("d", 1, "Señorial Plaza, 12% \n路樓")], "document_id string, page int, text string"
