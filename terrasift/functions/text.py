@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 PUNCTUATION = "、，,（）()／/"
 _HAN = "[㐀-鿿]"
+SIMPLIFIED, TRADITIONAL = "满内项积宽势划区业气设细计来统学场广调当别规缓视", "滿內項積寬勢劃區業氣設細計來統學場廣調當別規緩視"
+# how a remark on the way of judging begins after a criterion, and the words that such a remark holds
+TAIL_MARKS = ("以都市", "以建", "以容", "以區", "以該", "以各", "以接近", "以宗地", "以道路", "以使用", "以其他足以")
+TAIL_WORDS = "衡量|制定|判定|計算|影響地價"
 # one capture at every place where a token begins: a pair of ideographs, a lone one, or a whole word
 TOKEN = f"(?=({_HAN}{{2}}|(?<!{_HAN}){_HAN}|(?<![a-z0-9])[a-z0-9]+))"
 
@@ -75,6 +79,27 @@ def in_order(text: Column, words: list[str]) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
+def traditional(text: Column) -> Column:
+    """Simplified glyphs that readers of tables produce, as the traditional ones."""
+    return F.translate(text, SIMPLIFIED, TRADITIONAL)
+
+
+def numeric_text(text: Column) -> Column:
+    """Trimmed, with traditional glyphs, plain signs, square metres as m2, and without the commas of thousands."""
+    t = F.translate(F.regexp_replace(traditional(text), r"(?U)^\s+|\s+$", ""), "＋－−﹣％", "+---%")
+    return without_commas(F.regexp_replace(t, r"(?i)m[{^]?[2²]\}?\$?", "m2"))
+
+
+def without_tail(criterion: Column) -> Column:
+    """A criterion without the remark on how it is judged: cut at the first mark of the list that such a remark follows."""
+
+    def cut(mark: str) -> Column:
+        at = F.locate(mark, criterion, 2)
+        return F.when((at > 0) & F.substr(criterion, at).rlike(TAIL_WORDS), F.substr(criterion, F.lit(1), at - 1))
+
+    return F.coalesce(*map(cut, TAIL_MARKS), criterion)
+
+
 def without_commas(text: Column) -> Column:
     """Without the commas of thousands."""
     return F.regexp_replace(text, r"(?<=\d),(?=\d{3}(?:\D|$))", "")
@@ -96,7 +121,9 @@ def intervals(text: Column) -> Column:
     """Number intervals written out: ``array<struct<lo, lo_incl, hi, hi_incl>>``; null bounds are open.
 
     "A or more, below B", "below B", "A or more", "A or less"; alternatives are joined by a word for "or".
+    Simplified glyphs and commas of thousands are read too.
     """
+    text = numeric_text(text)
     n, unit = r"(\d+(?:\.\d+)?)", r"\s*(?:m2|m²|㎡|平方公尺|m|公尺|%|％|度)?\s*"
     shapes = ((rf"{n}{unit}以上\s*未滿\s*{n}", 1, 2, True, False), (rf"未滿\s*{n}", None, 1, True, False), (rf"{n}{unit}以上", 1, None, True, False), (rf"{n}{unit}以下", None, 1, True, True))
 

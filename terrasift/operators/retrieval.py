@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from terrasift.functions.text import chunk_starts, tokens
+from terrasift.operators.layout import bounding_box
 
 STEP, LENGTH = 680, 800
 K1, B = 1.2, 0.75
@@ -115,6 +116,11 @@ def citation_id(*parts: Column) -> Column:
     return F.sha2(F.concat_ws(":", *[p.cast("string") for p in parts]), 256)
 
 
+def chunk_box(start: Column, chunk: Column, text: Column, boxes: Column) -> Column:
+    """The box around the lines of a page if the chunk is the full page, else null: only then is it exact."""
+    return F.when((start == 0) & (F.length(chunk) == F.length(text)) & (F.size(boxes) > 0), bounding_box(boxes))
+
+
 def page_slice(text: Column, offset: Column, length: int = 2000) -> Column:
     """``struct<quote, next_start>``: a slice of a text and where the next begins (null at the end)."""
     quote = F.substr(text, offset + 1, F.lit(length))

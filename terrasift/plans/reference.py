@@ -363,6 +363,21 @@ def citation_ids(spark: SparkSession, folder: str) -> DataFrame:
     return c.join(e, "document_id").select("document_id", "page", "start", R.citation_id(F.col("document_id"), F.col("sha256"), F.col("page"), F.col("start"), F.col("stop")).alias("citation"))
 
 
+@query
+def chunk_boxes(spark: SparkSession, folder: str) -> DataFrame:
+    """The box of every chunk that is a whole page; other chunks have none."""
+    p = _pages(spark, folder).select("document_id", "page", "text", "lines")
+    c = R.chunks(p.withColumn("p", F.struct("text", F.col("lines.bbox").alias("bbox"))), ["document_id", "page", "p"], "text")
+    return c.select("document_id", "page", "start", "stop", R.chunk_box(F.col("start"), F.col("chunk"), F.col("p.text"), F.col("p.bbox")).alias("b")).select("document_id", "page", "start", "stop", "b.*")
+
+
+@query
+def criteria_read(spark: SparkSession, folder: str) -> DataFrame:
+    """The quotes of drafts read as criteria: without remarks, in one writing, and the intervals in them."""
+    q = _once(spark, folder, "pdf_drafts", "draft_id", "evidence.quote").withColumn("bare", X.without_tail(X.traditional(F.col("quote"))))
+    return q.select("draft_id", X.numeric_text(F.col("bare")).alias("criterion"), F.size(X.intervals(F.col("bare"))).alias("intervals"))
+
+
 @query
 def page_slices(spark: SparkSession, folder: str) -> DataFrame:
     """Every mail in slices that cover it; an empty one has one empty slice."""

@@ -66,3 +66,12 @@ def test_geo(spark):
     p = spark.createDataFrame([(121.0, 24.0, 122.0, 24.0), (119.0, 21.5, 119.0, 21.5), (None, 24.0, 1.0, 1.0)], "a double, b double, c double, d double")
     d = p.select(geo.haversine_m(*map(F.col, "abcd")).alias("d"), geo.plausible(F.col("a"), F.col("b")).alias("ok")).collect()
     assert abs(d[0].d - 101_582) < 50 and d[1].d == 0 and [r.ok for r in d] == [True, True, False]
+
+
+def test_criteria(spark):
+    assert len(text.SIMPLIFIED) == len(text.TRADITIONAL) == 24
+    assert col(spark, [" 未满１,０５m²　", "＋1,234 M^2$", "－3％", "1,23", None], text.numeric_text) == ["未滿１,０５m2", "+1234 m2", "-3%", "1,23", None]
+    tails = ["寬度10公尺以上以道路寬度衡量", "以道路寬度衡量", "寬以道路寬", "甲以該區判定以都市計畫制定", "甲", "", None]
+    assert col(spark, tails, text.without_tail) == ["寬度10公尺以上", "以道路寬度衡量", "寬以道路寬", "甲以該區判定", "甲", "", None]
+    got = col(spark, ["1,000㎡以上未满2,000㎡"], text.intervals)[0]
+    assert [(float(r.lo), float(r.hi)) for r in got] == [(1000, 2000)]

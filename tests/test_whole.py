@@ -69,3 +69,24 @@ def test_cells(spark, tmp_path):
     got = {r.doc_id: r.cell for r in reference.QUERIES["guarded_csv"](spark, DATA).collect()}
     held = {d: ("=", "", " @", "-")[d % 4] + t for d, t in texts().items() if t is not None}
     assert got == {d: ("'" if re.match("[=+@\t\r-]", c.lstrip(" ")) else "") + c for d, c in held.items()}
+
+
+def test_chunk_boxes(spark):
+    rows = reference.QUERIES["chunk_boxes"](spark, DATA).collect()
+    pages = {}
+    for r in pq.read_table(f"{DATA}/source_documents.parquet", columns=["id", "pages"]).to_pylist():
+        for p in r["pages"] or []:
+            pages[r["id"], p["page"]] = (len(p["text"] or ""), [x["bbox"] for x in p["lines"] or []])
+    got = {(r.document_id, r.page, r.start): (r.stop, (r.x1, r.y1, r.x2, r.y2)) for r in rows}
+    want = {}
+    for (d, p), (n, boxes) in pages.items():
+        box = tuple(f(b[i] for b in boxes) for i, f in enumerate((min, min, max, max))) if boxes and n <= 800 else (None,) * 4
+        for at in range(0, n, 680):
+            want[d, p, at] = (min(at + 800, n), box if at == 0 else (None,) * 4)
+    assert got == want
+
+
+def test_criteria_read(spark):
+    t = pq.read_table(f"{DATA}/pdf_drafts.parquet", columns=["draft_id"])
+    rows = reference.QUERIES["criteria_read"](spark, DATA).collect()
+    assert sorted(r.draft_id for r in rows) == sorted(set(t["draft_id"].to_pylist()))
