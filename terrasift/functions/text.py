@@ -101,13 +101,26 @@ def without_tail(criterion: Column) -> Column:
 
 
 def without_commas(text: Column) -> Column:
-    """Without the commas of thousands."""
-    return F.regexp_replace(text, r"(?<=\d),(?=\d{3}(?:\D|$))", "")
+    """Without the commas of thousands: those between a digit and a group of exactly three."""
+    parts = F.split(text, ",")
+
+    def rejoin(part: Column, i: Column) -> Column:
+        grouped = F.get(parts, i - 1).rlike("[0-9]$") & part.rlike("^[0-9]{3}([^0-9]|$)")
+        return F.when((i == 0) | grouped, part).otherwise(F.concat(F.lit(","), part))
+
+    return F.array_join(F.transform(parts, rejoin), "")
 
 
 def holds_number(text: Column, number: Column) -> Column:
-    """Whether ``number`` stands in ``text`` as a number of its own (thousands' commas dropped, zeros after the point allowed)."""
-    return F.rlike(without_commas(text), F.concat(F.lit(r"(?<![\d.])\Q"), number, F.lit(r"\E(?:\.0+)?(?![\d.])")))
+    """Whether ``number`` stands in ``text`` as a number of its own (thousands' commas dropped, zeros after the point allowed).
+
+    The text is cut into its runs of digits and points with the sign before each; a
+    sign right after a digit joins two numbers and belongs to neither.
+    """
+    apart = F.regexp_replace(without_commas(text), r"([0-9.])[-+]", "$1 ")
+    bare = lambda run: F.when(number.rlike("^[-+]"), run).otherwise(F.ltrim(run, F.lit("+-")))
+    same = lambda run: run.startswith(number) & F.substr(run, F.length(number) + 1).rlike(r"^(\.0+)?$")
+    return F.exists(F.regexp_extract_all(apart, F.lit("[-+]?[0-9.]+"), F.lit(0)), lambda run: same(bare(run)))
 
 
 def line_slice(text: Column, first: Column, last: Column) -> Column:

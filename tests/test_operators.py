@@ -182,11 +182,16 @@ def test_evidence_forms(spark):
 
 
 def test_layout(spark):
-    boxes = [(10, 10, 50, 30), (200, 12, 240, 32), (10, 60, 50, 80), (10, 11, 20, 31)]
-    assert L.rows_of(boxes) == [[0, 3, 1], [2]]
-    assert L.page_text(["ab", "寬"], [(0, 0, 20, 10), (100, 0, 120, 10)], 500) == "ab      寬"
-    assert L.rows_of([]) == [] and L.page_text([], [], 100) == ""
-    assert L.matrix_blocks([(0, [0, 2]), (10, [-2, 0]), (20, [1]), (30, [0, 1]), (300, [1, 0])], 1000) == [(0, 2)]
+    box = "array<struct<text: string, bbox: array<double>>>"
+    four = [("a", [10.0, 10.0, 50.0, 30.0]), ("b", [200.0, 12.0, 240.0, 32.0]), ("c", [10.0, 60.0, 50.0, 80.0]), ("d", [10.0, 11.0, 20.0, 31.0])]
+    grid = [(f"{v}", [60.0 * c, 20.0 * r, 60.0 * c + 40, 20.0 * r + 15]) for r, line in enumerate([[0, 2], [-2, 0], [1], [0, 1]]) for c, v in enumerate(line)] + [("1 0", [0.0, 300.0, 40.0, 315.0])]
+    drawn = spark.createDataFrame([(1, four), (2, [("ab", [0.0, 0.0, 20.0, 10.0]), ("寬", [100.0, 0.0, 120.0, 10.0])]), (3, grid)], f"k int, lines {box}").withColumns({"width": F.lit(500.0), "height": F.lit(1000.0)})
+    rows = {r.k: [(b.row, b.text) for b in r.b] for r in drawn.select("k", L.row_boxes(F.col("lines")).alias("b")).collect()}
+    assert rows[1] == [(0, "a"), (0, "d"), (0, "b"), (1, "c")]
+    assert {r.k: r.text for r in L.layout_text(drawn, ["k"]).collect()}[2] == "ab      寬"
+    assert [(r.k, r.block, r["size"], r.cells) for r in L.printed_matrices(drawn, ["k"]).collect()] == [(3, 0, 2, [0.0, 2.0, -2.0, 0.0])]
+    widths = spark.createDataFrame([("ab寬Ａﾊ😀é",), ("",)], "t string").select(L.display_width(F.col("t")).alias("w")).collect()
+    assert [r.w for r in widths] == [10, 0]
     pages = spark.createDataFrame([(1, None, None), (2, [], 100.0), (3, [("x", [0.0, 0.0, 10.0, 10.0]), (None, None), ("y", [1.0])], None)], "k int, lines array<struct<text: string, bbox: array<double>>>, width double")
     assert [(r.k, r.rows, r.text) for r in L.layout_text(pages, ["k"]).orderBy("k").collect()] == [(1, 0, ""), (2, 0, ""), (3, 1, "x")]
     df = spark.createDataFrame([("1 2.5 －3",), ("1 x",), ("",), (None,)], "t string")
