@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from terrasift.functions.numbers import is_missing
 from terrasift.functions.text import holds_number, nfkc, without_commas
 
+IN_PLAN = 1000
 RATE_MARKS = "%|％|修正率|差異率|修正百分"
 
 
@@ -76,11 +77,17 @@ def blank_patches(patches: DataFrame, current: DataFrame, key: list[str], value:
 def extract_fields(lines: DataFrame, key: list[str], text: str, patterns: DataFrame) -> DataFrame:
     """``key, field, value``: the first group of every pattern of a table in every text that has it.
 
-    ``patterns``: field, pattern; a small closed list that goes to all tasks.
+    ``patterns``: field, pattern. Up to ``IN_PLAN`` of them stand in the plan; more
+    are dealt into blocks of that size, and every text is held against every block.
     """
-    table = [(r["field"], r["pattern"]) for r in patterns.select("field", "pattern").orderBy("field").limit(1000).collect()]
-    found = F.array(*[F.struct(F.lit(f).alias("field"), F.nullif(F.regexp_extract(F.col(text), p, 1), F.lit("")).alias("value")) for f, p in table])
-    return lines.select(*key, F.inline(found)).where("value is not null")
+    table = patterns.select("field", "pattern").where("pattern is not null").distinct()
+    held = [(r["field"], r["pattern"]) for r in table.orderBy("field", "pattern").limit(IN_PLAN + 1).collect()]
+    if len(held) <= IN_PLAN:
+        found = F.array(*[F.struct(F.lit(f).alias("field"), F.nullif(F.regexp_extract(F.col(text), p, 1), F.lit("")).alias("value")) for f, p in held])
+        return lines.select(*key, F.inline(found)).where("value is not null")
+    blocks = table.groupBy(F.pmod(F.xxhash64("field", "pattern"), F.lit(-(-table.count() // IN_PLAN))).alias("_block")).agg(F.collect_list(F.struct("field", "pattern")).alias("_patterns"))
+    each = lines.select(*key, F.col(text).alias("_text")).join(blocks).select(*key, "_text", F.inline("_patterns"))
+    return each.select(*key, "field", F.expr("nullif(regexp_extract(_text, pattern, 1), '')").alias("value")).where("value is not null")
 
 
 def labelled_values(pages: DataFrame, key: list[str], labels: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ _TOKENS = "flatten([CASE WHEN regexp_matches(r, '^[\\x{{3400}}-\\x{{9fff}}]') TH
 def _bm25(pieces: str, keys: str) -> str:
     out = keys.replace("start", "CAST(start AS INT) AS start")
     return f"""
-q AS (SELECT * FROM (VALUES (1, 'parking width of the frontage'), (2, '請再確認使用分區'), (3, 'Grundstück Tabelle 503')) t(query_id, question)),
+q AS (SELECT doc_id AS query_id, text AS question FROM documents WHERE doc_id % 20 = 0),
 qt AS (SELECT DISTINCT query_id, unnest({_TOKENS.format(t='question')}) AS term FROM q),
 ch AS ({pieces}),
 tk AS (SELECT {keys}, {_TOKENS.format(t='chunk')} AS toks FROM ch),
@@ -145,12 +145,12 @@ SQL = {
       SELECT q.id AS case_id, e.document_id, q.day AS valuation_date FROM q JOIN e USING (ruleset_id, locality, land_use) WHERE valid_from <= day AND (valid_to IS NULL OR day <= valid_to)""",
     "evidence_listing": "SELECT e.document_id, d.name, d.n_pages, e.ruleset_id FROM (SELECT DISTINCT * FROM evidence_documents) e JOIN (SELECT DISTINCT id, name, CAST(len(pages) AS INT) AS n_pages FROM source_documents) d ON e.document_id = d.id",
     "chunk_windows": f"SELECT doc_id, count(*) AS chunks, CAST(sum(length(chunk)) AS BIGINT) AS chars, CAST(max(start + length(chunk)) AS INT) AS stop FROM ({_chunks('documents', 'doc_id')}) GROUP BY 1",
-    "term_counts": f"""SELECT term, CAST(sum(tf) AS BIGINT) AS tf, count(*) AS df FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKENS.format(t='text')}) AS term FROM documents) GROUP BY 1, 2) GROUP BY 1 HAVING count(*) >= 20""",
+    "term_counts": f"""SELECT term, CAST(sum(tf) AS BIGINT) AS tf, count(*) AS df FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKENS.format(t='text')}) AS term FROM documents) GROUP BY 1, 2) GROUP BY 1""",
     "bm25_mails": f"WITH {_bm25(_chunks('documents', 'doc_id'), 'doc_id, start')}",
     "bm25_pages": f"WITH {_PAGES}, pp AS (SELECT DISTINCT document_id, page, text FROM pg), {_bm25(_chunks('pp', 'document_id, page'), 'document_id, page, start')}",
     "citation_ids": f"""WITH {_PAGES}, pp AS (SELECT DISTINCT document_id, page, text FROM pg), ch AS ({_chunks('pp', 'document_id, page')})
       SELECT document_id, page, CAST(start AS INT) AS start, sha256(document_id || ':' || sha256 || ':' || page || ':' || start || ':' || (start + length(chunk))) AS citation FROM ch JOIN (SELECT DISTINCT document_id, sha256 FROM evidence_documents) e USING (document_id)""",
-    "page_slices": """WITH s AS (SELECT doc_id, o AS "offset", substr(text, o + 1, 2000) AS q, length(text) AS n FROM documents, (VALUES (0), (2000)) t(o) WHERE text IS NOT NULL)
+    "page_slices": """WITH s AS (SELECT doc_id, o AS "offset", substr(text, o + 1, 2000) AS q, length(text) AS n FROM (SELECT doc_id, text, CAST(unnest(range(0, greatest(length(text), 1), 2000)) AS INT) AS o FROM documents WHERE text IS NOT NULL))
       SELECT doc_id, "offset", md5(q) AS digest, CAST(CASE WHEN "offset" + length(q) < n THEN "offset" + length(q) END AS INT) AS next_start FROM s""",
     "conflicts_dropped": """SELECT arg_max(draft_id, draft_id) AS draft_id, document_id, factor_id, arg_max(subject, draft_id) FILTER (WHERE subject IS NOT NULL) AS subject, arg_max(comparable, draft_id) FILTER (WHERE comparable IS NOT NULL) AS comparable
       FROM (SELECT DISTINCT draft_id, document_id, factor_id, subject, comparable FROM pdf_drafts) GROUP BY document_id, factor_id HAVING count(DISTINCT row(subject, comparable)) = 1""",
@@ -207,7 +207,7 @@ SQL = {
       j AS (SELECT c.document_id, c.page, cell_id, expected, num, string_agg(l.text, '' ORDER BY l.x1, l.text) AS actual FROM c LEFT JOIN ln l ON c.document_id = l.document_id AND c.page = l.page AND (l.x1 + l.x2) / 2 >= c1 AND (l.x1 + l.x2) / 2 < c3 AND (l.y1 + l.y2) / 2 >= c2 AND (l.y1 + l.y2) / 2 < c4 GROUP BY 1, 2, 3, 4, 5)
       SELECT document_id, page, count(*) AS cells, count(*) FILTER (WHERE coalesce(actual, '') = expected) AS exact, count(*) FILTER (WHERE coalesce(actual, '') = expected AND num) AS numeric_exact FROM j GROUP BY 1, 2""",
     "number_lines": "SELECT l_linenumber, count(*) FILTER (WHERE l_linenumber <> 3) AS number_rows, CAST(sum(-CAST(l_quantity AS INT)) FILTER (WHERE l_linenumber <> 3) AS DOUBLE) AS second FROM lineitem GROUP BY 1",
-    "guarded_csv": """SELECT doc_id, CASE WHEN regexp_matches(ltrim(c), '^[=+\\-@\\t\\r]') THEN '''' || c ELSE c END AS cell FROM (SELECT doc_id, (['=', '', ' @', '-'])[doc_id % 4 + 1] || substr(text, 1, 20) AS c FROM documents WHERE text IS NOT NULL)""",
+    "guarded_csv": """SELECT doc_id, CASE WHEN regexp_matches(ltrim(c), '^[=+\\-@\\t\\r]') THEN '''' || c ELSE c END AS cell FROM (SELECT doc_id, (['=', '', ' @', '-'])[doc_id % 4 + 1] || text AS c FROM documents WHERE text IS NOT NULL)""",
     "html_report": f"SELECT '<tr><td>' || doc_id || '</td><td>' || {_HTML.format(t="coalesce(lang, '—')")} || '</td><td>' || {_HTML.format(t="coalesce(message_id, '—')")} || '</td><td>' || {_HTML.format(t="coalesce(in_reply_to, '—')")} || '</td></tr>' AS html FROM documents",
     "filled_cells": f"""WITH {_CASES}, v AS (SELECT id, 'locality' AS field, locality AS value FROM hd UNION ALL SELECT id, 'land_use', land_use FROM hd UNION ALL SELECT id, 'valuation_date', vd FROM hd), vv AS (SELECT * FROM v WHERE value IS NOT NULL)
       SELECT r.id AS record, sheet, cell, coalesce(value, 'not provided') AS value FROM (SELECT DISTINCT id FROM vv) r CROSS JOIN (VALUES ('s1', 'B2', 'locality'), ('s1', 'B3', 'land_use'), ('s2', 'C4', 'valuation_date'), ('s2', 'C5', 'weight')) t(sheet, cell, field) LEFT JOIN vv ON vv.id = r.id AND vv.field = t.field""",
@@ -238,7 +238,7 @@ SQL = {
       SELECT ruleset_id, rule_ix, CAST(size AS INT) AS size, CAST(weight AS DOUBLE) AS weight FROM m WHERE size > 1 AND n = size * size AND dg = 0""",
     "asof_events": """WITH b AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'), v AS (SELECT user_id, ts, max(event_id) AS view_id FROM events WHERE event_type = 'view' GROUP BY 1, 2)
       SELECT b.event_id, b.user_id, v.view_id FROM b ASOF LEFT JOIN v ON b.user_id = v.user_id AND b.ts >= v.ts""",
-    "rows_per_source": f"""WITH f AS (SELECT * FROM {_FAC} WHERE source_key IN ('src_00', 'src_01', 'src_02', 'src_04'))
+    "rows_per_source": f"""WITH f AS (SELECT * FROM {_FAC})
       SELECT source_key, count(*) AS n, count(address) AS with_address, round(count(*) / (SELECT count(*) FROM f), 6) AS share FROM f GROUP BY 1""",
     "required_fields": "SELECT source_key, count(*) AS n_rows, bool_and(json_exists(raw, '$.名稱') AND json_exists(raw, '$.地址')) AS complete FROM (SELECT DISTINCT facility_id, source_key, raw FROM facilities) GROUP BY 1",
 }

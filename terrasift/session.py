@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ def local_session(app: str = "terrasift", cores: int | str = "*", memory: str =
         .config("spark.driver.memory", memory)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -26,14 +28,26 @@ def local_session(app: str = "terrasift", cores: int | str = "*", memory: str =
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back from there.
 
-    The folder is the one named by ``spark.checkpoint.dir``. Only where neither
-    that setting nor a folder on the context exists (tests on one machine) a
-    temporary folder is chosen.
+    The files go when the result is no longer used, if the session was made with
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``, as ``local_session`` does.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(
-            df.sparkSession.conf.get("spark.checkpoint.dir", None)
-            or os.path.join(tempfile.gettempdir(), "terrasift-checkpoint")
-        )
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors see: the one of the context, else that of ``spark.checkpoint.dir``.
+
+    Only a master on this one machine may do without either and gets a temporary
+    folder; on a cluster its executors would each write to a disk of their own, so
+    that is an error.
+    """
+    sc = spark.sparkContext
+    held = sc._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "terrasift-checkpoint"))
+    return sc._jsc.sc().getCheckpointDir().get()

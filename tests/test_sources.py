@@ -66,9 +66,16 @@ def test_streams(spark, tmp_path):
     assert sum(r.n for r in w.collect()) == 13
     s = S.collect_stream(S.sessions(src(), ["k"], "ts", "1 hour", "3 minutes"), "t_ses", "complete")
     assert s.count() == 2
-    a = S.collect_stream(S.accepted_stream(src(), "k", "rev"), "t_acc").collect()
+    a = S.collect_stream(S.accepted_stream(src(), "k", "rev", "ts"), "t_acc").collect()
     assert sum(r.accepted for r in a) == 10 and len(a) == 13
     q = S.latest_by_batch(src(), "k", "rev", str(tmp_path / "state"), str(tmp_path / "chk"))
     q.awaitTermination()
-    last = max((p for p in (tmp_path / "state").iterdir()), key=lambda p: int(re.sub(r"\D", "", p.name)))
-    assert {r.k: r.rev for r in spark.read.parquet(str(last)).collect()} == {"k0": 5, "k1": 5}
+    ddl = "id long, ts timestamp, k string, rev long"
+    state = lambda: {r.k: r.rev for r in S.latest_rows(spark, str(tmp_path / "state"), ddl).collect()}
+    assert state() == {"k0": 5, "k1": 5}
+    before = {p.parent.name for p in (tmp_path / "state").glob("bucket=*/v=0")}
+    spark.sql("select 99L as id, timestamp_seconds(1700000999) as ts, 'k1' as k, 9L as rev").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    S.latest_by_batch(src(), "k", "rev", str(tmp_path / "state"), str(tmp_path / "chk")).awaitTermination()
+    assert state() == {"k0": 5, "k1": 9}
+    assert len(before) == 2 and len(list((tmp_path / "state").glob("bucket=*/v=1"))) == 1
+    assert S.latest_rows(spark, str(tmp_path / "none"), ddl).count() == 0
