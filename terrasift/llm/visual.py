@@ -2,16 +2,21 @@
 
 1. Compatibility normalization of widths, radicals, fonts and blanks; accents are
    composed; characters that show nothing are deleted. Line ends stay.
-2. A word in which letters of several alphabets may be meant is a lattice: each
-   letter stands beside its look-alikes. Viterbi search takes the path of best score,
-   the sum of character bigram log probabilities (counted over the whole corpus, with
-   add-one smoothing) and a penalty for every change of script, so that ``Sеñоrial``
-   with two Cyrillic letters becomes Latin and a Russian word stays Russian.
-3. For comparison the letters that then still look like a Latin one are folded to it,
-   so that any part of a word compares like the whole word.
-
-The bigram table covers letters of the alphabets with look-alikes only, so its size
-is bounded by the square of these alphabets, whatever the corpus; it is checked.
+2. A word of an alphabet with look-alikes is a lattice: at each letter stand all
+   letters that look like it. Viterbi search takes the path of best score, the sum of
+   character bigram log probabilities (counted over the words of one script of the
+   whole corpus, add-one smoothing) and a penalty for every change of script. The
+   lattice depends on the looks of a word only, so words that look alike get one
+   form: ``Sеñоrial`` with two Cyrillic letters becomes Latin, a Russian word with
+   two Latin ones Russian. Of equal paths the more Latin one is taken.
+3. A quote stands on a page if its form is part of the page's form. A quote may begin
+   or end inside a word; such a word is read as the page's whole word with the
+   quote's letters in it and must get the form that the page's word has.
+
+Without step 2 (``scores=None``) look-alikes stay different.
+
+The bigram table holds the letters with look-alikes and one sign for all others of a
+script, so it has at most ``len(SYMBOLS) ** 2`` rows, whatever the corpus.
 
 Defined cases: null stays null, empty stays empty; a quote that shows nothing is on
 no page; repeated rows and several pages of one number count once (a quote verbatim
@@ -23,6 +28,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,7 +36,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOST_BIGRAMS = 400_000
 SCRIPT_CHANGE = 6.0
 
 # fixed values: letters of other scripts and the Latin letter they look like
@@ -58,12 +63,18 @@ RADICALS = {
 }
 
 _SEEN_WIDTHS = ("<wide>", "<narrow>", "<noBreak>", "<font>", "<compat>")
-_FOLD = str.maketrans(LOOK_ALIKES)
-_WORD = re.compile(r"[^\W\d_]+")
-_HAS_FOREIGN = re.compile("[Ͱ-ϿЀ-ԯԱ-֏Ꭰ-Ᏽ]")
-_TWINS: dict[str, list[str]] = {}
+_MARKS = "\u0300-\u036f"
+_LETTERS = "A-Za-zªºÀ-ÖØ-öø-ʯͰ-ϿЀ-ԯԱ-֏Ꭰ-ᏽᲀ-ᲈḀ-ỿἀ-῿Ⱡ-ⱿꙀ-ꚟꜢ-ꟿꭰ-ꮿ"  # alphabets with look-alikes
+_WORD = re.compile(f"[{_LETTERS}][{_LETTERS}{_MARKS}]*")
+_WORD_CHAR = re.compile(f"[{_LETTERS}{_MARKS}]")
+_LATTICE: dict[str, tuple[str, ...]] = {}  # per letter all that look like it, the Latin one first
+for _k, _v in LOOK_ALIKES.items():
+    _LATTICE[_v] = (*_LATTICE.get(_v, (_v,)), _k)
 for _k, _v in LOOK_ALIKES.items():
-    _TWINS.setdefault(_v, []).append(_k)
+    _LATTICE[_k] = _LATTICE[_v]
+_LOOKS = str.maketrans({k: v[0] for k, v in _LATTICE.items()})
+SCRIPTS = ("LATIN", "GREEK", "CYRILLIC", "ARMENIAN", "CHEROKEE", "?")
+SYMBOLS = (*_LATTICE, *SCRIPTS, "^", "$")
 
 
 def _ignorable(ch: str) -> bool:
@@ -107,114 +118,157 @@ def script(ch: str) -> str:
     return unicodedata.name(ch, "? ").split(" ")[0]
 
 
+@lru_cache(maxsize=100_000)
+def symbol(ch: str) -> str:
+    """What stands for a letter in the bigram table: itself if it has look-alikes, else its script."""
+    return ch if ch in _LATTICE else script(ch) if script(ch) in SCRIPTS else "?"
+
+
+class _Units(dict):
+    """Letters of the alphabets with look-alikes apart from their accents; all else as it is."""
+
+    def __missing__(self, o: int):
+        parts = unicodedata.normalize("NFD", chr(o))
+        self[o] = parts if len(parts) > 1 and _WORD_CHAR.match(parts) else chr(o)
+        return self[o]
+
+
+_UNITS = _Units()
+
+
+def units(text: str) -> str:
+    """Step 1 with letters and accents apart, so that step 2 keeps every place."""
+    t = plain(text)
+    return t if t.isascii() else t.translate(_UNITS)
+
+
 class Scores:
-    """Bigram log probabilities with add-one smoothing."""
+    """Bigram log probabilities with add-one smoothing, and the best path through a lattice by them."""
 
-    def __init__(self, counts: dict[str, int]):
+    def __init__(self, counts: dict[tuple[str, str], int]):
         self.pairs = counts
         self.first: dict[str, int] = {}
-        for pair, n in counts.items():
-            self.first[pair[0]] = self.first.get(pair[0], 0) + n
-        self.letters = len({c for p in counts for c in p}) + 1
+        for (a, _), n in counts.items():
+            self.first[a] = self.first.get(a, 0) + n
+        self._known: dict[tuple[str, str], float] = {}
+        self._words: dict[str, str] = {}
 
     def __call__(self, a: str, b: str) -> float:
-        s = math.log((self.pairs.get(a + b, 0) + 1) / (self.first.get(a, 0) + self.letters))
-        if a != "^" and b != "$" and script(a) != script(b):
-            s -= SCRIPT_CHANGE
-        return s
-
-
-def word_path(word: str, scores: Scores) -> str:
-    """The best path through the look-alikes of a word; of equal paths the more Latin one."""
-    letters = unicodedata.normalize("NFD", word)
-    scripts = {script(c) for c in letters if not unicodedata.combining(c)}
-    ways_at: list[tuple[str, ...]] = []
-    back_at: list[bytes] = []
-    ways, sums = ("^",), [0.0]
-    for ch in letters:
-        if unicodedata.combining(ch):
-            ways_at.append((ch,))
-            back_at.append(b"")
-            continue
-        latin = LOOK_ALIKES.get(ch, ch)
-        here = tuple(dict.fromkeys((latin, ch, *(t for t in _TWINS.get(latin, ()) if script(t) in scripts))))
-        totals, back = [], bytearray()
-        for way in here:
-            options = [s + scores(k, way) for k, s in zip(ways, sums)]
-            best = max(range(len(options)), key=options.__getitem__)
-            totals.append(options[best])
-            back.append(best)
-        ways_at.append(here)
-        back_at.append(bytes(back))
-        ways, sums = here, totals
-    ends = [s + scores(k, "$") for k, s in zip(ways, sums)]
-    top = max(ends)
-    at = next(i for i, s in enumerate(ends) if s >= top - 1e-9)
-    out = []
-    for here, back in zip(reversed(ways_at), reversed(back_at)):
-        if back:
-            out.append(here[at])
-            at = back[at]
-        else:
-            out.append(here[0])
-    return unicodedata.normalize("NFC", "".join(reversed(out)))
-
-
-def consistent(text: str, scores: Scores) -> str:
-    """Steps 1 and 2: the one form of a text, to be read and stored."""
-    t = plain(text)
-    if t.isascii() or not _HAS_FOREIGN.search(unicodedata.normalize("NFD", t)):
-        return t
-    # a word together with its combining marks
-    return re.sub(r"(?:[^\W\d_][̀-ͯ]*)+", lambda m: word_path(m[0], scores) if _HAS_FOREIGN.search(unicodedata.normalize("NFD", m[0])) else m[0], t)
+        """Score of letter ``b`` after letter ``a``; ``^`` and ``$`` are the ends of a word."""
+        got = self._known.get((a, b))
+        if got is None:
+            x, y = (c if c in "^$" else symbol(c) for c in (a, b))
+            got = math.log((self.pairs.get((x, y), 0) + 1) / (self.first.get(x, 0) + len(SYMBOLS)))
+            if a != "^" and b != "$" and script(a) != script(b):
+                got -= SCRIPT_CHANGE
+            self._known[a, b] = got
+        return got
 
+    def path(self, word: str) -> str:
+        """The best path through the look-alikes of a word, letter for letter; accents stay on their letters."""
+        got = self._words.get(word)
+        if got is None:
+            if len(self._words) > 200_000:
+                self._words.clear()
+            got = self._words[word] = self._search(word)
+        return got
 
-def comparable(form: str) -> str:
-    """Step 3: the form in which equal-looking texts are equal strings."""
-    if form.isascii():
-        return form
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", form).translate(_FOLD))
+    def _search(self, word: str) -> str:
+        steps: list[tuple[tuple[str, ...], bytes]] = []
+        ways, sums = ("^",), [0.0]
+        for ch in word:
+            if unicodedata.combining(ch):
+                steps.append(((ch,), b""))
+                continue
+            here, totals, back = _LATTICE.get(ch, (ch,)), [], bytearray()
+            for way in here:
+                options = [s + self(k, way) for k, s in zip(ways, sums)]
+                best = max(range(len(options)), key=options.__getitem__)
+                totals.append(options[best])
+                back.append(best)
+            steps.append((here, bytes(back)))
+            ways, sums = here, totals
+        ends = [s + self(k, "$") for k, s in zip(ways, sums)]
+        at = next(i for i, s in enumerate(ends) if s >= max(ends) - 1e-9)
+        out = []
+        for here, back in reversed(steps):
+            out.append(here[at] if back else here[0])
+            at = back[at] if back else at
+        return "".join(reversed(out))
+
+    def read(self, text: str) -> str:
+        """Every word of ``units`` by its best path."""
+        return _WORD.sub(lambda m: self.path(m[0]), text)
+
+
+def _read(text: str, scores: Scores | None) -> str:
+    return text if scores is None else scores.read(text)
+
+
+def consistent(text: str, scores: Scores | None) -> str:
+    """The one form of a text: steps 1 and 2, accents composed."""
+    form = _read(units(text), scores)
+    return form if form.isascii() else unicodedata.normalize("NFC", form)
+
+
+def stands(quote: str, page: str, form: str, scores: Scores | None) -> bool:
+    """Whether a quote is part of a page in the common form (all in ``units``; ``form``: the page's form)."""
+    if not quote or unicodedata.combining(quote[0]):
+        return False
+
+    def places(part: str, whole: str) -> Iterator[int]:
+        at = whole.find(part)
+        while at >= 0:
+            end = at + len(part)
+            if end == len(whole) or not unicodedata.combining(whole[end]):
+                yield at
+            at = whole.find(part, at + 1)
+
+    if next(places(_read(quote, scores), form), None) is not None:
+        return True
+    if scores is None or not (_WORD_CHAR.match(quote) or _WORD_CHAR.match(quote[-1])):
+        return False
+    # places where every letter of the quote has a way in common with the page's letter
+    for at in places(quote.translate(_LOOKS), page.translate(_LOOKS)):
+        begin, end = at, at + len(quote)
+        while begin and _WORD_CHAR.match(quote) and _WORD_CHAR.match(page, begin - 1):
+            begin -= 1
+        while end < len(page) and _WORD_CHAR.match(quote[-1]) and _WORD_CHAR.match(page, end):
+            end += 1
+        if scores.read(page[begin:at] + quote + page[at + len(quote) : end]) == form[begin:end]:
+            return True
+    return False
 
 
 # ---- DataFrame operators -----------------------------------------------------------
 
 
 def letter_bigrams(texts: list[DataFrame]) -> Scores:
-    """Bigram counts of letters over all texts (single string columns), with word ends.
+    """Scores from the words of one script in all texts (single string columns), with word ends.
 
-    Counted per batch before the shuffle; only alphabets with look-alikes are kept.
+    Counted per batch before the shuffle; at most ``len(SYMBOLS) ** 2`` rows come back.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict[str, int] = {}
-            words: dict[str, int] = {}
-            for t in batch.column(0):
-                t = t.as_py()
-                if t:
-                    for w in _WORD.findall(plain(t)):
-                        words[w] = words.get(w, 0) + 1
+            words = Counter(w for t in batch.column(0).to_pylist() if t for w in _WORD.findall(units(t)))
+            seen: Counter = Counter()
             for w, n in words.items():
-                letters = "".join(c for c in unicodedata.normalize("NFD", w) if not unicodedata.combining(c))
-                if not letters or script(letters[0]) not in ("LATIN", "CYRILLIC", "GREEK", "ARMENIAN", "CHEROKEE"):
-                    continue
-                line = f"^{letters}$"
-                for a, b in zip(line, line[1:]):
-                    if script(b) != "CJK":
-                        seen[a + b] = seen.get(a + b, 0) + n
-            yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["pair", "n"])
+                letters = [c for c in w if not unicodedata.combining(c)]
+                if len({script(c) for c in letters}) == 1:
+                    line = ["^", *map(symbol, letters), "$"]
+                    for pair in zip(line, line[1:]):
+                        seen[pair] += n
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in seen], pa.string()), pa.array([p[1] for p in seen], pa.string()), pa.array(seen.values(), pa.int64())], ["a", "b", "n"])
 
     counts = None
     for df in texts:
-        part = df.mapInArrow(run, "pair string, n long")
+        part = df.mapInArrow(run, "a string, b string, n long")
         counts = part if counts is None else counts.unionByName(part)
-    rows = counts.groupBy("pair").agg(F.sum("n").alias("n")).limit(MOST_BIGRAMS + 1).collect()
-    if len(rows) > MOST_BIGRAMS:
-        raise ValueError(f"more than {MOST_BIGRAMS} letter bigrams")
-    return Scores({r["pair"]: r["n"] for r in rows})
+    return Scores({(r["a"], r["b"]): r["n"] for r in counts.groupBy("a", "b").agg(F.sum("n").alias("n")).collect()})
 
 
-def normalize_text(df: DataFrame, text: Column, scores: Scores, name: str = "form") -> DataFrame:
+def normalize_text(df: DataFrame, text: Column, scores: Scores | None, name: str = "form") -> DataFrame:
     """``df`` with the consistent form of ``text`` as one more column."""
 
     @F.pandas_udf("string")
@@ -226,7 +280,7 @@ def normalize_text(df: DataFrame, text: Column, scores: Scores, name: str = "for
     return df.withColumn(name, form(text.cast("string")))
 
 
-def quotes_in_form(quotes: DataFrame, pages: DataFrame, scores: Scores) -> DataFrame:
+def quotes_in_form(quotes: DataFrame, pages: DataFrame, scores: Scores | None) -> DataFrame:
     """``quote_id`` of quotes that stand on their page in the common form only.
 
     ``quotes``: quote_id, document_id, page, quote. ``pages``: document_id, page, text.
@@ -237,7 +291,7 @@ def quotes_in_form(quotes: DataFrame, pages: DataFrame, scores: Scores) -> DataF
     kind = q.schema["quote_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, str] = {}
+        held: dict[str, tuple[str, str]] = {}
         for batch in batches:
             verbatim, same = [], []
             for quote, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
@@ -248,10 +302,10 @@ def quotes_in_form(quotes: DataFrame, pages: DataFrame, scores: Scores) -> DataF
                 if len(held) > 1000:
                     held.clear()
                 if text not in held:
-                    held[text] = comparable(consistent(text, scores))
-                form = comparable(consistent(quote, scores))
+                    page = units(text)
+                    held[text] = page, _read(page, scores)
                 verbatim.append(False)
-                same.append(bool(form) and form in held[text])
+                same.append(stands(units(quote), *held[text], scores))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(verbatim), pa.array(same)], ["quote_id", "verbatim", "same"])
 
     judged = joined.select("quote_id", "quote", "text").mapInArrow(run, f"quote_id {kind}, verbatim boolean, same boolean")
