@@ -16,11 +16,15 @@ before them. Windows with one border form a variable chunk, and the ``SPAN - REA
 1. Per block of texts: borders, keys, chunk digests (narrow, vectorised). Chunks
    that two records of the block share are settled there; of each only two copies
    go on, and later blocks of the task settle it without sending any, so a chunk
-   that a third of all rows hold arrives twice per task.
+   that a third of all rows hold arrives twice per task. A key that a task has sent
+   ``LOCAL_HOT`` times (say of a footer shorter than ``SPAN`` in unlike mails) is sent
+   no more: further chunks go on under their record as open and hot ones, and one row
+   tells the key's task that the key is hot, so no task holds all rows of a key.
 2. One shuffle by key. Keys of a single record are dropped; chunks whose digest
    occurs in two records are covered whole. What is left are chunks at the ends of
    shared stretches: same key, but not all of their windows are shared.
-3. Only for these the text is fetched (shuffle by record) and the windows of one key
+3. Records with such chunks meet their text (a merge join by record; the text of
+   every record takes part in this shuffle), and the windows of one key
    are compared with each other at equal distance from the border, in a dictionary
    per distance, so linearly. A key with more than ``HOT`` such chunks is split by
    its windows' digests before this shuffle: each window goes to the task of its own
@@ -55,6 +59,7 @@ BLOCK = 1_000_000
 SLOT_BITS = 22
 MOST_KNOWN = 1_000_000  # memory of a task; beyond it chunks go on twice per block
 HOT = 20_000
+LOCAL_HOT = 256
 _U64 = np.uint64
 
 
@@ -143,11 +148,15 @@ def _unplace(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return border, border - place // REACH % REACH, border - place % REACH
 
 
-def _scan(limit: int):
-    """Step 1 on batches (id, text)."""
+def _scan(limit: int, local_hot: int):
+    """Step 1 on batches (id, text).
+
+    Rows: chunks (runs null); the settled runs of a record (own null); chunks of a hot
+    key (runs empty, key in own); signs that a key is hot (place null, runs null).
+    """
     names = ["key", "own", "id", "place", "runs"]
 
-    def block(known: set, slots: np.ndarray, ids: pa.Array, number: np.ndarray, texts: list[str], offsets: np.ndarray) -> pa.RecordBatch:
+    def block(known: set, slots: np.ndarray, often: np.ndarray, told: set, ids: pa.Array, number: np.ndarray, texts: list[str], offsets: np.ndarray) -> pa.RecordBatch:
         lengths = np.array([len(t) for t in texts], np.int64)
         got = chunks("".join(texts), lengths)
         piece = got["doc"]
@@ -175,7 +184,13 @@ def _scan(limit: int):
         goes_on &= ~sent[group]
         shared |= sent
         settled = order[shared[group]]
-        keep = order[goes_on]
+        keep = np.sort(order[goes_on])  # in the order of the texts, in which ids and places pack well
+        at_slot = (got["key"][keep] >> _U64(64 - SLOT_BITS)).astype(np.int64)
+        is_hot = often[at_slot] >= local_hot
+        often += np.bincount(at_slot, minlength=len(often)).astype(often.dtype)
+        hot, keep = keep[is_hot], keep[~is_hot]
+        tell = np.array(sorted(set(got["key"][hot].tolist()) - told), _U64)
+        told.update(tell.tolist())
         runs_of: list[list[int]] = []
         run_doc = np.unique(doc[settled])
         where = np.argsort(doc[settled], kind="stable")
@@ -183,19 +198,17 @@ def _scan(limit: int):
         for a, b in zip(bounds, np.append(bounds[1:], len(where))):
             s, e = merge_runs(first[settled][where[a:b]], last[settled][where[a:b]] + SPAN)
             runs_of.append(np.column_stack([s, e]).ravel().tolist())
-        n, m = len(keep), len(run_doc)
-
-        def col(values: np.ndarray, t: pa.DataType) -> pa.Array:
-            return pa.concat_arrays([pa.array(values, t), pa.nulls(m, t)])
-
-        spread = (run_doc.astype(_U64) + _U64(1)) * _U64(0x9E3779B97F4A7C15)
+        n, h, m, s = len(keep), len(hot), len(run_doc), len(tell)
+        both, lists = np.concatenate([keep, hot]), pa.list_(pa.int64())
+        spread = (np.concatenate([doc[hot], run_doc]).astype(_U64) + _U64(1)) * _U64(0x9E3779B97F4A7C15)
+        i64 = lambda *parts: pa.array(np.concatenate([p.view(np.int64) for p in parts]), pa.int64())
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(np.concatenate([got["key"][keep].view(np.int64), spread.view(np.int64)]), pa.int64()),
-                col(got["own"][keep].view(np.int64), pa.int64()),
-                ids.take(pa.array(np.concatenate([doc[keep], run_doc]), pa.int64())),
-                col(_place(border[keep], first[keep], last[keep]), pa.int64()),
-                pa.concat_arrays([pa.nulls(n, pa.list_(pa.int64())), pa.array(runs_of, pa.list_(pa.int64()))]),
+                i64(got["key"][keep], spread, tell),
+                pa.concat_arrays([i64(got["own"][keep], got["key"][hot]), pa.nulls(m + s, pa.int64())]),
+                ids.take(pa.array(np.concatenate([doc[both], run_doc, np.zeros(s, np.int64)]), pa.int64())),
+                pa.concat_arrays([pa.array(_place(border[both], first[both], last[both]), pa.int64()), pa.nulls(m + s, pa.int64())]),
+                pa.concat_arrays([pa.nulls(n, lists), pa.array([[]] * h + runs_of, lists), pa.nulls(s, lists)]),
             ],
             names,
         )
@@ -203,6 +216,9 @@ def _scan(limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set = set()  # chunks of two records that this task has sent on
         slots = np.zeros(1 << SLOT_BITS, bool)  # where their keys are, to look up few others
+        often = np.zeros(1 << SLOT_BITS, np.uint32)  # chunks sent by slot of their key; keys that share a slot count together
+        told: set = set()  # hot keys whose task knows
+        held_by_task = (known, slots, often, told)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             same = ids.dictionary_encode()
@@ -216,10 +232,10 @@ def _scan(limit: int):
                     part.append((number[i], piece, at))
                     held += len(piece)
                     if held >= limit:
-                        yield block(known, slots, ids, *_columns(part))
+                        yield block(*held_by_task, ids, *_columns(part))
                         part, held = [], 0
             if part:
-                yield block(known, slots, ids, *_columns(part))
+                yield block(*held_by_task, ids, *_columns(part))
 
     return run
 
@@ -339,7 +355,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who, pa.int64())), pa.array(cat(starts), pa.int64()), pa.array(cat(ends), pa.int64())], ["id", "span_start", "span_end"])
 
 
-def shared_spans(df: DataFrame, key: Column, text: Column, hot: int = HOT, block: int = BLOCK) -> DataFrame:
+def shared_spans(df: DataFrame, key: Column, text: Column, hot: int = HOT, block: int = BLOCK, local_hot: int = LOCAL_HOT) -> DataFrame:
     """``id, span_start, span_end``: maximal runs covered by text of another record."""
     docs = df.select(key.alias("id"), text.cast("string").alias("text")).where(F.col("id").isNotNull() & (F.length("text") >= SPAN))
     kind = docs.schema["id"].dataType
@@ -347,24 +363,26 @@ def shared_spans(df: DataFrame, key: Column, text: Column, hot: int = HOT, block
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow = to_arrow_type(kind)
-    found = docs.mapInArrow(_scan(block), f"key long, own long, id {ddl}, place long, runs array<bigint>")
+    found = docs.mapInArrow(_scan(block, local_hot), f"key long, own long, id {ddl}, place long, runs array<bigint>")
     by_key = Window.partitionBy("key", "settled")
     by_chunk = Window.partitionBy("key", "settled", "own")
     single, covered = ~F.col("many"), ~F.col("settled") & F.col("many")
+    apart = F.col("settled") & F.col("place").isNotNull()  # a chunk of a hot key
     judged = (
         found.withColumn("settled", F.col("runs").isNotNull()).repartition("key", "settled")
         .withColumn("copy", F.row_number().over(by_chunk.orderBy("id")))
         .withColumn("many", F.min("id").over(by_chunk) != F.max("id").over(by_chunk))
         .withColumns({
+            "told": F.bool_or(F.col("place").isNull()).over(by_key) & ~F.col("settled"),
             "shared": F.min("id").over(by_key) != F.max("id").over(by_key), "some_single": F.bool_or(single).over(by_key),
             "size": F.sum((single | (F.col("copy") == 1)).cast("int")).over(by_key),
         })
-        .where("settled or shared")
+        .where("(settled or shared or told) and (settled or place is not null)")
         .select(
-            "id", "key", "place",
-            (
-                F.when(covered, 1).otherwise(0) + F.when(~F.col("settled") & (single | (F.col("some_single") & (F.col("copy") == 1))), 2).otherwise(0)
-                + F.when(F.col("many"), 4).otherwise(0) + F.when(F.col("size") > hot, 8).otherwise(0)
+            "id", F.when(apart, F.col("own")).otherwise(F.col("key")).alias("key"), "place",
+            F.when(apart, 2 + 8).otherwise(
+                F.when(covered, 1).otherwise(0) + F.when(~F.col("settled") & (single | ((F.col("some_single") | F.col("told")) & (F.col("copy") == 1))), 2).otherwise(0)
+                + F.when(F.col("many"), 4).otherwise(0) + F.when(F.col("told") | (F.col("size") > hot), 8).otherwise(0)
             ).alias("flags"),
             "runs",
         )

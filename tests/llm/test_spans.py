@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from terrasift.llm.spans import SPAN, shared_share, shared_spans
+from terrasift.llm.spans import LOCAL_HOT, SPAN, _scan, shared_share, shared_spans
 
 
 def brute(docs):
@@ -50,11 +50,11 @@ def corpus(seed):
     return docs
 
 
-@pytest.mark.parametrize("seed,hot,block", [(1, 20_000, 1_000_000), (2, 3, 1_000_000), (3, 5, 700), (4, 0, 5_000), (5, 20_000, 900)])
-def test_brute(spark, seed, hot, block):
+@pytest.mark.parametrize("seed,hot,block,local", [(1, 20_000, 1_000_000, 256), (2, 3, 1_000_000, 2), (3, 5, 700, 1), (4, 0, 5_000, 256), (5, 20_000, 900, 0), (6, 20_000, 2_000, 3)])
+def test_brute(spark, seed, hot, block, local):
     docs = corpus(seed)
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"id": F.lit("clash"), "key": F.lit(1), "runs": F.lit(2)}).repartition(3)
-    got = shared_spans(df, F.col("doc_id"), F.col("text"), hot=hot, block=block).collect()
+    got = shared_spans(df, F.col("doc_id"), F.col("text"), hot=hot, block=block, local_hot=local).collect()
     assert sorted(map(tuple, got)) == sorted(brute(docs))
 
 
@@ -88,3 +88,19 @@ def test_string_ids(spark):
     t = "".join(chr(97 + i * 7 % 26) for i in range(900))
     df = spark.createDataFrame([("a", t), ("b", "zz" + t[100:500])], "k string, text string")
     assert sorted(map(tuple, shared_spans(df, F.col("k"), F.col("text")).collect())) == sorted(brute([("a", t), ("b", "zz" + t[100:500])]))
+
+
+@pytest.mark.parametrize("length", [150, 199])
+def test_short_footer(spark, length):
+    """A third of all mails hold one footer shorter than a span between unlike texts: its keys are not sent by all of them."""
+    rnd = random.Random(4)
+    say = lambda n: "".join(rnd.choice("abcdefghijklmnop ") for _ in range(n))
+    footer = say(length)
+    docs = [(i, say(260) + (footer if i % 3 == 0 else say(40)) + say(80)) for i in range(2400)]
+    docs.append((9999, docs[3][1][100:]))
+    df = spark.createDataFrame(docs, "id long, text string").repartition(2)
+    rows = df.mapInArrow(_scan(20_000, LOCAL_HOT), "key long, own long, id long, place long, runs array<bigint>")
+    most = rows.groupBy("key").count().agg(F.max("count")).first()[0]
+    assert most <= 2 * (LOCAL_HOT + 40)
+    assert length < 199 or (most > LOCAL_HOT and rows.where("size(runs) = 0").count() > 100)
+    assert sorted(map(tuple, shared_spans(df, F.col("id"), F.col("text")).collect())) == sorted(brute(docs))
