@@ -59,7 +59,7 @@ BLOCK = 1_000_000
 SLOT_BITS = 22
 MOST_KNOWN = 1_000_000  # memory of a task; beyond it chunks go on twice per block
 HOT = 20_000
-LOCAL_HOT = 256
+LOCAL_HOT = 2048
 _U64 = np.uint64
 
 

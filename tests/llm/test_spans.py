@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from terrasift.llm.spans import LOCAL_HOT, SPAN, _scan, shared_share, shared_spans
+from terrasift.llm.spans import SPAN, _scan, shared_share, shared_spans
 
 
 def brute(docs):
@@ -99,8 +99,8 @@ def test_short_footer(spark, length):
     docs = [(i, say(260) + (footer if i % 3 == 0 else say(40)) + say(80)) for i in range(2400)]
     docs.append((9999, docs[3][1][100:]))
     df = spark.createDataFrame(docs, "id long, text string").repartition(2)
-    rows = df.mapInArrow(_scan(20_000, LOCAL_HOT), "key long, own long, id long, place long, runs array<bigint>")
+    rows = df.mapInArrow(_scan(20_000, 64), "key long, own long, id long, place long, runs array<bigint>")
     most = rows.groupBy("key").count().agg(F.max("count")).first()[0]
-    assert most <= 2 * (LOCAL_HOT + 40)
-    assert length < 199 or (most > LOCAL_HOT and rows.where("size(runs) = 0").count() > 100)
-    assert sorted(map(tuple, shared_spans(df, F.col("id"), F.col("text")).collect())) == sorted(brute(docs))
+    assert most <= 2 * (64 + 40)
+    assert length < 199 or (most > 64 and rows.where("size(runs) = 0").count() > 100)
+    assert sorted(map(tuple, shared_spans(df, F.col("id"), F.col("text"), block=20_000, local_hot=64).collect())) == sorted(brute(docs))
