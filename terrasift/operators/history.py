@@ -19,10 +19,14 @@ finds both in one pass over a sorted partition.
 
 Skew: rows are *range*-partitioned by (entity, valid time, order, recorded), so an
 entity of any size is spread over many tasks, none of which holds more than its
-range. What crosses a border is settled by one small summary per partition (at most
+range; the number of ranges follows the number of rows. What crosses a border is settled by one small summary per partition (at most
 two entries each, so bounded by the number of partitions) and, for the few
 observations whose neighbour lies in another partition, by an as-of window over
-that one partition.
+that one partition. An interval that was split more than ``MOST_SPLITS`` times (a
+backfill that arrives backwards) has its rows chained in pieces of arrival numbers.
+
+Every row names the observation that ends it (``closed_by``), so what was valid
+before is found by a join of intervals, without an order of all rows of an entity.
 
 Defined cases: observations with a null entity or null recorded number are left
 out; null attributes equal null attributes; a null valid time sorts first; the same
@@ -45,6 +49,8 @@ from terrasift.operators.ordered import with_next
 from terrasift.session import cut_lineage
 
 KEY = ["entity", "valid", "ord", "rec"]
+ROWS_A_RANGE = 500_000
+MOST_SPLITS = 1_000_000
 
 
 def _nearest_smaller_left(rec: np.ndarray, seg: np.ndarray) -> np.ndarray:
@@ -72,7 +78,7 @@ def _changes(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def _sweep(rows: pa.Table) -> pa.Table:
-    """Neighbours and changes as far as one sorted partition tells them."""
+    """Neighbours as far as one sorted partition tells them."""
     new = _changes(rows["entity"])
     same = ~(new | _changes(rows["valid"]) | _changes(rows["ord"]) | _changes(rows["rec"]))
     if same.any():
@@ -86,22 +92,25 @@ def _sweep(rows: pa.Table) -> pa.Table:
     right = np.where(right >= 0, n - 1 - right, -1)
     take = lambda name, at: rows[name].combine_chunks().take(pa.array(at, pa.int64(), mask=at < 0))
     more = {
-        "pid": pa.array(np.full(n, TaskContext.get().partitionId()), pa.int32()), "pos": pa.array(np.arange(n), pa.int64()), "opens": pa.array(new | _changes(rows["fp"])),
-        "pred": take("rec", left), "succ_valid": take("valid", right), "has_succ": pa.array(right >= 0), "first_seg": pa.array(seg == 1), "last_seg": pa.array(seg == (seg[-1] if n else 0)),
+        "pid": pa.array(np.full(n, TaskContext.get().partitionId()), pa.int32()), "pos": pa.array(np.arange(n), pa.int64()),
+        "pred": take("rec", left), "succ_valid": take("valid", right), "succ": take("rec", right), "first_seg": pa.array(seg == 1), "last_seg": pa.array(seg == (seg[-1] if n else 0)),
     }
     for name, column in more.items():
         rows = rows.append_column(name, column)
     return rows
 
 
-def ledger(df: DataFrame, entity: Column, valid: Column, recorded: Column, attributes: dict[str, Column], order: Column | None = None) -> DataFrame:
+def ledger(
+    df: DataFrame, entity: Column, valid: Column, recorded: Column, attributes: dict[str, Column], order: Column | None = None,
+    rows_a_range: int = ROWS_A_RANGE, most_splits: int = MOST_SPLITS,
+) -> DataFrame:
     """The bitemporal ledger of ``df``.
 
-    Columns: ``entity, observation, valid_from, in_moment, valid_to, recorded_from,
-    recorded_to, opens`` and the attributes. ``observation`` is the recorded number
-    of the observation that gave the attributes; ``in_moment`` orders observations of
-    one moment. ``opens`` says that the attributes differ from those valid before, as
-    believed at last.
+    Columns: ``entity, observation, valid_from, in_moment, valid_to, closed_by,
+    recorded_from, recorded_to, digest`` and the attributes. ``observation`` is the
+    recorded number of the observation that gave the attributes, ``closed_by`` that
+    of the one that ends the interval; ``in_moment`` orders observations of one
+    moment; ``digest`` is one number for all attributes.
     """
     names = list(attributes)
     rows = df.select(
@@ -110,8 +119,11 @@ def ledger(df: DataFrame, entity: Column, valid: Column, recorded: Column, attri
     ).where("entity is not null and rec is not null")
     rows = rows.withColumn("fp", F.xxhash64(F.to_json(F.struct(*[f"a_{k}" for k in names]))))
     rows = cut_lineage(rows)  # ranges are found by sampling, so the rows are read twice
-    sorted_rows = rows.repartitionByRange(*KEY).sortWithinPartitions(*KEY)
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema.fields)}, pid int, pos long, opens boolean, pred long, succ_valid timestamp_ntz, has_succ boolean, first_seg boolean, last_seg boolean"
+    ranges = -(-rows.count() // rows_a_range)
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = rows.repartitionByRange(ranges, *KEY) if ranges > usual else rows.repartitionByRange(*KEY)
+    sorted_rows = spread.sortWithinPartitions(*KEY)
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema.fields)}, pid int, pos long, pred long, succ_valid timestamp_ntz, succ long, first_seg boolean, last_seg boolean"
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -121,19 +133,19 @@ def ledger(df: DataFrame, entity: Column, valid: Column, recorded: Column, attri
     swept = cut_lineage(sorted_rows.mapInArrow(sweep, schema))
     edge = (
         swept.where("first_seg or last_seg").groupBy("pid", "entity")
-        .agg(F.min("rec").alias("least"), F.max_by("fp", "pos").alias("last_fp"), F.max_by("rec", "pos").alias("last_rec"))
+        .agg(F.min("rec").alias("least"))
         .orderBy("pid").collect()
     )  # at most two rows a partition
     by_entity: dict[str, list] = {}
     for e in edge:
-        by_entity.setdefault(e["entity"], []).append((e["pid"], e["least"], e["last_fp"]))
+        by_entity.setdefault(e["entity"], []).append((e["pid"], e["least"]))
     by_entity = {k: v for k, v in by_entity.items() if len(v) > 1}
     if not by_entity:
         done = swept.select("*", F.lit(None).cast("int").alias("left_pid"), F.lit(None).cast("int").alias("right_pid"))
     else:
         done = swept.mapInPandas(_across(by_entity), schema + ", left_pid int, right_pid int")
         done = _settle(done, schema)
-    return _intervals(done, names)
+    return _intervals(done, names, most_splits)
 
 
 def _across(by_entity: dict[str, list]):
@@ -145,25 +157,21 @@ def _across(by_entity: dict[str, list]):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            left_pid, right_pid, opens = [None] * len(pdf), [None] * len(pdf), pdf["opens"].to_numpy().copy()
-            rec, pos, fp = pdf["rec"].to_numpy(), pdf["pos"].to_numpy(), pdf["fp"].to_numpy()
+            left_pid, right_pid, rec = [None] * len(pdf), [None] * len(pdf), pdf["rec"].to_numpy()
             asks_left = (pdf["first_seg"] & pdf["pred"].isna()).to_numpy()
-            asks_right = (pdf["last_seg"] & ~pdf["has_succ"]).to_numpy()
-            begins = pdf["first_seg"].to_numpy() & (pos == 0)
-            edge = np.flatnonzero((asks_left | asks_right | begins) & pdf["entity"].isin(by_entity.keys()).to_numpy())
+            asks_right = (pdf["last_seg"] & pdf["succ"].isna()).to_numpy()
+            edge = np.flatnonzero((asks_left | asks_right) & pdf["entity"].isin(by_entity.keys()).to_numpy())
             for (entity, pid), at in pdf.iloc[edge].groupby(["entity", "pid"]).indices.items():
                 at = edge[at]
                 near = by_entity[entity]
                 earlier, later = [x for x in reversed(near) if x[0] < pid], [x for x in near if x[0] > pid]
                 if earlier:
-                    for i in at[begins[at]]:
-                        opens[i] = earlier[0][2] != fp[i]
                     for i in at[asks_left[at] & (rec[at] > min(x[1] for x in earlier))]:
-                        left_pid[i] = next(p for p, least, _ in earlier if least < rec[i])
+                        left_pid[i] = next(p for p, least in earlier if least < rec[i])
                 if later:
                     for i in at[asks_right[at] & (rec[at] > min(x[1] for x in later))]:
-                        right_pid[i] = next(p for p, least, _ in later if least < rec[i])
-            yield pdf.assign(opens=opens, left_pid=pd.array(left_pid, dtype="Int32"), right_pid=pd.array(right_pid, dtype="Int32"))
+                        right_pid[i] = next(p for p, least in later if least < rec[i])
+            yield pdf.assign(left_pid=pd.array(left_pid, dtype="Int32"), right_pid=pd.array(right_pid, dtype="Int32"))
 
     return run
 
@@ -183,18 +191,29 @@ def _settle(done: DataFrame, schema: str) -> DataFrame:
         return ask.unionByName(have).select("entity", "rec", F.col("there").isNull().alias("asks"), best.alias(f"{side}_found")).where("asks").drop("asks")
 
     out = done.join(asof("left"), ["entity", "rec"], "left").join(asof("right"), ["entity", "rec"], "left")
-    return out.withColumn("pred", F.coalesce("pred", "left_found.rec")).withColumn("succ_valid", F.when(F.col("has_succ"), F.col("succ_valid")).otherwise(F.col("right_found.valid"))).drop("left_found", "right_found")
-
-
-def _intervals(done: DataFrame, names: list[str]) -> DataFrame:
-    attrs = F.struct(F.col("valid").alias("valid_from"), F.col("ord").alias("in_moment"), "opens", *[F.col(f"a_{k}").alias(k) for k in names])
-    first = done.select("entity", F.col("rec").alias("observation"), F.col("rec").alias("recorded_from"), F.col("succ_valid").alias("valid_to"), attrs.alias("own"))
-    later = done.where("pred is not null").select("entity", F.col("pred").alias("observation"), F.col("rec").alias("recorded_from"), F.col("valid").alias("valid_to"), F.lit(None).cast(first.schema["own"].dataType).alias("own"))
-    w = Window.partitionBy("entity", "observation").orderBy("recorded_from")
-    rows = first.unionByName(later).select(
-        "entity", "observation", "valid_to", "recorded_from", F.lead("recorded_from").over(w).alias("recorded_to"), F.first("own", ignorenulls=True).over(w).alias("own")
-    )
-    return rows.select("entity", "observation", "own.valid_from", "own.in_moment", "valid_to", "recorded_from", "recorded_to", "own.opens", *[f"own.{k}" for k in names])
+    return out.withColumn("pred", F.coalesce("pred", "left_found.rec")).withColumn("succ_valid", F.when(F.col("succ").isNotNull(), F.col("succ_valid")).otherwise(F.col("right_found.valid"))).withColumn("succ", F.coalesce("succ", "right_found.rec")).drop("left_found", "right_found")
+
+
+def _intervals(done: DataFrame, names: list[str], most_splits: int) -> DataFrame:
+    """One row for every interval that was ever believed: an observation's first, and one more each time a later one split it."""
+    attrs = F.struct(F.col("valid").alias("valid_from"), F.col("ord").alias("in_moment"), F.col("fp").alias("digest"), *[F.col(f"a_{k}").alias(k) for k in names])
+    first = done.select("entity", F.col("rec").alias("observation"), F.col("rec").alias("recorded_from"), F.col("succ_valid").alias("valid_to"), F.col("succ").alias("closed_by"), attrs.alias("own"))
+    split = done.where("pred is not null")
+    later = split.select("entity", F.col("pred").alias("observation"), F.col("rec").alias("recorded_from"), F.col("valid").alias("valid_to"), F.col("rec").alias("closed_by"), F.lit(None).cast(first.schema["own"].dataType).alias("own"))
+    busiest = split.groupBy("entity", "pred").count().agg(F.max("count")).first()[0] or 0
+    key, rows = ["entity", "observation"], first.unionByName(later)
+    if busiest <= most_splits:
+        w = Window.partitionBy(*key).orderBy("recorded_from")
+        rows = rows.withColumns({"recorded_to": F.lead("recorded_from").over(w), "own": F.first("own", ignorenulls=True).over(w)})
+    else:
+        # arrival numbers are distinct, so a piece holds at most ``most_splits`` rows of an interval
+        piece = F.floor(F.col("recorded_from") / most_splits)
+        pieces = rows.withColumn("piece", piece).groupBy(*key, "piece").agg(F.first("own", ignorenulls=True).alias("own"))
+        owner = pieces.where("own is not null").select(*key, F.col("own").alias("whose"))
+        whose = pieces.select(*key, "piece").join(owner, key)
+        chained = with_next(rows.drop("own"), key, ["recorded_from"], ["recorded_from"], piece, "after").withColumn("piece", piece)
+        rows = chained.join(whose, [*key, "piece"]).select(*key, "recorded_from", "valid_to", "closed_by", F.col("after.recorded_from").alias("recorded_to"), F.col("whose").alias("own"))
+    return rows.select(*key, "own.valid_from", "own.in_moment", "valid_to", "closed_by", "recorded_from", "recorded_to", "own.digest", *[f"own.{k}" for k in names])
 
 
 def as_recorded(led: DataFrame, recorded: int | None = None) -> DataFrame:
@@ -204,12 +223,22 @@ def as_recorded(led: DataFrame, recorded: int | None = None) -> DataFrame:
     return led.where((F.col("recorded_from") <= recorded) & (F.col("recorded_to").isNull() | (F.col("recorded_to") > recorded)))
 
 
+def openings(current: DataFrame) -> DataFrame:
+    """The intervals of one belief whose attributes differ from those of the interval they follow, or that follow none.
+
+    An interval follows the one that its observation closes; each is closed by one
+    observation at most, so the join is one to one.
+    """
+    before = current.where("closed_by is not null").select("entity", F.col("closed_by").alias("observation"), F.col("digest").alias("_before"))
+    return current.join(before, ["entity", "observation"], "left").where("_before is null or _before <> digest").drop("_before")
+
+
 def versions(led: DataFrame) -> DataFrame:
     """Current versions: neighbouring intervals with equal attributes become one.
 
     ``entity, observation, valid_from, valid_to``; the observation is the one that
     opens the version.
     """
-    opening = as_recorded(led).where("opens").select("entity", "observation", "valid_from", "in_moment")
+    opening = openings(as_recorded(led)).select("entity", "observation", "valid_from", "in_moment")
     out = with_next(opening, ["entity"], ["valid_from", "in_moment", "observation"], ["valid_from"], F.unix_date(F.to_date("valid_from")), "_n")
     return out.select("entity", "observation", "valid_from", F.col("_n.valid_from").alias("valid_to"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrasift.functions.dates import parse_date
-from terrasift.operators.history import as_recorded, ledger, versions
+from terrasift.operators.history import as_recorded, ledger, openings, versions
 from terrasift.operators.nested import read_json, shred
 from terrasift.operators.orphans import Reference, orphan_counts, orphans
 from terrasift.sources.tables import table
@@ -72,8 +72,7 @@ def audit_ledger(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    current = as_recorded(audit_ledger(spark, folder)).where("opens")
-    return current.select(F.col("entity").alias("case_id"), F.col("observation").alias("audit_id"))
+    return openings(as_recorded(audit_ledger(spark, folder))).select(F.col("entity").alias("case_id"), F.col("observation").alias("audit_id"))
 
 
 def p5_history(spark: SparkSession, folder: str) -> DataFrame:
@@ -81,6 +80,12 @@ def p5_history(spark: SparkSession, folder: str) -> DataFrame:
     return versions(audit_ledger(spark, folder)).select(F.col("entity").alias("case_id"), F.col("observation").alias("audit_id"), "valid_from", "valid_to")
 
 
+def p5_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """Every interval that was ever believed, with the time it held and the arrivals between which it was believed."""
+    led = audit_ledger(spark, folder)
+    return led.select(F.col("entity").alias("case_id"), "observation", "valid_from", "valid_to", "closed_by", "recorded_from", "recorded_to", "ruleset_id", "document_id")
+
+
 def p5_believed(spark: SparkSession, folder: str) -> DataFrame:
     """Per case, the rows of the ledger and how many of them later arrivals superseded."""
     led = audit_ledger(spark, folder)
@@ -121,4 +126,4 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return nodes.select("src_table", "record_id", "child", key.alias("child_key")).distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p5_found, p5_history, p5_believed, p6_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p5_found, p5_history, p5_ledger, p5_believed, p6_found)}

@@ -42,6 +42,24 @@ v AS (
   FROM h
 )"""
 
+# every observation against all of its case: its nearest earlier-recorded neighbours, and what each split
+_LEDGER = f"""
+{_SNAPSHOTS},
+o AS (SELECT h.id, h.case_id, h.at_utc, f.ruleset_id, f.document_id, row_number() OVER (PARTITION BY h.case_id ORDER BY h.at_utc, h.revision NULLS FIRST, h.id) AS p FROM h JOIN f USING (id)),
+n AS (
+  SELECT y.id, y.case_id, y.at_utc, y.ruleset_id, y.document_id,
+         max(row(x.p, x.id)) FILTER (WHERE x.p < y.p) AS l, min(row(x.p, x.id, x.at_utc)) FILTER (WHERE x.p > y.p) AS r
+  FROM o y LEFT JOIN o x ON x.case_id = y.case_id AND x.id < y.id GROUP BY ALL
+),
+w AS (
+  SELECT case_id, id AS observation, r[3] AS valid_to, r[2] AS closed_by, id AS recorded_from FROM n
+  UNION ALL SELECT case_id, l[2], at_utc, id, id FROM n WHERE l IS NOT NULL
+),
+led AS (
+  SELECT w.case_id, w.observation, o.at_utc AS valid_from, w.valid_to, w.closed_by, w.recorded_from, lead(w.recorded_from) OVER (PARTITION BY w.case_id, w.observation ORDER BY w.recorded_from) AS recorded_to, o.ruleset_id, o.document_id
+  FROM w JOIN o ON o.id = w.observation
+)"""
+
 _OPEN = "CASE WHEN json_type({x}) = 'VARCHAR' AND json_valid({x} ->> '$') THEN CAST({x} ->> '$' AS JSON) ELSE {x} END"
 
 
@@ -76,5 +94,7 @@ SQL = {
     "p1_found": f"WITH {_REFERENCES} SELECT DISTINCT child_table, ref_field, child_key, reason FROM judged WHERE reason IS NOT NULL",
     "p1_counts": f"WITH {_REFERENCES} SELECT child_table, ref_field, date_trunc('month', t) AS period, reason, count(*) AS n_references FROM judged WHERE reason IS NOT NULL GROUP BY ALL",
     "p5_found": f"WITH {_SNAPSHOTS} SELECT case_id, id AS audit_id FROM v WHERE opens",
+    "p5_ledger": f"WITH {_LEDGER} SELECT * FROM led",
+    "p5_believed": f"WITH {_LEDGER} SELECT case_id, count(*) AS n_rows, count(recorded_to) AS n_superseded FROM led GROUP BY 1",
     "p5_history": f"WITH {_SNAPSHOTS} SELECT case_id, id AS audit_id, at_utc AS valid_from, lead(at_utc) OVER (PARTITION BY case_id ORDER BY at_utc, revision NULLS FIRST, id) AS valid_to FROM v WHERE opens",
 }

@@ -41,20 +41,22 @@ def brute_versions(held):
     return got
 
 
-@pytest.mark.parametrize("coalesce,shape", [("true", "mixed"), ("false", "mixed"), ("false", "down"), ("false", "up")])
-def test_replay(spark, coalesce, shape):
+@pytest.mark.parametrize("coalesce,shape,range_rows,splits", [
+    ("true", "mixed", 10**6, 10**6), ("false", "mixed", 10**6, 10**6), ("false", "down", 30, 10**6), ("false", "up", 50, 10**6), ("true", "mixed", 20, 3), ("true", "backwards", 10**6, 10**6), ("true", "backwards", 60, 7),
+])
+def test_replay(spark, coalesce, shape, range_rows, splits):
     rnd = random.Random(7)
     rows = []
     n = 400
     for rec in range(n):
         e = rnd.choice(["hot", "hot", "hot", "a", "b", None])
-        v = {"mixed": rnd.randint(0, 300), "down": n - rec, "up": rec + rnd.choice([0, 0, 0, -40])}[shape]
+        v = {"mixed": rnd.randint(0, 300), "down": n - rec, "backwards": n - rec if rec else -1, "up": rec + rnd.choice([0, 0, 0, -40])}[shape]
         rows.append((e, None if rnd.random() < 0.01 else T0 + timedelta(minutes=v), rnd.randint(0, 2), rec, rnd.choice(["x", "y", None])))
     rows += rnd.sample(rows, 20)
     df = spark.createDataFrame(rows, "e string, v timestamp_ntz, o long, rec long, a string").withColumn("entity", F.lit("clash"))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
     try:
-        led = ledger(df.repartition(3), F.col("e"), F.col("v"), F.col("rec"), {"a": F.col("a")}, F.col("o"))
+        led = ledger(df.repartition(3), F.col("e"), F.col("v"), F.col("rec"), {"a": F.col("a")}, F.col("o"), range_rows, splits)
         got = {(r.entity, r.observation, r.valid_to, r.recorded_from, r.recorded_to) for r in led.collect()}
         seen = {(r.entity, r.observation) for r in versions(led).collect()}
         now = as_recorded(led).count()
