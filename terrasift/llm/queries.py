@@ -27,7 +27,7 @@ def personal_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 def _personal(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     texts = personal_texts(spark, folder)
-    items = personal_items(texts, Gazetteer.collect(table(spark, folder, "place_names")))
+    items = personal_items(texts, Gazetteer.collect(table(spark, folder, "place_names"), roads=True))
     return texts, items.where("not (unit.field = 'subject_address' and kind = 'street_address')")
 
 

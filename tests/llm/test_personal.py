@@ -24,7 +24,7 @@ FOUND = [
 
 
 def test_spans(spark):
-    f = Finder(Gazetteer.collect(gaz(spark)))
+    f = Finder(Gazetteer.collect(gaz(spark), roads=True))
     for text, want in FOUND:
         plain, at = shadow(text)
         ids = f.identifiers(plain)
@@ -36,7 +36,7 @@ def test_spans(spark):
 
 
 def test_rows(spark):
-    names = Gazetteer.collect(gaz(spark))
+    names = Gazetteer.collect(gaz(spark), roads=True)
     texts = [(i, t) for i, (t, _) in enumerate(FOUND)] + [(100, None), (101, ""), (102, "承辦人：尚未指派\n尚未指派人員\n指派前尚未到場")] + [(200 + i, f"尚未指派 第 {i} 項") for i in range(40)]
     texts.append(texts[0])
     df = spark.createDataFrame(texts, "unit int, text string").withColumns({"kind": F.lit("clash"), "term": F.lit(1)})
@@ -56,7 +56,7 @@ def test_unlisted_roles(spark):
     texts = [f"承辦人：{p}，已歸檔\n道路寬度與使用分區" for p in people] + [f"Contact: {w}, filed. Plaza Nova lot" for w in west]
     texts += [f"管理員{p}已到場" for p in people] + [f"巡查時見{p}在場" for p in people] + [f"Surveyor {w} was here, Plaza Nova lot" for w in west] + ["道路寬度", "Plaza Nova", "使用分區"] * 5
     df = spark.createDataFrame(list(enumerate(texts)), "unit int, text string")
-    names = Gazetteer.collect(gaz(spark))
+    names = Gazetteer.collect(gaz(spark), roads=True)
     found = lambda t: {(r.unit, r.found) for r in personal_items(df, names, t).collect() if r.kind == "person_name"}
     want = {(i, p) for i, t in enumerate(texts) for p in people + west if p in t and not any(p in q and q in t and p != q for q in people)}
     assert found(0.25) == want
@@ -77,7 +77,7 @@ def test_longer_lower_form(spark):
     """A letter that lower() makes two does not hide the addresses of its text."""
     text = "İstanbul İpek 設籍 霧港市青嵐區\n菊風智路二段205-3號。"
     df = spark.createDataFrame([(1, text)], "unit int, text string")
-    items = personal_items(df, Gazetteer.collect(gaz(spark)))
+    items = personal_items(df, Gazetteer.collect(gaz(spark), roads=True))
     assert [(r.kind, r.found) for r in items.collect()] == [("street_address", "霧港市青嵐區\n菊風智路二段205-3號")]
     assert redacted(df, items).collect()[0].text == "İstanbul İpek 設籍 [STREET_ADDRESS]。"
 
@@ -90,7 +90,7 @@ def test_long(spark):
     """Very long runs are read once, not once per character."""
     import time
 
-    f = Finder(Gazetteer.collect(gaz(spark)))
+    f = Finder(Gazetteer.collect(gaz(spark), roads=True))
     for unit in ("a", "a.", "1", "09", "承辦人：郗笙奕 0949-790976\n", "路", "雲", "A b ", "x@", "x@y.", "(", "菊風智路1", "[at]"):
         text = unit * (400_000 // len(unit))
         start = time.time()
