@@ -102,22 +102,22 @@ def _sweep(rows: pa.Table) -> pa.Table:
 
 def ledger(
     df: DataFrame, entity: Column, valid: Column, recorded: Column, attributes: dict[str, Column], order: Column | None = None,
-    rows_a_range: int = ROWS_A_RANGE, most_splits: int = MOST_SPLITS,
+    rows_a_range: int = ROWS_A_RANGE, most_splits: int = MOST_SPLITS, keep: list[str] | None = None,
 ) -> DataFrame:
     """The bitemporal ledger of ``df``.
 
     Columns: ``entity, observation, valid_from, in_moment, valid_to, closed_by,
-    recorded_from, recorded_to, digest`` and the attributes. ``observation`` is the
-    recorded number of the observation that gave the attributes, ``closed_by`` that
+    recorded_from, recorded_to, digest`` and the attributes (those named in ``keep``,
+    by default all). ``observation`` is the recorded number of the observation that gave the attributes, ``closed_by`` that
     of the one that ends the interval; ``in_moment`` orders observations of one
     moment; ``digest`` is one number for all attributes.
     """
-    names = list(attributes)
+    names = list(attributes) if keep is None else keep
     rows = df.select(
         entity.cast("string").alias("entity"), valid.cast("timestamp_ntz").alias("valid"), F.coalesce((order if order is not None else F.lit(0)).cast("long"), F.lit(-(2**62))).alias("ord"),
         recorded.cast("long").alias("rec"), *[c.cast("string").alias(f"a_{k}") for k, c in attributes.items()],
     ).where("entity is not null and rec is not null")
-    rows = rows.withColumn("fp", F.xxhash64(F.to_json(F.struct(*[f"a_{k}" for k in names]))))
+    rows = rows.withColumn("fp", F.xxhash64(F.to_json(F.struct(*[f"a_{k}" for k in attributes])))).drop(*[f"a_{k}" for k in attributes if k not in names])
     rows = cut_lineage(rows)  # ranges are found by sampling, so the rows are read twice
     ranges = -(-rows.count() // rows_a_range)
     usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -224,11 +224,12 @@ def as_recorded(led: DataFrame, recorded: int | None = None) -> DataFrame:
 
 
 def openings(current: DataFrame) -> DataFrame:
-    """The intervals of one belief whose attributes differ from those of the interval they follow, or that follow none.
+    """``entity, observation, closed_by, digest, valid_from, in_moment``: the intervals of one belief whose attributes differ from those of the interval they follow, or that follow none.
 
     An interval follows the one that its observation closes; each is closed by one
     observation at most, so the join is one to one.
     """
+    current = cut_lineage(current.select("entity", "observation", "closed_by", "digest", "valid_from", "in_moment"))  # used twice
     before = current.where("closed_by is not null").select("entity", F.col("closed_by").alias("observation"), F.col("digest").alias("_before"))
     return current.join(before, ["entity", "observation"], "left").where("_before is null or _before <> digest").drop("_before")
 

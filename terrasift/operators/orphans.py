@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HEAVY_PARTS = 1000
+SALT = 64
 
 FOUND = "child_table string, ref_field string, child_key string, reason string"
 
@@ -122,8 +123,11 @@ def orphan_counts(ref: Reference, period: str = "month", parts: int = HEAVY_PART
     first, last = _reason("first_at"), _reason("last_at")
     judged = joined.select("k", "period", "n", first.alias("r1"), last.alias("r2"), "there", "born", "gone")
     settled = judged.where(F.col("r1").eqNullSafe(F.col("r2"))).where("r1 is not null").select("period", "n", F.col("r1").alias("reason"))
-    cut = judged.where(~F.col("r1").eqNullSafe(F.col("r2"))).select("k", F.col("period").alias("p"), "there", "born", "gone")
-    rows = refs.withColumn("period", F.date_trunc(period, "at").cast("timestamp_ntz")).join(cut, "k").where("period = p")
+    # the rows of a cut period meet its target in ``SALT`` pieces, so that a key's month is not one task
+    piece = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))
+    cut = judged.where(~F.col("r1").eqNullSafe(F.col("r2"))).select("k", "period", piece.alias("_piece"), "there", "born", "gone")
+    dealt = refs.select("k", "at", F.date_trunc(period, "at").cast("timestamp_ntz").alias("period"), F.pmod(F.xxhash64("child_key", "at"), F.lit(SALT)).cast("int").alias("_piece"))
+    rows = dealt.join(cut, ["k", "period", "_piece"])
     by_row = rows.withColumn("reason", _reason()).where("reason is not null").groupBy("period", "reason").agg(F.count("*").alias("n")).select("period", "n", "reason")
     return (
         settled.unionByName(by_row)

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from terrasift.functions.dates import parse_date
 from terrasift.operators.history import as_recorded, ledger, openings, versions
-from terrasift.operators.nested import read_json, shred
+from terrasift.operators.nested import parent_label, read_json, shred
 from terrasift.operators.orphans import Reference, orphan_counts, orphans
+from terrasift.session import cut_lineage
 from terrasift.sources.tables import table
 
 HEADER = ("case_number", "valuation_date", "locality", "land_use", "ruleset_id", "document_id")
@@ -64,11 +65,12 @@ def snapshot_fields(df: DataFrame, keep: list[str], body: str, fields: tuple[str
     return df.where(f"{body} is not null").select(*keep, body).mapInArrow(run, ddl)
 
 
-def audit_ledger(spark: SparkSession, folder: str) -> DataFrame:
+def audit_ledger(spark: SparkSession, folder: str, *keep: str) -> DataFrame:
+    """The ledger of the case headers with the attributes to ``keep``; a change of any of them counts."""
     rows = snapshot_fields(table(spark, folder, "audit"), ["id", "case_id", "at_utc"], "snapshot", ("revision", *HEADER))
     attributes: dict[str, Column] = {k: F.col(k) for k in HEADER}
     attributes["valuation_date"] = F.coalesce(parse_date(F.col("valuation_date")).cast("string"), F.col("valuation_date"))
-    return ledger(rows, F.col("case_id"), F.col("at_utc"), F.col("id"), attributes, F.col("revision").try_cast("double").try_cast("long"))
+    return ledger(rows, F.col("case_id"), F.col("at_utc"), F.col("id"), attributes, F.col("revision").try_cast("double").try_cast("long"), keep=list(keep))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -82,7 +84,7 @@ def p5_history(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_ledger(spark: SparkSession, folder: str) -> DataFrame:
     """Every interval that was ever believed, with the time it held and the arrivals between which it was believed."""
-    led = audit_ledger(spark, folder)
+    led = audit_ledger(spark, folder, "ruleset_id", "document_id")
     return led.select(F.col("entity").alias("case_id"), "observation", "valid_from", "valid_to", "closed_by", "recorded_from", "recorded_to", "ruleset_id", "document_id")
 
 
@@ -126,4 +128,19 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return nodes.select("src_table", "record_id", "child", key.alias("child_key")).distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p5_found, p5_history, p5_ledger, p5_believed, p6_found)}
+def p6_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """The children as flat tables, one a schema path, counted with the rows that find their parent there.
+
+    A parent is the label cut at its end; every child but those of the record itself
+    has its parent as a row of another table.
+    """
+    nodes = child_nodes(spark, folder).withColumn("child", _child(F.col("schema_path"))).where("child is not null").select("src_table", "record_id", "child", "label", parent_label(F.col("label")).alias("parent")).distinct()
+    nodes = cut_lineage(nodes)  # used twice
+    inner = nodes.where("child in ('bands', 'band_values', 'band_ranges')").withColumn("parent", F.regexp_replace("parent", "/(bands|values|ranges)$", ""))
+    there = inner.join(nodes.select("src_table", "record_id", F.col("label").alias("parent")), ["src_table", "record_id", "parent"], "left_semi")
+    linked = there.groupBy("src_table", "child").agg(F.count("*").alias("n_linked"))
+    tables = nodes.groupBy("src_table", "child").agg(F.count("*").alias("n_rows"), F.countDistinct("record_id").alias("n_records"))
+    return tables.join(linked, ["src_table", "child"], "left").fillna(0, ["n_linked"])
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p5_found, p5_history, p5_ledger, p5_believed, p6_found, p6_tables)}

@@ -91,6 +91,10 @@ al AS (
 
 SQL = {
     "p6_found": f"WITH {_CHILDREN} SELECT DISTINCT src_table, record_id, child, CAST(child_key AS VARCHAR) AS child_key FROM al",
+    "p6_tables": f"""WITH {_CHILDREN}, d AS (SELECT DISTINCT src_table, record_id, child, CAST(child_key AS VARCHAR) AS child_key FROM al),
+      l AS (SELECT c.src_table, c.child, count(*) AS n_linked FROM d c JOIN d p ON p.src_table = c.src_table AND p.record_id = c.record_id AND p.child = CASE c.child WHEN 'bands' THEN 'rules' ELSE 'bands' END
+            AND c.child IN ('bands', 'band_values', 'band_ranges') AND p.child_key = regexp_replace(c.child_key, '/[0-9]+$', '') GROUP BY 1, 2)
+      SELECT src_table, child, count(*) AS n_rows, count(DISTINCT record_id) AS n_records, coalesce(max(n_linked), 0) AS n_linked FROM d LEFT JOIN l USING (src_table, child) GROUP BY 1, 2""",
     "p1_found": f"WITH {_REFERENCES} SELECT DISTINCT child_table, ref_field, child_key, reason FROM judged WHERE reason IS NOT NULL",
     "p1_counts": f"WITH {_REFERENCES} SELECT child_table, ref_field, date_trunc('month', t) AS period, reason, count(*) AS n_references FROM judged WHERE reason IS NOT NULL GROUP BY ALL",
     "p5_found": f"WITH {_SNAPSHOTS} SELECT case_id, id AS audit_id FROM v WHERE opens",
