@@ -94,3 +94,8 @@ def member_changes(old: DataFrame, new: DataFrame, key: list[str], fields: list[
 def ready(rows: DataFrame, group: list[str], good: Column) -> DataFrame:
     """Whether all rows of a group are good; a null is not."""
     return rows.groupBy(*group).agg(F.bool_and(F.coalesce(good, F.lit(False))).alias("ready"), F.count("*").alias("n"))
+
+
+def passed(rows: DataFrame, keys: list[str], criterion: Column) -> DataFrame:
+    """Per key whether all criteria are true, and how many there are: ``keys, passed, requests``; a null is not true."""
+    return rows.groupBy(*keys).agg(F.bool_and(F.coalesce(criterion, F.lit(False))).alias("passed"), F.count("*").alias("requests"))

@@ -146,7 +146,9 @@ RULE = ["ruleset_id", "rule_ix"]
 
 @query
 def rule_band_adjacency(spark: SparkSession, folder: str) -> DataFrame:
-    return B.adjacency(rule_parts(spark, folder, "bands"), RULE).select(*RULE, F.col("at").cast("double").alias("at"), "code")
+    """Neighbouring bands of every rule, the first band's end moved down or up by one in two of three rules."""
+    moved = F.when(F.col("band_ix") == 0, F.col("hi") + (F.col("rule_ix") % 3 - 1).cast("decimal(20,6)")).otherwise(F.col("hi")).cast("decimal(20,6)")
+    return B.adjacency(rule_parts(spark, folder, "bands").withColumn("hi", moved), RULE).select(*RULE, F.col("at").cast("double").alias("at"), "code")
 
 
 @query
@@ -557,7 +559,8 @@ def spaced_calls(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def repeated_mails(spark: SparkSession, folder: str) -> DataFrame:
-    d = table(spark, folder, "documents").where("text is not null")
+    """Mails archived twice, whatever the archive."""
+    d = table(spark, folder, "documents").where("text is not null").select("doc_id", "text", F.lit("archive").alias("source"))
     return G.repeated_pages(d, ["source"], "doc_id", F.col("text"))
 
 

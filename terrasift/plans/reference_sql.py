@@ -102,7 +102,7 @@ SQL = {
       CASE WHEN name IS NULL THEN 1 WHEN coalesce(in_value_section, false) THEN 5 ELSE {_cut('distance_m', (2000, 1500, 1000, 500), True)} END AS far, count(*) AS n FROM {_FAC} GROUP BY ALL""",
     "matrix_rates": f"""WITH g AS (SELECT p_partkey, p_brand, {_cut('p_size', (40, 30, 20, 10), True)} AS ix FROM part), f AS (SELECT p_brand, arg_min(ix, p_partkey) AS c FROM g GROUP BY 1)
       SELECT p_brand, CAST(sum((c - ix) * 2.5) AS DOUBLE) AS rate, count(*) AS rate_n, CAST(sum((ix - c) * 2.5) AS DOUBLE) AS turned, count(*) AS turned_n FROM g JOIN f USING (p_brand) GROUP BY 1""",
-    "rule_band_adjacency": f"""WITH {_RULES}, n AS (SELECT *, row_number() OVER w AS rn, lag(hi) OVER w AS p_hi FROM bd WINDOW w AS (PARTITION BY ruleset_id, rule_ix ORDER BY lo NULLS FIRST, hi NULLS LAST))
+    "rule_band_adjacency": f"""WITH {_RULES}, n AS (SELECT *, row_number() OVER w AS rn, lag(hi) OVER w AS p_hi FROM (SELECT * REPLACE (CASE WHEN band_ix = 0 THEN hi + (rule_ix % 3 - 1) ELSE hi END AS hi) FROM bd) WINDOW w AS (PARTITION BY ruleset_id, rule_ix ORDER BY lo NULLS FIRST, hi NULLS LAST))
       SELECT ruleset_id, rule_ix, CAST(lo AS DOUBLE) AS at, CASE WHEN p_hi IS NULL OR p_hi > lo THEN 'overlap' ELSE 'gap' END AS code FROM n WHERE rn > 1 AND (p_hi IS NULL OR p_hi <> lo)""",
     "rule_band_contiguity": f"WITH {_RULES} SELECT ruleset_id, rule_ix, min(band_ix) = 0 AND max(band_ix) + 1 = count(*) AND count(DISTINCT band_ix) = count(*) AS ok, count(*) AS n_bands, count(DISTINCT label) AS n_labels FROM bd GROUP BY ALL",
     "rule_alias_conflicts": f"WITH {_RULES} SELECT ruleset_id, rule_ix, v.value ->> '$' AS value, count(*) AS n FROM bd, json_each(vals) v WHERE json_type(vals) = 'ARRAY' AND json_type(v.value) <> 'NULL' GROUP BY ALL HAVING count(*) > 1",
@@ -200,7 +200,7 @@ SQL = {
     "expired_events": "SELECT event_type, count(*) FILTER (WHERE epoch_us(TIMESTAMP '2024-01-15 00:00:00') - epoch_us(ts) > 900000000) AS expired, count(*) AS n FROM events GROUP BY 1",
     "spaced_calls": """WITH e AS (SELECT event_id, event_type, epoch_us(ts) AS m, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events)
       SELECT event_id, max(m - i * 1100000) OVER (PARTITION BY event_type ORDER BY i ROWS UNBOUNDED PRECEDING) + i * 1100000 - m AS wait_us FROM e""",
-    "repeated_mails": "SELECT source, doc_id, first_page FROM (SELECT source, doc_id, min(doc_id) OVER (PARTITION BY source, text) AS first_page FROM documents WHERE text IS NOT NULL) WHERE doc_id > first_page",
+    "repeated_mails": "SELECT 'archive' AS source, doc_id, first_page FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first_page FROM documents WHERE text IS NOT NULL) WHERE doc_id > first_page",
     "page_boxes": f"WITH {_LINES} SELECT document_id, page, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM ln GROUP BY 1, 2",
     "line_statistics": f"WITH {_LINES} SELECT document_id, count(*) AS n, CAST(sum(CAST(round(confidence * 10000) AS BIGINT)) AS BIGINT) AS confidence, round(quantile_cont((x2 - x1) / length(text), 0.5), 6) AS glyph FROM ln WHERE trim(text) <> '' GROUP BY 1",
     "cell_accuracy": f"""WITH {_LINES}, c AS (SELECT document_id, page, ix AS cell_id, text AS expected, regexp_matches(text, '[0-9]') AS num, x1 AS c1, y1 AS c2, CASE WHEN ix % 5 = 0 THEN x1 + 1 ELSE x2 END AS c3, y2 AS c4 FROM ln),
