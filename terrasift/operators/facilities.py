@@ -38,6 +38,35 @@ def match_district(rows: DataFrame, key: list[str], field: str, address: str, na
     return rows.crossJoin(F.broadcast(forms)).withColumn("match_basis", basis).drop("forms", "prefixes")
 
 
+def match_districts(rows: DataFrame, key: list[str], field: str, address: str, name: str, districts: DataFrame) -> DataFrame:
+    """``key, district, match_basis``: every district that a row belongs to, by the rules of ``match_district``.
+
+    All districts at once: the pieces of a row's texts that may be a form of a district
+    (as long as one and, but for names, ending in a district word) meet the forms in
+    joins, so the work follows the texts and not rows times districts.
+    """
+    forms = district_forms(districts).select("district", "form", "full", F.length("form").alias("n"))
+    sizes = forms.agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    base = rows.select(*key, field, address, name).join(F.broadcast(sizes))  # one row
+
+    def pieces(text: Column, at: Column) -> Column:
+        """Parts of ``text`` from ``at`` (from 1) as long as some form."""
+        return F.transform(F.sequence(F.col("least"), F.col("most")), lambda n: F.substr(text, at, n))
+
+    def anywhere(text: Column) -> Column:
+        places = F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text)))
+        return F.array_distinct(F.flatten(F.transform(places, lambda i: pieces(text, i))))
+
+    parts = base.select(*key, "least", "most", F.explode(split_list(F.col(field))).alias("part"))
+    begun = parts.select(*key, "part", F.explode(F.array_distinct(F.concat(F.array("part"), pieces(F.col("part"), F.lit(1))))).alias("form"))
+    declared = begun.join(forms, "form").where("full or form = part").select(*key, "district").distinct()
+    open_rows = base.join(declared.select(*key).distinct(), key, "left_anti")
+    by_address = open_rows.select(*key, F.explode(anywhere(F.col(address))).alias("form")).join(forms.where("full"), "form").select(*key, "district", F.lit(1).alias("rank"))
+    by_name = open_rows.select(*key, F.explode(anywhere(F.col(name))).alias("form")).join(forms.where("not full"), "form").select(*key, "district", F.lit(2).alias("rank"))
+    found = declared.withColumn("rank", F.lit(0)).unionByName(by_address).unionByName(by_name).groupBy(*key, "district").agg(F.min("rank").alias("rank"))
+    return found.select(*key, "district", F.element_at(F.array(*map(F.lit, ("district_field", "address", "name_keyword"))), F.col("rank") + 1).alias("match_basis"))
+
+
 def _any_prefix(p: Column, forms: list[str]) -> Column:
     out = F.lit(False)
     for f in forms:

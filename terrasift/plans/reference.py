@@ -444,6 +444,15 @@ def district_match(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("facility_id", "match_basis")
 
 
+@query
+def districts_matched(spark: SparkSession, folder: str) -> DataFrame:
+    """Every district of each facility, all districts at once."""
+    f = _facilities(spark, folder, "administrative_district", "address", "name")
+    districts = table(spark, folder, "place_names").where("kind = 'district'").select(F.col("name_zh").alias("district")).distinct()
+    field = f.withColumn("declared", F.when(F.col("facility_id") % 3 != 0, F.regexp_replace("administrative_district", "^..市", "")))
+    return O.match_districts(field, ["facility_id"], "declared", "address", "name", districts)
+
+
 @query
 def coordinates_normalised(spark: SparkSession, folder: str) -> DataFrame:
     """Coordinates of each facility, a third of the given ones blanked so that the grid is used."""

@@ -169,6 +169,13 @@ SQL = {
       SELECT facility_id, CASE WHEN len([x for x in parts if x = '霧澤' OR regexp_matches(x, '^霧澤[區市鎮鄉]')]) > 0 THEN 'district_field'
         WHEN len([x for x in parts if list_contains(bare, x) OR (list_contains(bare, x[1:2]) AND regexp_matches(x[3:3], '[區市鎮鄉]'))]) > 0 THEN NULL
         WHEN regexp_matches(address, '霧澤[區市鎮鄉]') THEN 'address' WHEN contains(name, '霧澤') THEN 'name_keyword' END AS match_basis FROM p, ds""",
+    "districts_matched": f"""WITH f AS (SELECT *, CASE WHEN facility_id % 3 <> 0 THEN regexp_replace(administrative_district, '^..市', '') END AS declared FROM {_FAC}),
+      p AS (SELECT facility_id, address, name, [x for x in regexp_split_to_array(coalesce(declared, ''), '[、,，/／|｜;；\\s]+') if x <> ''] AS parts FROM f),
+      d AS (SELECT DISTINCT name_zh AS district, name_zh[1:length(name_zh)-1] AS bare FROM place_names WHERE kind = 'district'),
+      c AS (SELECT facility_id, district, bare, address, name, len([x for x in parts if x = bare OR (starts_with(x, bare) AND regexp_matches(x[length(bare)+1:length(bare)+1], '[區市鎮鄉]'))]) > 0 AS mine FROM p, d),
+      o AS (SELECT *, bool_or(mine) OVER (PARTITION BY facility_id) AS declared FROM c)
+      SELECT facility_id, district, CASE WHEN mine THEN 'district_field' WHEN regexp_matches(address, bare || '[區市鎮鄉]') THEN 'address' ELSE 'name_keyword' END AS match_basis
+      FROM o WHERE mine OR (NOT declared AND (coalesce(regexp_matches(address, bare || '[區市鎮鄉]'), false) OR coalesce(contains(name, bare), false)))""",
     "coordinates_normalised": f"""WITH {_GRID.format(source=f"(SELECT facility_id, CASE WHEN facility_id % 3 <> 0 THEN longitude END AS longitude, latitude, twd97_x, twd97_y FROM {_FAC})")}
       SELECT facility_id, round(CASE WHEN {_OK.format(lon='longitude', lat='latitude')} THEN longitude WHEN {_OK.format(lon='glon', lat='glat')} THEN glon END, 6) AS lon,
         round(CASE WHEN {_OK.format(lon='longitude', lat='latitude')} THEN latitude WHEN {_OK.format(lon='glon', lat='glat')} THEN glat END, 6) AS lat,

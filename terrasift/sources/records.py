@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from pathlib import Path
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -77,18 +77,21 @@ class _Page(InputPartition):
 
 class _PagedReader(DataSourceReader):
     def __init__(self, options):
-        self.path = Path(options["path"])
+        path = options["path"]
+        # any file system that has a scheme, so that workers see the same folder as the driver
+        self.files, self.path = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
         self.max_pages = int(options.get("max_pages", "500"))
 
     def _rows(self, page: int) -> list:
-        rows = json.loads((self.path / f"page={page}.json").read_text(encoding="utf-8-sig"))
+        with self.files.open_input_stream(f"{self.path}/page={page}.json") as f:
+            rows = json.loads(f.read().decode("utf-8-sig"))
         if not isinstance(rows, list) or not all(isinstance(r, dict) for r in rows):
             raise ValueError(f"page {page} is no array of objects")
         return rows
 
     def partitions(self) -> list[InputPartition]:
         for n in range(self.max_pages):
-            if (self.path / f"page={n}.json").stat().st_size < 64 and not self._rows(n):
+            if self.files.get_file_info(f"{self.path}/page={n}.json").size < 64 and not self._rows(n):
                 return [_Page(i) for i in range(n)]
         raise ValueError(f"no empty page among the first {self.max_pages}")
 

@@ -28,7 +28,7 @@ def html_rows(df: DataFrame, columns: list[str], nothing: str = "—") -> DataFr
 def fill_cells(values: DataFrame, cells: DataFrame, keys: list[str], nothing: str = "not provided") -> DataFrame:
     """``record, sheet, cell, value``: a form's cells (sheet, cell, field) filled from long values (record, field, value)."""
     records = values.select(*keys).distinct()
-    every = records.crossJoin(F.broadcast(cells))
+    every = records.join(cells)  # a form has every cell, filled or not
     return every.join(values, [*keys, "field"], "left").select(*keys, "sheet", "cell", F.coalesce("value", F.lit(nothing)).alias("value"))
 
 
