@@ -118,4 +118,16 @@ def p9_shared(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p3_found, p3_places, p4_found, p4_pages, p7_ids, p8_found, p8_packed, p8_use, p9_found, p9_shared)}
-SQL: dict[str, str] = {}
+# every window of 200 characters of every text, grouped by its digest
+_SPANS = """w AS (SELECT doc_id, i, md5(substr(text, i + 1, 200)) AS h FROM (SELECT doc_id, text, unnest(range(0, length(text) - 199)) AS i FROM documents WHERE length(text) >= 200)),
+  s AS (SELECT h FROM w GROUP BY h HAVING count(DISTINCT doc_id) > 1),
+  c AS (SELECT DISTINCT doc_id, i FROM w JOIN s USING (h)),
+  g AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS n FROM c),
+  r AS (SELECT doc_id, i, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g),
+  sp AS (SELECT doc_id, min(i) AS span_start, max(i) + 200 AS span_end FROM r GROUP BY doc_id, k)"""
+
+SQL: dict[str, str] = {
+    "p9_found": f"WITH {_SPANS} SELECT doc_id, span_start, span_end FROM sp",
+    "p9_shared": f"""WITH {_SPANS}, t AS (SELECT doc_id, CAST(sum(span_end - span_start) AS BIGINT) AS n FROM sp GROUP BY 1)
+      SELECT doc_id, CAST(coalesce(length(text), 0) AS BIGINT) AS n_chars, coalesce(n, 0) AS shared_chars, CASE WHEN length(text) > 0 THEN round(coalesce(n, 0) / length(text), 6) END AS share FROM documents LEFT JOIN t USING (doc_id)""",
+}
