@@ -1,9 +1,8 @@
 """Values graded by bands: interval joins, equality joins, and checks of band tables.
 
 Band tables belong to rule tables, which are published documents: small next to the
-values, but not of a fixed size. The joins therefore carry the rule as equality key
-and leave the choice of broadcast or shuffle to the size that Spark measures; the
-interval test is a residual filter inside one rule's few bands.
+values, but not of a fixed size. Their number is looked at before they go to all
+tasks; values never do. The interval test runs over the few bands of one rule.
 """
 
 from __future__ import annotations
@@ -13,6 +12,8 @@ from pyspark.sql import functions as F
 
 from terrasift.functions.text import intervals
 
+MOST_RULES, SALT = 10_000, 32
+
 
 def inside(value: Column, lo: Column, lo_incl: Column, hi: Column, hi_incl: Column) -> Column:
     """Membership in an interval; a null bound is open."""
@@ -28,13 +29,20 @@ def match_bands(values: DataFrame, bands: DataFrame, value: str, rule: list[str]
     grade only if exactly one grade has an interval that holds it; otherwise the
     reason is ``no_value``, ``no_band`` or ``several_bands``. The bands of a rule
     become one array, so each value meets its rule once and is never multiplied or
-    grouped; repeated rows stay as they are.
+    grouped; repeated rows stay as they are. Up to ``MOST_RULES`` rules go to all
+    tasks; with more, values and rules meet in ``SALT`` pieces of each rule.
     """
     held = bands.groupBy(*rule).agg(F.collect_list(F.struct("grade", "lo", "lo_incl", "hi", "hi_incl")).alias("_bands"))
+    few = held.limit(MOST_RULES + 1).count() <= MOST_RULES
     v = F.col(value)
     hits = F.filter("_bands", lambda x: inside(v, x["lo"], x["lo_incl"], x["hi"], x["hi_incl"]))
     grades = F.array_distinct(F.transform(hits, lambda x: x["grade"]))
-    out = values.join(held, rule, "left").withColumn("_g", F.when(v.isNotNull() & F.col("_bands").isNotNull(), grades))
+    if few:
+        met = values.join(F.broadcast(held), rule, "left")
+    else:
+        dealt = values.withColumn("_salt", F.pmod(F.xxhash64(*values.columns), F.lit(SALT)).cast("int"))
+        met = dealt.join(held.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), [*rule, "_salt"], "left").drop("_salt")
+    out = met.withColumn("_g", F.when(v.isNotNull() & F.col("_bands").isNotNull(), grades))
     n = F.coalesce(F.when(F.col("_g").isNotNull(), F.size("_g")), F.lit(0))
     reason = F.when(v.isNull(), "no_value").when(n == 0, "no_band").when(n > 1, "several_bands")
     return out.withColumns({"grade": F.when(n == 1, F.element_at("_g", 1)), "reason": reason}).drop("_bands", "_g")

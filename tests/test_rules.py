@@ -56,3 +56,15 @@ def test_guards(spark):
     assert [x.m for x in e] == [{"a": "1"}, None]
     left, cat = spark.createDataFrame([("(甲) 路",), ("乙",), (None,)], "n string"), spark.createDataFrame([("甲路",), ("丙",)], "e string")
     assert sorted(map(tuple, K.by_alias(left, "n", cat, "e", spark.createDataFrame([("乙", "丙")], "alias string, means string")).collect())) == [("(甲) 路", "甲路"), ("乙", "丙")]
+
+
+def test_bands_by_pieces(spark, monkeypatch):
+    """More rules than go to all tasks: the same rows."""
+    from terrasift.operators import bands as B
+
+    rows = [("r", 1, D(0), True, D(5), False), ("r", 2, D(4), True, D(9), True), ("s", 1, None, True, None, True)]
+    b = spark.createDataFrame(rows, "rule string, grade int, lo decimal(20,6), lo_incl boolean, hi decimal(20,6), hi_incl boolean")
+    v = spark.createDataFrame([(r, None if i == 3 else D(i)) for r in ("r", "s", "t", None) for i in range(12)] * 2, "rule string, v decimal(20,6)")
+    few = sorted(map(str, B.match_bands(v, b, "v", ["rule"]).collect()))
+    monkeypatch.setattr(B, "MOST_RULES", 1)
+    assert sorted(map(str, B.match_bands(v, b, "v", ["rule"]).collect())) == few and len(few) == 96
