@@ -88,6 +88,34 @@ rv AS (SELECT id, case_id, at_utc, TRY_CAST(s ->> '$.revision' AS BIGINT) AS rev
 _HTML = "replace(replace(replace(replace(replace({t}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
 _FIRST = "CASE WHEN trim({c}) NOT IN ('', '-', 'NIL', '無') THEN trim({c}) END"
 
+def _layout() -> str:
+    """Boxes one after the other: first their rows, then the columns of each row's text."""
+    from terrasift.operators.layout import _wide_class
+
+    wide = f"(2 * length(text) - length(regexp_replace(text, '{_wide_class()}', '', 'g')))"
+    return f"""WITH RECURSIVE pg AS (SELECT DISTINCT id AS document_id, p.page AS page, p.lines AS lines, p.width AS width FROM (SELECT id, unnest(pages) AS p FROM source_documents)),
+b AS (SELECT document_id, page, ix, l.text AS text, l.bbox[1] AS x1, l.bbox[3] AS x2, (l.bbox[2] + l.bbox[4]) / 2 AS mid, l.bbox[4] - l.bbox[2] AS tall FROM (SELECT document_id, page, unnest(lines) AS l, generate_subscripts(lines, 1) AS ix FROM pg)
+      WHERE l.text IS NOT NULL AND len(l.bbox) = 4),
+o AS (SELECT *, {wide} AS wide, row_number() OVER (PARTITION BY document_id, page ORDER BY mid, x1, ix) AS n FROM b),
+u AS (SELECT document_id, page, greatest(3, median((x2 - x1) / greatest(1, wide))) AS unit FROM o GROUP BY 1, 2),
+w AS (
+  SELECT document_id, page, n, [struct_pack(mid := mid, tall := tall, r := 0)] AS near, 0 AS r, 1 AS rows FROM o WHERE n = 1
+  UNION ALL
+  SELECT document_id, page, n, CASE WHEN hit IS NULL THEN list_prepend(struct_pack(mid := mid, tall := tall, r := rows), near)[1:3] ELSE near END, coalesce(hit, rows), rows + CAST(hit IS NULL AS INT)
+  FROM (SELECT o.*, w.near, w.rows, list_filter(w.near, lambda z: abs(z.mid - o.mid) <= 0.45 * least(z.tall, o.tall))[1].r AS hit FROM w JOIN o ON o.document_id = w.document_id AND o.page = w.page AND o.n = w.n + 1)
+),
+c AS (SELECT document_id, page, r, text, wide, least(500, CAST(round_even(x1 / unit, 0) AS INT)) AS col, row_number() OVER (PARTITION BY document_id, page, r ORDER BY x1, ix) AS k FROM o JOIN w USING (document_id, page, n) JOIN u USING (document_id, page)),
+t AS (
+  SELECT document_id, page, r, k, repeat(' ', col) || text AS line, greatest(col, 2) + wide AS stop FROM c WHERE k = 1
+  UNION ALL
+  SELECT c.document_id, c.page, c.r, c.k, line || repeat(' ', greatest(CASE WHEN line = '' THEN 0 ELSE 2 END, col - stop)) || text, greatest(col, stop + 2) + wide
+  FROM t JOIN c ON c.document_id = t.document_id AND c.page = t.page AND c.r = t.r AND c.k = t.k + 1
+),
+d AS (SELECT document_id, page, r, regexp_replace(arg_max(line, k), '\\s+$', '') AS line FROM t GROUP BY 1, 2, 3),
+g AS (SELECT document_id, page, count(*) AS rows, string_agg(line, chr(10) ORDER BY r) AS text FROM d GROUP BY 1, 2)
+SELECT document_id, page, CAST(coalesce(rows, 0) AS INT) AS rows, coalesce(text, '') AS text FROM (SELECT document_id, page FROM pg) LEFT JOIN g USING (document_id, page)"""
+
+
 SQL = {
     "band_quantity": f"""WITH b AS (SELECT * FROM (VALUES {_band('q', _QTY)}) t(rule, grade, lo, li, hi, hi_i)),
       m AS (SELECT rn, v, count(DISTINCT grade) FILTER (WHERE {_HIT}) AS g, min(grade) FILTER (WHERE {_HIT}) AS grade FROM (SELECT row_number() OVER () AS rn, CAST(l_quantity AS DECIMAL(20,6)) AS v FROM lineitem), b GROUP BY ALL)
@@ -169,6 +197,7 @@ SQL = {
       SELECT facility_id, CASE WHEN len([x for x in parts if x = '霧澤' OR regexp_matches(x, '^霧澤[區市鎮鄉]')]) > 0 THEN 'district_field'
         WHEN len([x for x in parts if list_contains(bare, x) OR (list_contains(bare, x[1:2]) AND regexp_matches(x[3:3], '[區市鎮鄉]'))]) > 0 THEN NULL
         WHEN regexp_matches(address, '霧澤[區市鎮鄉]') THEN 'address' WHEN contains(name, '霧澤') THEN 'name_keyword' END AS match_basis FROM p, ds""",
+    "page_layout": _layout(),
     "districts_matched": f"""WITH f AS (SELECT *, CASE WHEN facility_id % 3 <> 0 THEN regexp_replace(administrative_district, '^..市', '') END AS declared FROM {_FAC}),
       p AS (SELECT facility_id, address, name, [x for x in regexp_split_to_array(coalesce(declared, ''), '[、,，/／|｜;；\\s]+') if x <> ''] AS parts FROM f),
       d AS (SELECT DISTINCT name_zh AS district, name_zh[1:length(name_zh)-1] AS bare FROM place_names WHERE kind = 'district'),
