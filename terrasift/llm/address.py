@@ -13,9 +13,12 @@
    costs nothing between a word and its abbreviation; otherwise words cost by the
    share of letters that differ, single characters one. The cheapest official name
    is taken if it costs no more than ``MOST`` and no other costs as little.
-4. Spellings of roads that are on no list are matched with each other in the same
-   way: in every band with the least spelling of it, so that a band of any size costs
-   one comparison a member, and the links are followed to their end.
+4. Of the spellings of roads that are on no list all are linked that cost no more than
+   ``MOST`` with each other. Eastern ones share a key then, without the character or
+   the gap that differs; in a key each is linked with the least one only, which holds
+   all together. Western ones, whose words may differ in three letters of eight, are
+   compared with all of their city and word for the street, by blocks, first by their
+   bigrams. The links are followed to their end.
 5. Records of one city, road and numbers are one place.
 
 The names of cities and districts go to all tasks: there are as many as a country has.
@@ -47,7 +50,9 @@ MOST_PLACES = 200_000
 BANDS, ROWS = 128, 2
 MOST = 1.5
 GAP_OPEN, GAP_EXTEND = 1.0, 0.5
+GAP = 1 + int((MOST - GAP_OPEN) / GAP_EXTEND)  # the longest gap that MOST allows, which is less than two differences
 RECORDS_A_BLOCK, SALT = 2_000, 8
+WORDS_A_BLOCK = 1_000
 NUMBERS = ("section", "lane", "alley", "no", "suffix")
 
 # fixed values: words of western addresses and their abbreviations
@@ -414,25 +419,118 @@ def match_roads(written: DataFrame, official: DataFrame) -> DataFrame:
     return least.where(unique).select(*_ROAD, F.col("best.road_id").alias("road_id"))
 
 
-def cluster_roads(written: DataFrame) -> DataFrame:
+def near_keys(city: str, toks: list[str]) -> list[tuple[bytes, str]]:
+    """Keys of eastern tokens, each with its side: two names cost at most ``MOST`` just if they are equal or opposite in a key.
+
+    ``MOST`` allows one character that differs (both are opposite as ``one``) or one
+    gap of up to ``GAP`` tokens (the longer is opposite as ``cut`` to the ``whole``).
+    """
+    out = {("whole", -1, tuple(toks))}
+    for i, t in enumerate(toks):
+        if len(t) == 1:
+            out.add(("one", i, (*toks[:i], *toks[i + 1 :])))
+        out |= {("cut", -1, (*toks[:i], *toks[i + k :])) for k in range(1, GAP + 1) if i + k <= len(toks)}
+    return [(blake2b(repr((city, i, rest)).encode(), digest_size=16).digest(), side) for side, i, rest in sorted(out)]
+
+
+def _eastern_links(named: DataFrame) -> DataFrame:
+    """``name, o_name``: eastern spellings, each with the least ones opposite to it in every key: all that are near are linked through them.
+
+    Those of one district and those of none are opposite; one without district to those of any.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, keys, sides = [], [], []
+            for i, (c, r) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                for key, side in near_keys(c, tokens(r, "east")):
+                    at.append(i)
+                    keys.append(key)
+                    sides.append(side)
+            yield pa.RecordBatch.from_arrays([*batch.select(["name", "district"]).take(pa.array(at, pa.int64())).columns, pa.array(keys, pa.binary()), pa.array(sides, pa.string())], ["name", "district", "key", "side"])
+
+    keyed = cut_lineage(named.where("script = 'east'").select("name", "district", "city", "road").mapInArrow(run, "name string, district string, key binary, side string"))
+    opposite = F.when(F.col("side") == "whole", "cut").when(F.col("side") == "cut", "whole").otherwise(F.col("side"))
+    least = keyed.groupBy("key", opposite.alias("side"), "district").agg(F.min("name").alias("o_name"))
+    least_of_all = least.groupBy("key", "side").agg(F.min("o_name").alias("any"), F.min(F.when(F.col("district").isNull(), F.col("o_name"))).alias("none"))
+    same = keyed.where("district is not null").join(least.where("district is not null"), ["key", "side", "district"]).select("name", "o_name")
+    offers = F.array("none", F.when(F.col("district").isNull(), F.col("any")))
+    other = keyed.join(least_of_all, ["key", "side"]).select("name", F.explode(offers).alias("o_name"))
+    return same.unionByName(other).where("name <> o_name").distinct()
+
+
+def near_words(a: list[str], b: list[str]) -> np.ndarray:
+    """Which words of ``a`` may cost ``MOST`` or less with which of ``b``: none that does is ruled out.
+
+    An edit takes two of the ``length + 1`` bigrams of a word with its ends, so that words
+    that are near have the others in common.
+    """
+
+    def bigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        has, size = np.zeros((len(words), 28 * 28), np.float32), np.array([len(w) for w in words], np.int64)
+        for i, w in enumerate(words):
+            codes = np.frombuffer(f"`{w}{{".encode(), np.uint8).astype(np.int64) - 96  # ` and { stand beside a and z
+            has[i, codes[:-1] * 28 + codes[1:]] = 1
+        return has, size, size + 1 - has.sum(axis=1).astype(np.int64)  # the last: bigrams that are repeated
+
+    (has_a, size_a, more_a), (has_b, size_b, more_b) = bigrams(a), bigrams(b)
+    longer = np.maximum(size_a[:, None], size_b[None, :])
+    edits = np.where(longer == 1, 1, np.floor(longer * (MOST / 4)).astype(np.int64))
+    shared = (has_a @ has_b.T).astype(np.int64) + np.minimum(more_a[:, None], more_b[None, :])
+    return (abs(size_a[:, None] - size_b[None, :]) <= edits) & (shared >= longer + 1 - 2 * edits)
+
+
+def _western_links(named: DataFrame, block: int) -> DataFrame:
+    """``name, o_name``: western spellings that are near; of two blocks of a city and word for the street, links that hold together all that are.
+
+    Words for the street never differ in two roads that are near: any two of them cost
+    more than ``MOST``, and so do two gaps.
+    """
+    word = F.udf(lambda r: tokens(r, "west")[0], "string")
+    west = named.where("script = 'west'").select("name", "city", "district", word("road").alias("word"), F.substring_index("road", " ", -1).alias("kind"))
+    sizes = west.groupBy("city", "kind").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+    dealt = west.join(sizes, ["city", "kind"]).withColumn("at", F.expr("cast(pmod(xxhash64(name), _blocks) as int)"))
+    pairs = dealt.withColumn("other", F.expr("explode(sequence(0, _blocks - 1))")).select("city", "kind", F.least("at", "other").alias("low"), F.greatest("at", "other").alias("high"), "at", "name", "district", "word")
+
+    def run(group: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(group[k].to_pylist() for k in ("name", "word", "district", "at"))), key=lambda r: r[0])
+        low, high = group["low"][0].as_py(), group["high"][0].as_py()
+        left, right = [r for r in rows if r[3] == low], [r for r in rows if r[3] == high]
+        found: dict[str, str] = {r[0]: r[0] for r in rows}
+
+        def root(x: str) -> str:
+            while found[x] != x:
+                found[x] = x = found[found[x]]
+            return x
+
+        out: tuple[list, list] = ([], [])
+        for i, j in zip(*(x.tolist() for x in np.nonzero(near_words([r[1] for r in left], [r[1] for r in right])))) if left and right else ():
+            (a, word_a, in_a, _), (b, word_b, in_b, _) = left[i], right[j]
+            if (low < high or i < j) and (in_a is None or in_b is None or in_a == in_b) and (ra := root(a)) != (rb := root(b)) and _word_cost(word_a, word_b) <= MOST:
+                found[max(ra, rb)] = min(ra, rb)
+                out[0].append(a)
+                out[1].append(b)
+        return pa.table({"name": pa.array(out[0], pa.string()), "o_name": pa.array(out[1], pa.string())})
+
+    return pairs.groupBy("city", "kind", "low", "high").applyInArrow(run, "name string, o_name string").distinct()
+
+
+def cluster_roads(written: DataFrame, block: int = WORDS_A_BLOCK) -> DataFrame:
     """``city, district, road, script, name``: spellings of roads on no list, with one name for those that denote one road."""
     itself = F.concat_ws("/", F.col("city"), F.coalesce("district", F.lit("")), F.col("road"))
-    named = cut_lineage(written.select(*_ROAD, "bands", itself.alias("name")))
+    named = cut_lineage(written.select(*_ROAD, itself.alias("name")))
     if named.isEmpty():
         return named.select(*_ROAD, "name")
-    banded = named.select(*_ROAD, "name", F.explode("bands").alias("band"))
-    first = banded.groupBy("band").agg(F.min(F.struct("name", "road", "script", "district")).alias("o")).select("band", F.col("o.name").alias("o_name"), F.col("o.road").alias("o_road"), F.col("o.script").alias("o_script"), F.col("o.district").alias("o_district"))
-    near = banded.join(first, "band").where("name <> o_name and (district is null or o_district is null or district = o_district)").select("name", "o_name", "road", "script", "o_road", "o_script").distinct()
-    split = F.udf(tokens, "array<string>")  # of the few pairs of roads on no list
-    links = cut_lineage(_costs(near.withColumn("o_tokens", split("o_road", "o_script")), ["name", "o_name"]).select("name", "o_name"))
+    links = cut_lineage(_eastern_links(named).unionByName(_western_links(named, block)))
     both = links.unionByName(links.select(F.col("o_name").alias("name"), F.col("name").alias("o_name")))
     label = named.select("name", F.col("name").alias("label")).distinct()
-    while True:  # each round takes the least label of the neighbours, until none changes
+    while True:  # each round takes the least label of the neighbours and then the label of that, until none changes
         offered = both.join(label, "name").groupBy(F.col("o_name").alias("name")).agg(F.min("label").alias("offer"))
         joined = cut_lineage(label.join(offered, "name", "left").select("name", F.coalesce(F.least("label", "offer"), F.col("label")).alias("label"), (F.col("offer") < F.col("label")).alias("moved")))
-        label = joined.select("name", "label")
         if joined.where("moved").isEmpty():
-            return named.join(label, "name").select(*_ROAD, F.col("label").alias("name"))
+            return named.join(joined.select("name", "label"), "name").select(*_ROAD, F.col("label").alias("name"))
+        further = joined.select(F.col("name").alias("label"), F.col("label").alias("least"))
+        label = joined.select("name", "label").join(further, "label").select("name", F.col("least").alias("label"))
 
 
 def _same_road(a: DataFrame, b: DataFrame, how: str) -> DataFrame:

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from terrasift.llm.address import Gazetteer, alignment_cost, han_number, place_pairs, places, tokens
+from terrasift.llm.address import Gazetteer, alignment_cost, cluster_roads, han_number, place_pairs, places, tokens
 
 CITY = [(1, "city", "雲臺市", "Yuntai City", None), (50, "city", "霧港市", "Wugang City", None)]
 ROADS = [("菊風智路", "Jufengzhi Rd."), ("榆雨勤路", "Yuyuqin Rd."), ("芷星謙大道", "Zhixingqian Blvd."), ("松雪平街", "Songxueping St.")]
@@ -139,6 +139,50 @@ def test_roads_on_no_list(spark):
     assert len({got[f"k{i}"] for i in range(4)}) == 1 and got["k4"] == got["k5"] and len(set(got.values())) == 3
 
 
+def _clusters(spark, rows, block):
+    df = spark.createDataFrame(rows, "city string, district string, road string, script string")
+    out = {}
+    for r in cluster_roads(df, block).collect():
+        out.setdefault(r["name"], set()).add((r.city, r.district, r.road, r.script))
+    return sorted(map(sorted, ([tuple(map(str, x)) for x in c] for c in out.values())))
+
+
+def test_links_on_no_list(spark):
+    """Spellings that are near only each other, not the least one of what they share, are one place too."""
+    east = [["丁區甲乙丙路", "丁區丑乙丙路"], ["乙區寅乙丙路"], ["丁區新生北路", "丁區新生化路"], ["丁區卯路", "丁區辰路"], ["申酉路", "丁區申酉戌亥路", "乙區未酉路"]]
+    west = [["Xinmenglu Road", "Xznmxngyu Rd.", "Xinmenwwu Road"], ["A Rd.", "B Rd."], ["Xueqian Road"], ["Xueqian Street"]]
+    groups = [[f"{x}3號" for x in g] for g in east] + [[f"No. 3, {x}" for x in g] for g in west]
+    df = spark.createDataFrame([(x, x) for g in groups for x in g], "record string, address string")
+    got = {}
+    for r in places(df, F.col("record"), F.col("address"), gaz(spark)).collect():
+        got.setdefault(r.place, set()).add(r.record)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, groups))
+
+
+def test_all_links_on_no_list(spark):
+    """The clusters are those of all pairs that cost no more than the threshold."""
+    rnd, rows = random.Random(4), set()
+    for _ in range(50):
+        city, district = rnd.choice(["雲台市", "霧港市"]), rnd.choice([None, "青嵐區", "霧澤區"])
+        name = [rnd.choice("甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳午未申酉戌亥天地玄黃") for _ in range(rnd.choice([1, 2, 3, 4]))]
+        word = "".join(rnd.choice(["ju", "feng", "zhi", "yu", "xue", "ping", "o"]) for _ in range(rnd.choice([1, 2, 3, 4])))
+        kind, street = rnd.choice(["路", "街", "大道"]), rnd.choice(["road", "street"])
+        for _ in range(3):
+            rows |= {(city, district, "".join(name) + kind, "east"), (city, district, f"{word} {street}", "west")}
+            name[rnd.randrange(len(name))] = rnd.choice("甲乙丙丁戊")
+            at = rnd.randrange(len(word))
+            word = word[:at] + rnd.choice("aegnx") + word[at + rnd.choice([0, 1, 1]) :]
+    rows = sorted(rows, key=str)
+    label = {r: i for i, r in enumerate(rows)}
+    for a, b in itertools.combinations(rows, 2):
+        if a[0] == b[0] and a[3] == b[3] and (None in (a[1], b[1]) or a[1] == b[1]) and label[a] != label[b] and alignment_cost(tokens(a[2], a[3]), tokens(b[2], b[3])) <= 1.5:
+            label |= {r: label[a] for r in rows if label[r] == label[b]}
+    want = {}
+    for r, i in label.items():
+        want.setdefault(i, []).append(tuple(map(str, r)))
+    assert _clusters(spark, rows, 30) == sorted(map(sorted, want.values()))
+
+
 def test_more_roads_than_any_broadcast(spark, monkeypatch):
     """Roads are matched by joins: more of them than may go to all tasks are no error."""
     from terrasift.llm import address
