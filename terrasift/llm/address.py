@@ -515,6 +515,12 @@ def _western_links(named: DataFrame, block: int) -> DataFrame:
     return pairs.groupBy("city", "kind", "low", "high").applyInArrow(run, "name string, o_name string").distinct()
 
 
+def _of_no_size(df: DataFrame) -> DataFrame:
+    """``df`` without its estimated size: a checkpoint keeps that of its joins, a number of twice the digits every round."""
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.createDataFrame(df._jdf.toJavaRDD(), df._jdf.schema()), spark)
+
+
 def cluster_roads(written: DataFrame, block: int = WORDS_A_BLOCK) -> DataFrame:
     """``city, district, road, script, name``: spellings of roads on no list, with one name for those that denote one road."""
     itself = F.concat_ws("/", F.col("city"), F.coalesce("district", F.lit("")), F.col("road"))
@@ -524,13 +530,16 @@ def cluster_roads(written: DataFrame, block: int = WORDS_A_BLOCK) -> DataFrame:
     links = cut_lineage(_eastern_links(named).unionByName(_western_links(named, block)))
     both = links.unionByName(links.select(F.col("o_name").alias("name"), F.col("name").alias("o_name")))
     label = named.select("name", F.col("name").alias("label")).distinct()
-    while True:  # each round takes the least label of the neighbours and then the label of that, until none changes
-        offered = both.join(label, "name").groupBy(F.col("o_name").alias("name")).agg(F.min("label").alias("offer"))
-        joined = cut_lineage(label.join(offered, "name", "left").select("name", F.coalesce(F.least("label", "offer"), F.col("label")).alias("label"), (F.col("offer") < F.col("label")).alias("moved")))
+    while True:  # each round a spelling and the one that names it take the least label of the neighbours, then the label of that, until none changes
+        of_other = label.withColumnsRenamed({"name": "o_name", "label": "offer"})
+        lower = both.join(label, "name").join(of_other, "o_name").where("offer < label")
+        offers = lower.select(F.explode(F.array("name", "label")).alias("name"), "offer").groupBy("name").agg(F.min("offer").alias("offer"))
+        lowered = label.join(offers, "name", "left").select("name", F.col("label").alias("before"), F.coalesce(F.least("label", "offer"), F.col("label")).alias("label"))
+        further = lowered.select(F.col("name").alias("label"), F.col("label").alias("least"))
+        joined = _of_no_size(cut_lineage(lowered.join(further, "label").select("name", F.col("least").alias("label"), (F.col("least") < F.col("before")).alias("moved"))))
+        label = joined.select("name", "label")
         if joined.where("moved").isEmpty():
-            return named.join(joined.select("name", "label"), "name").select(*_ROAD, F.col("label").alias("name"))
-        further = joined.select(F.col("name").alias("label"), F.col("label").alias("least"))
-        label = joined.select("name", "label").join(further, "label").select("name", F.col("least").alias("label"))
+            return named.join(label, "name").select(*_ROAD, F.col("label").alias("name"))
 
 
 def _same_road(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
